@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_bytes
+from .media import media_digests
+from .packing import pack_documents
 from .sharding import interleaved_shards
 from .url_filter import canonical_url, judge_pages, url_host
 
 N_SHARDS = 40
+#: A file of the installed package of public tokenizers; a path may be given instead.
+TOKENIZER = "byte_bpe_50k.json"
 
 #: (verdict, host, path)
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -19,6 +23,12 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 SPAM_HOST = r"(adult|ads-|casino|bets|pills|spam)"
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_bytes(F.col("text"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -26,6 +36,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(url_host(F.col("url")).rlike(SPAM_HOST)).select(canonical_url(F.col("url")).alias("canonical"))
@@ -34,5 +52,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op3_media": op3_media,
+    "op4_packing": op4_packing,
     "op8_url_filter": op8_url_filter,
 }
