@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import fold, table, text_bytes
 from .media import media_digests
 from .packing import pack_documents
 from .sharding import interleaved_shards
+from .toxicity import fit_lexicon, score_toxicity
 from .url_filter import canonical_url, judge_pages, url_host
 
 N_SHARDS = 40
@@ -50,9 +51,16 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict", "is_listed")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = fit_lexicon(docs, table(spark, sf_dir, "labels"), ~fold(F.col("doc_id"), 0))
+    return score_toxicity(docs, lexicon).select("doc_id", fold(F.col("doc_id"), 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_media": op3_media,
     "op4_packing": op4_packing,
     "op8_url_filter": op8_url_filter,
+    "op9_toxicity": op9_toxicity,
 }
