@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language
 from .common import fold, table, text_bytes
 from .media import media_digests
 from .packing import pack_documents
@@ -45,6 +46,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.where(~fold(F.col("doc_id"), 0)))
+    found = language.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", fold(F.col("doc_id"), 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(url_host(F.col("url")).rlike(SPAM_HOST)).select(canonical_url(F.col("url")).alias("canonical"))
@@ -61,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op3_media": op3_media,
     "op4_packing": op4_packing,
+    "op6_language": op6_language,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
 }
