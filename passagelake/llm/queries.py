@@ -12,6 +12,7 @@ from .common import fold, table, text_bytes
 from .media import media_digests
 from .packing import pack_documents
 from .sharding import interleaved_shards
+from .simhash import near_duplicates
 from .toxicity import fit_lexicon, score_toxicity
 from .url_filter import canonical_url, judge_pages, url_host
 
@@ -38,6 +39,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_simhash": op2_simhash,
     "op3_media": op3_media,
     "op4_packing": op4_packing,
     "op6_language": op6_language,
