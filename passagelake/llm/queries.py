@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language
 from .common import fold, table, text_bytes
+from .fingerprints import edit_likeness
 from .media import media_digests
 from .packing import pack_documents
 from .sharding import interleaved_shards
@@ -52,6 +53,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.where(~fold(F.col("doc_id"), 0)))
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_media": op3_media,
     "op4_packing": op4_packing,
+    "op5_fingerprints": op5_fingerprints,
     "op6_language": op6_language,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
