@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language
 from .common import fold, table, text_bytes
 from .fingerprints import edit_likeness
 from .media import media_digests
+from .mixing import mix_sources, word_count
 from .packing import pack_documents
 from .sharding import interleaved_shards
 from .simhash import near_duplicates
@@ -26,6 +27,12 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 #: Stands in for a published list: pages of hosts with such a word are the listed URLs.
 SPAM_HOST = r"(adult|ads-|casino|bets|pills|spam)"
 
+#: Levels of the mixture's tree, and the weights of their names. Sources weigh the same.
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_WEIGHTS = ({"crawl": 0.4, "reference": 0.35, "forum": 0.25}, {"en": 0.4, "de": 0.2, "es": 0.2, "fr": 0.2}, {})
+MIX_SHARE = 0.6
+MIX_EPOCHS = 2
+
 
 def tokenizer_path() -> str:
     import public_tokenizers
@@ -76,6 +83,21 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, lexicon).select("doc_id", fold(F.col("doc_id"), 0).alias("held_out"), "score", "predicted")
 
 
+def domain(source: Column) -> Column:
+    """The sources' domains: the first is a crawl, those of one digit are reference works, the others forums."""
+    return F.when(source == "src0", "crawl").when(source.rlike("^src[1-9]$"), "reference").otherwise("forum")
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """The rows of documents that the mixture takes, with domain and epoch."""
+    return mix_sources(docs.withColumn("domain", domain(F.col("source"))), MIX_LEVELS, MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, word_count(F.col("text")))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = mixture(table(spark, sf_dir, "documents"))
+    return taken.select("doc_id", "domain", "lang", "source", "epoch", word_count(F.col("text")).alias("tokens"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
@@ -85,4 +107,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
+    "op10_mixing": op10_mixing,
 }
