@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import language, lm
 from .common import fold, table, text_bytes
 from .fingerprints import edit_likeness
 from .media import media_digests
@@ -71,6 +71,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", fold(F.col("doc_id"), 0).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.fit_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~fold(F.col("doc_id"), 1))
+    return scored.withColumn("held_out", fold(F.col("doc_id"), 1))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = pages.where(url_host(F.col("url")).rlike(SPAM_HOST)).select(canonical_url(F.col("url")).alias("canonical"))
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_fingerprints": op5_fingerprints,
     "op6_language": op6_language,
+    "op7_lm": op7_lm,
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
