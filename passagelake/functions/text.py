@@ -115,7 +115,7 @@ def client_address(forwarded: Column, peer: Column, hops: int) -> Column:
 def parse_questions(raw: Column) -> Column:
     """Questions of a JSON array; else the lines that end in a question mark, without list marks."""
     listed = F.from_json(raw, "array<string>")
-    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"^[-*0-9. ]+", "")))
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.trim(x), r"^[-*0-9. ]+", "")), r'^[",]+|[",]+$', ""))
     kept = F.filter(lines, lambda x: x.endswith("?"))
     clean = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
     return F.when(listed.isNotNull() & F.trim(raw).startswith("["), clean).otherwise(kept)
