@@ -49,11 +49,11 @@ def _block(url: Column, blocks: int) -> Column:
 
 
 def bloom_filter(listed: DataFrame, url: str, blocks: int) -> DataFrame:
-    """The filter's rows: block and its words w0 to w7. Rows are combined before the shuffle."""
+    """The filter's rows: _u_at (the block) and its words _u_w0 to _u_w7. Rows are combined before the shuffle."""
     c = F.col(url)
-    bits = listed.select(_block(c, blocks).alias("block"), F.xxhash64(c, F.lit("bits")).alias("mix"))
-    words = [F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(mix, {5 * i}) & 31 as int))")).alias(f"w{i}") for i in range(WORDS)]
-    return bits.groupBy("block").agg(*words)
+    bits = listed.select(_block(c, blocks).alias("_u_at"), F.xxhash64(c, F.lit("bits")).alias("mix"))
+    words = [F.bit_or(F.expr(f"shiftleft(1L, cast(shiftright(mix, {5 * i}) & 31 as int))")).alias(f"_u_w{i}") for i in range(WORDS)]
+    return bits.groupBy("_u_at").agg(*words)
 
 
 def blocks_for(listed: int, bits_per_url: int = 16) -> int:
@@ -70,10 +70,10 @@ def listed_pages(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataF
     assert blocks * BLOCK_BYTES <= 16 << 20, "the filter's bound is what allows the broadcast"
     c = F.col("_u_c")
     probe = pages.withColumn("_u_c", F.when(F.col(url).isNotNull(), canonical_url(F.col(url)))).withColumns({"_u_block": _block(c, blocks), "_u_mix": F.xxhash64(c, F.lit("bits"))})
-    tested = probe.join(F.broadcast(bloom_filter(distinct, "canonical", blocks)), F.col("_u_block") == F.col("block"), "left")
+    tested = probe.join(F.broadcast(bloom_filter(distinct, "canonical", blocks)), F.col("_u_block") == F.col("_u_at"), "left")
     hit = F.lit(True)
     for i in range(WORDS):
-        hit = hit & F.expr(f"(shiftright(w{i}, cast(shiftright(_u_mix, {5 * i}) & 31 as int)) & 1) = 1")
+        hit = hit & F.expr(f"(shiftright(_u_w{i}, cast(shiftright(_u_mix, {5 * i}) & 31 as int)) & 1) = 1")
     tested = tested.withColumn("_u_hit", F.when(hit & c.isNotNull(), c))  # null keys never leave their task's join
     exact = distinct.select(F.col("canonical").alias("_u_exact"))
     joined = tested.join(exact, F.col("_u_hit") == F.col("_u_exact"), "left")
