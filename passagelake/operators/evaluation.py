@@ -31,11 +31,13 @@ def ir_metrics(outcomes: DataFrame, k: int = SETTINGS.top_k) -> DataFrame:
 
 def wilson(hits: Column, n: Column, z: float = SETTINGS.wilson_z) -> tuple[Column, Column]:
     """Bounds of Wilson's interval, within 0 and 1; zeros without trials."""
-    p, n = hits / F.nullif(n, F.lit(0)), n.cast("double")
+    n = F.nullif(n, F.lit(0)).cast("double")
+    p = hits / n
     scale = 1 + z * z / n
     middle = (p + z * z / (2 * n)) / scale
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / scale
-    return F.coalesce(F.greatest(middle - half, F.lit(0.0)), F.lit(0.0)), F.coalesce(F.least(middle + half, F.lit(1.0)), F.lit(0.0))
+    some = n.isNotNull()  # greatest and least pass over nulls
+    return F.when(some, F.greatest(middle - half, F.lit(0.0))).otherwise(0.0), F.when(some, F.least(middle + half, F.lit(1.0))).otherwise(0.0)
 
 
 def percentiles(df: DataFrame, group: str, value: str, *shares: float) -> DataFrame:
