@@ -11,6 +11,8 @@ from ..operators.chunking import chunk_sections
 from ..sources.files import write_chunks
 from ..sources.markdown import sections
 
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def markdown_chunks(files: DataFrame, owner: str, conf: Settings = SETTINGS) -> DataFrame:
     """Chunks of files (path, content) with owner_id."""
@@ -24,7 +26,7 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
 
     A batch that is run again replaces the same partitions. Without multi-table commits, readers may see chunks of a document that isn't ready yet.
     """
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.{md,markdown}").load(source)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.{md,markdown}").load(source)
 
     def store(batch: DataFrame, number: int) -> None:
         chunks = markdown_chunks(batch, owner, conf).persist()
