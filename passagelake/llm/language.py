@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,8 +30,8 @@ MOST_LANGUAGES = 256
 #: Letters of a script below this share of a language's don't make it a candidate there.
 LEAST_SCRIPT_SHARE = 0.001
 UNDETERMINED = "und"
-CHARS_AT_ONCE = 1_000_000
-DOCS_AT_ONCE = 2500
+CHARS_AT_ONCE = 400_000
+DOCS_AT_ONCE = 1000
 
 #: First code points of script ranges (fixed values). A range ends where the next begins; names may repeat.
 SCRIPTS = [
@@ -101,9 +102,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         grams: dict[str, np.ndarray] = {}
         scripts: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices([len(t) for t in texts], CHARS_AT_ONCE):
-                found = Letters.of(texts[a:b])
+            langs = batch.column(0).to_pylist()
+            for a, b in slices(pc.utf8_length(batch.column(1)).to_pylist(), CHARS_AT_ONCE):
+                found = Letters.of(batch.column(1)[a:b].to_pylist())
                 n = found.lengths()
                 own = np.array(langs[a:b], dtype=object)[found.word_doc]
                 for name in set(own.tolist()):
@@ -188,15 +189,16 @@ def label_words(texts: list[str], model: Model, penalty: float = SWITCH_PENALTY)
     return Labelled(doc, letters, viterbi(scores, doc, penalty), start)
 
 
-def predict(texts: list[str | None], model: Model, penalty: float = SWITCH_PENALTY) -> tuple[list[str], np.ndarray]:
-    """Language and its share of the letters for each text."""
+def predict(texts: pa.Array | list[str | None], model: Model, penalty: float = SWITCH_PENALTY) -> tuple[list[str], np.ndarray]:
+    """Language and its share of the letters for each text. A column is read in parts."""
     share = np.zeros(len(texts))
     names = [UNDETERMINED] * len(texts)
     if not model.languages:
         return names, share
     size = len(model.languages)
     for a in range(0, len(texts), DOCS_AT_ONCE):
-        some = [t or "" for t in texts[a : a + DOCS_AT_ONCE]]
+        part = texts[a : a + DOCS_AT_ONCE]
+        some = [t or "" for t in (part.to_pylist() if isinstance(part, pa.Array) else part)]
         words = label_words(some, model, penalty)
         total = np.bincount(words.doc * size + words.language, weights=words.letters, minlength=len(some) * size).reshape(-1, size)
         top, letters = total.argmax(1), total.sum(1)
@@ -217,7 +219,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, share = predict(batch.column(at).to_pylist(), model)
+            names, share = predict(batch.column(at), model)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(share)], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
     kept = docs.select(*(f"`{f.name}`" for f in others))

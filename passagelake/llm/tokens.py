@@ -12,7 +12,7 @@ import numpy as np
 
 #: How this kind of tokenizer cuts a text before merging (fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MOST_CACHED = 1_000_000
+MOST_CACHED = 400_000
 #: A space between white space, where runs of it would be cut.
 AWKWARD = re.compile(r"\s (?:\s|\Z)|  ").search
 
@@ -35,10 +35,8 @@ class ByteBpe:
     def __init__(self, path: str) -> None:
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             described = json.load(f)
         pre, model = described["pre_tokenizer"], described["model"]
@@ -55,6 +53,14 @@ class ByteBpe:
             ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if word not in self.special}
             self.merge = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
+    @functools.cached_property
+    def tokenizer(self):
+        """Loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.path)
+
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +34,7 @@ NEARLY_ALL = 0.95
 ROUNDS = 4
 #: The search ends when entries explain all but this share of the toxic texts.
 UNEXPLAINED = 0.01
+COUNTED_AT_ONCE = 150_000
 BEGINNINGS = (4, 5, 6, 7)
 EMPTY = 0.01
 
@@ -97,17 +98,17 @@ class Lexicon:
         return 1 / (1 + np.exp(-(self.intercept + self.slope * np.log(np.maximum(x, 0) + EMPTY))))
 
 
-def strengths(texts: list[str | None], automaton) -> np.ndarray:
+def strengths(texts: Iterable[str | None], automaton) -> np.ndarray:
     """The sum of matched weights over the logarithm of the number of words."""
-    out = np.zeros(len(texts))
-    if len(automaton):
-        for i, text in enumerate(texts):
-            if text:
-                plain = folded(text)
-                total = sum(w for _, w in automaton.iter(plain))
-                if total > 0:
-                    out[i] = total / math.log2(2 + len(plain.split()))
-    return out
+    return np.array([_strength(t, automaton) for t in texts], dtype=np.float64)
+
+
+def _strength(text: str | None, automaton) -> float:
+    if not text or not len(automaton):
+        return 0.0
+    plain = folded(text)
+    total = sum(w for _, w in automaton.iter(plain))
+    return total / math.log2(2 + len(plain.split())) if total > 0 else 0.0
 
 
 def labelled_sample(labels: DataFrame, key: str, label: str, usable: Column, most: int = MOST_LABELLED) -> DataFrame:
@@ -127,12 +128,16 @@ def _entry_counts(texts: DataFrame, taken: dict[str, float]) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Lexicon(taken).automaton()
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
-            counts: tuple[Counter, Counter] = (Counter(), Counter())
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
                 if not (y and strengths([text], automaton)[0]):
                     counts[y].update(entries(set(folded(text).split())) | ({""} if y else set()))
-            yield _two_counts(counts)
+                if len(counts[0]) + len(counts[1]) > COUNTED_AT_ONCE:
+                    yield _two_counts(counts)
+                    counts = (Counter(), Counter())
+        yield _two_counts(counts)
 
     return texts.mapInArrow(count, "entry string, clean bigint, toxic bigint").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
@@ -187,7 +192,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Lexicon(*patterns).automaton()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(strengths(batch.column(1).to_pylist(), automaton))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(strengths((x.as_py() for x in batch.column(1)), automaton))], names=["y", "x"])
 
     points = texts.mapInArrow(measure, "y int, x double").toPandas()
     sample.unpersist()
@@ -251,7 +256,7 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in batches:
-            score = lexicon.probability(strengths(batch.column(at).to_pylist(), automaton))
+            score = lexicon.probability(strengths((x.as_py() for x in batch.column(at)), automaton))
             new = [pa.array(score), pa.array((score >= 0.5).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "score", "predicted"])
 
