@@ -13,6 +13,7 @@ by Spark, and only entries that pass the thresholds (MOST_ENTRIES at most) come
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -65,8 +66,12 @@ class Fold(dict):
 FOLD = Fold()
 
 
+#: Signs that stand for letters only between letters; elsewhere they are punctuation.
+LOOSE_SIGNS = re.compile(r"(?<![^\W_])[!$@|+]+|[!$@|+]+(?![^\W_])")
+
+
 def folded(text: str) -> str:
-    return f" {text.translate(FOLD)} "
+    return f" {LOOSE_SIGNS.sub(' ', text).translate(FOLD)} "
 
 
 def entries(words: set[str]) -> set[str]:
