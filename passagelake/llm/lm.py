@@ -28,7 +28,9 @@ CLASSES = 1024
 CONTEXT = 2
 SIZE = 24
 NOISE = 64
-BATCH = 2048
+LEAST_BATCH, MOST_BATCH = 256, 4096
+#: A batch is this part of the tokens trained on so far: steps are many at first and large later.
+BATCH_PART = 64
 RATE = 0.3
 SEED = 42
 DICTIONARY = 200_000
@@ -213,18 +215,22 @@ def train(docs: DataFrame, known: Vocabulary, text: str = "text", seed: int = SE
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, model = Lookup((w, i) for i, w in enumerate(words)), LogBilinear(shares, seed)
-        trainer, seen = Trainer(model, seed), 0
+        trainer, seen, trained = Trainer(model, seed), 0, 0
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def steps(least: int) -> None:
-            """Steps over what is held, in a seeded order, down to less than ``least`` tokens."""
+        def steps(last: bool) -> None:
+            """Steps over what is held, in a seeded order. Less than a batch stays for later, unless this is the last."""
+            nonlocal trained
             before, word = (np.concatenate(x) for x in zip(*held))
-            order = trainer.random.permutation(len(word))
-            end = len(word) - len(word) % BATCH if least > 1 else len(word)
-            for at in range(0, end, BATCH):
-                some = order[at : min(at + BATCH, end)]
+            order, at = trainer.random.permutation(len(word)), 0
+            while at < len(order):
+                size = min(MOST_BATCH, max(LEAST_BATCH, trained // BATCH_PART))
+                if size > len(order) - at and not last:
+                    break
+                some = order[at : at + size]
                 trainer.step(before[some], word[some])
-            held[:] = [(before[order[end:]], word[order[end:]])]
+                at, trained = at + len(some), trained + len(some)
+            held[:] = [(before[order[at:]], word[order[at:]])]
 
         waiting = 0
         for batch in batches:
@@ -235,10 +241,10 @@ def train(docs: DataFrame, known: Vocabulary, text: str = "text", seed: int = SE
                 held.append((contexts(ids, np.zeros(1, np.int64), model.n), ids))
                 seen, waiting = seen + len(ids), waiting + len(ids)
                 if waiting >= TOKENS_AT_ONCE:
-                    steps(BATCH)
+                    steps(False)
                     waiting = len(held[0][1])
         if waiting:
-            steps(1)
+            steps(True)
         n = len(model.flat) if seen else 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(model.flat[:n].astype(np.float64) * seen), pa.array(np.full(n, float(seen)))], names=["at", "value", "weight"])
 
