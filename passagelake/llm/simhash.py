@@ -228,4 +228,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     named = members.join(distinct, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("first").alias("least"))
     linked = members.join(named, "component").select("node", "least")
     of_fp = distinct.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("least", "first").alias("component_id"))
+    of_fp = written(of_fp, "of-fingerprint")  # so that both sides of the last join are dealt anew and a hot fingerprint can be split
     return fps.join(of_fp, F.col("fp") == F.col("_fp")).select(F.col("key").alias(key), "fp", "component_id")
