@@ -74,9 +74,11 @@ def listed_pages(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataF
     hit = F.lit(True)
     for i in range(WORDS):
         hit = hit & F.expr(f"(shiftright(_u_w{i}, cast(shiftright(_u_mix, {5 * i}) & 31 as int)) & 1) = 1")
-    tested = tested.withColumn("_u_hit", F.when(hit & c.isNotNull(), c))  # null keys never leave their task's join
+    # Only possible hits are looked up; the others are dealt evenly by a key that no URL has.
+    tested = tested.withColumn("_u_hit", F.coalesce(hit & c.isNotNull(), F.lit(False)))
+    tested = tested.withColumn("_u_key", F.when(F.col("_u_hit"), c).otherwise(F.concat(F.lit("\0"), F.xxhash64(*pages.columns).cast("string"))))
     exact = distinct.select(F.col("canonical").alias("_u_exact"))
-    joined = tested.join(exact, F.col("_u_hit") == F.col("_u_exact"), "left")
+    joined = tested.join(exact, (F.col("_u_key") == F.col("_u_exact")) & F.col("_u_hit"), "left")
     return joined.withColumn("is_listed", F.col("_u_exact").isNotNull()).select(*pages.columns, "is_listed")
 
 
