@@ -12,7 +12,7 @@ from passagelake.llm import language
 from passagelake.llm.common import fold, shared_dir, table
 from passagelake.llm.packing import pack_documents
 from passagelake.llm.queries import mixture, tokenizer_path
-from passagelake.llm.simhash import near_duplicates
+from passagelake.llm.simhash_long import kept_keys
 from passagelake.llm.toxicity import fit_lexicon, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,8 +34,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component of SimHash links; of repeated rows of it, one. Rows without doc_id stay."""
-    kept = near_duplicates(docs).where(F.col("component_id") == F.col("doc_id")).select("doc_id")
+    """The document with the smallest doc_id of each group of texts that SimHash calls equal or similar (five words, 0.8).
+
+    Of rows that share that doc_id, one stays. Rows without doc_id stay.
+    """
+    kept = kept_keys(docs)
     named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # both deal rows by doc_id: one shuffle
     return named.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
 

@@ -368,3 +368,45 @@ def test_mixture_is_a_prefix_of_seeded_epochs(spark):
                 want.append((i, whole))
             before += n
     assert sorted((r["doc_id"], r["epoch"]) for r in queries.op10_mixing(spark, SMALL).collect()) == sorted(want)
+
+
+def test_tiles_of_long_fingerprints_cover_all_counts():
+    from passagelake.llm import simhash_long as sl
+
+    rng = np.random.default_rng(2)
+    for most in (1, 7, 100, 10**6):
+        counts = rng.integers(0, 40, 65) * (rng.random(65) < 0.7)
+        first, cuts, ranges = sl.plan_tiles(counts, most)
+        for p in np.flatnonzero(counts):
+            assert all(ranges[first[p] + k][0] <= p <= ranges[first[p] + k][1] for k in range(cuts[p]))
+        assert all(a[1] < b[0] or a == b for a, b in zip(ranges, ranges[1:]))
+
+
+@pytest.mark.parametrize("rows_per_tile", [32768, 40])
+def test_similar_texts_are_grouped_and_others_are_not(spark, rows_per_tile):
+    from passagelake.llm import simhash_long as sl
+
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(4000)]
+    docs, near, far = [], [], []
+    for i in range(60):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(120, 400))]
+        docs.append((i, " ".join(base)))
+        one = list(base)
+        one[rng.randrange(len(one))] = "changed"
+        docs.append((1000 + i, " ".join(one)))  # similarity above 0.9
+        near.append((i, 1000 + i))
+        half = base[: len(base) // 2] + [rng.choice(vocabulary) for _ in range(len(base) // 2)]
+        docs.append((2000 + i, " ".join(half)))  # below 0.5
+        far.append(2000 + i)
+    docs += [(5000, docs[0][1].upper()), (5001, ""), (5002, None), (None, docs[1][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    distinct, _ = sl.similar_groups(df)
+    links = [(r["a"], r["b"]) for r in sl.similar_links(distinct, rows_per_tile=rows_per_tile).collect()]
+    ids = {r["id"] for r in distinct.collect()}
+    found = roots(6000, links)
+    assert all(found[a] == found[b] for a, b in near) and all(found[x] == x for x in far)
+    assert 5000 not in ids and 5002 not in ids and 5001 in ids
+    kept = sorted(r["doc_id"] for r in sl.kept_keys(df).collect())
+    assert kept == sorted([*range(60), *far, 5001])
+    assert len(links) <= 3 * len(ids)
