@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import SETTINGS
@@ -48,9 +48,9 @@ def percentiles(df: DataFrame, group: str, value: str, *shares: float) -> DataFr
 
 def delta_points(metrics: DataFrame, baseline: str) -> DataFrame:
     """Add delta: the hit rate's difference from the baseline's in points, as text."""
-    base = metrics.where(F.col("config") == baseline).select(F.col("hit_rate").alias("_base"))
-    text = F.format_string("%+.1f pp", (F.col("hit_rate") - F.col("_base")) * 100)
-    return metrics.join(F.broadcast(base.limit(1))).withColumn("delta", F.when(F.col("config") == baseline, "baseline").otherwise(text)).drop("_base")
+    base = F.max(F.when(F.col("config") == baseline, F.col("hit_rate"))).over(Window.partitionBy(F.lit(1)))  # a row a config
+    text = F.format_string("%+.1f pp", (F.col("hit_rate") - base) * 100)
+    return metrics.withColumn("delta", F.when(F.col("config") == baseline, "baseline").otherwise(text))
 
 
 def report_lines(metrics: DataFrame) -> DataFrame:

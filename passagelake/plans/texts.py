@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..conf import SETTINGS
 from ..functions import text as tx
 from ..operators import answers as a
+from ..operators import assistant, models
 from ..operators import chunking as ch
 from ..sources import markdown, pdf_lines
 from . import tables as t
@@ -252,10 +253,28 @@ def pdf_sections(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "section_order", tx.encode_path(F.col("heading_path")).alias("path"), "page_start", "page_end", F.length("text").alias("chars"))
 
 
+def embed_passages(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents by the offline stand-in."""
+    e = t.table(spark, d, "documents").select("doc_id", models.embed(F.col("text"), models.HashingEmbedder).alias("v"))
+    return e.select("doc_id", F.size("v").alias("dim"))
+
+
+def answer_records(spark: SparkSession, d: str) -> DataFrame:
+    """Questions answered from end to end with the offline stand-ins, with their markers."""
+    used = assistant.Models()
+    chunks = t.chunks(spark, d).withColumn("embedding", models.embed(F.col("text"), used.embedder))
+    questions = t.questions(spark, d).select("question_id", "text", "owner_id", F.col("question_id").alias("session_id"))
+    context = assistant.context_of(questions, chunks, used)
+    history = a.transcripts(a.recent_history(_messages(spark, d)))
+    answered = assistant.answer(questions, context, history, used)
+    records = assistant.answer_records(questions, answered, context)
+    return records.select("question_id", "grounded", F.size("contexts").alias("n_contexts"), F.array_join("emitted", ",").alias("emitted"), F.array_join("valid", ",").alias("valid"))
+
+
 QUERIES = {f.__name__: f for f in (
     sentence_units, token_count, chunk_pack, chunk_overlap, hard_split, chunk_documents, chunk_index, ingest_status, heading_path_codec, chunk_id, chunk_metadata, citation_markers, hallucinated_markers, citation_metrics,
     build_citations, citations_json, orphan_markers, answer_fragments, source_label, context_block, recent_history, user_prompt, session_title, answer_routing, snippet_truncate, section_match, section_fallback, document_hue,
-    request_id_valid, client_identifier, parse_questions, markdown_sections, pdf_body_size, pdf_heading_levels, pdf_heading_decision, pdf_sections,
+    request_id_valid, client_identifier, parse_questions, markdown_sections, pdf_body_size, pdf_heading_levels, pdf_heading_decision, pdf_sections, embed_passages, answer_records,
 )}
 
 
@@ -303,6 +322,7 @@ def _folded(costs: str) -> str:
 
 
 ORACLES = {
+    "embed_passages": "SELECT doc_id, CASE WHEN trim(text) <> '' THEN 64 ELSE -1 END AS dim FROM documents",
     "sentence_units": f"SELECT doc_id, len(u) AS n, md5(array_to_string(u, '|')) AS units_md5 FROM (SELECT doc_id, {_SPLIT.format('text')} AS u FROM documents)",
     "token_count": f"SELECT doc_id, {_WORDS.format('text')} AS tokens FROM documents",
     "chunk_pack": f"""WITH units AS (SELECT doc_id, list_transform({_SPLIT.format('text')}, lambda u: {_WORDS.format('u')}::BIGINT) AS l FROM documents),
