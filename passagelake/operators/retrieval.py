@@ -6,6 +6,8 @@ to the shortlist only.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,10 +41,14 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.candi
     return top_per_question(scored, [F.desc("similarity"), F.col("chunk_id")], k)
 
 
-def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.candidates) -> DataFrame:
-    """question_id, chunk_id, score, rank: 0.1 for each position with a term of the question, over ln(1 + positions)."""
-    asked = small(questions.select("question_id", "owner_id", F.explode(tx.query_terms(F.col("text"))).alias("term")))
-    words = chunks.select("chunk_id", "owner_id", tx.terms(F.concat_ws(" ", F.nullif("heading_path", F.lit("")), "text")).alias("words"))
+def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.candidates, analyzer: Callable[[Column], Column] | None = None) -> DataFrame:
+    """question_id, chunk_id, score, rank: 0.1 for each position with a term of the question, over ln(1 + positions).
+
+    analyzer: from the terms of a text to those that count, on both sides alike; none leaves them as they are.
+    """
+    analyse = analyzer or (lambda c: c)
+    asked = small(questions.select("question_id", "owner_id", F.explode(F.array_distinct(analyse(tx.query_terms(F.col("text"))))).alias("term")))
+    words = chunks.select("chunk_id", "owner_id", analyse(tx.terms(F.concat_ws(" ", F.nullif("heading_path", F.lit("")), "text"))).alias("words"))
     placed = words.select("chunk_id", "owner_id", F.size("words").alias("n"), F.explode("words").alias("term"))
     matched = placed.join(asked, ["owner_id", "term"]).groupBy("question_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("m"))
     scored = matched.select("question_id", "chunk_id", (0.1 * F.col("m") / F.log(1.0 + F.col("n"))).alias("score"))

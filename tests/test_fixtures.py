@@ -236,3 +236,35 @@ def test_frames(spark):
     e = spark.createDataFrame([("a", 0, "meta", ""), ("a", 1, "token", "x"), ("a", 2, "token", "y"), ("a", 3, "done", ""), ("b", 0, "meta", ""), ("b", 1, "token", "z"), ("b", 2, "error", ""), ("c", 0, "token", "")], "stream_id string, seq int, event string, data string")
     assert {x["stream_id"]: (x["valid"], x["complete"]) for x in sse.protocol(e).collect()} == {"a": (True, True), "b": (True, False), "c": (False, False)}
     assert [tuple(x) for x in sse.reconcile(e.where("stream_id <> 'c'")).collect()] == [("a", "xy")]
+
+
+STEMS = """consign consign|consigned consign|consistency consist|consistently consist|knightly knight|happy happi|skies sky|dying die|generously generous|general general|communication communic|national nation|relational relat|caresses caress
+ponies poni|ties tie|cries cri|hopping hop|hoped hope|running run|agreed agre|feed feed|gas gas|gaps gap|kiwis kiwi|by by|say say|cry cri|bed bed|shed shed|hopefulness hope|rational ration|formaliti formal|decisiveness decis|adjustment adjust
+adoption adopt|controlling control|rolled roll|luxuriated luxuri|news news|succeeded succeed|yes yes|youth youth|boyish boyish|biology biolog|necessarily necessarili"""
+
+
+def test_stems():
+    from passagelake.functions.english import stem
+
+    pairs = [x.split() for x in STEMS.replace("\n", "|").split("|")]
+    assert {w: stem(w) for w, _ in pairs} == {w: s for w, s in pairs}
+
+
+def test_english_search(spark):
+    from passagelake.functions.english import english
+
+    q = spark.createDataFrame([(1, "alice", "the policies recognized", None), (2, "alice", "the of and", None)], "question_id int, owner_id string, text string, embedding array<float>")
+    assert [(x["question_id"], x["chunk_id"]) for x in r.lexical_topk(q, corpus(spark), analyzer=english).collect()] == [(1, "alice:0")]
+
+
+def test_models(spark):
+    from passagelake.operators import assistant, models
+
+    df = spark.createDataFrame([(1, "some words"), (2, " "), (3, None)], "id int, x string")
+    got = {x["id"]: x["v"] for x in df.select("id", models.embed(F.col("x"), models.HashingEmbedder).alias("v")).collect()}
+    assert len(got[1]) == 64 and got[2] is None and got[3] is None
+    chunks = corpus(spark).withColumn("embedding", models.embed(F.col("text"), models.HashingEmbedder))
+    questions = spark.createDataFrame([(1, 1, "alice", "warehouse safety manual?"), (2, 2, "nobody", "revenue?")], "question_id int, session_id int, owner_id string, text string")
+    context = assistant.context_of(questions, chunks, assistant.Models())
+    first = context.where("marker = 1").first()
+    assert first["chunk_id"] == "alice:1" and context.where("question_id = 2").count() == 0
