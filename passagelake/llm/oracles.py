@@ -5,7 +5,26 @@ from __future__ import annotations
 _REST = "CASE WHEN position('://' IN url) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END"
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _crc_of_nibble(n: int) -> int:
+    for _ in range(4):
+        n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+    return n
+
+
+_NIBBLES = "[" + ", ".join(str(_crc_of_nibble(n)) for n in range(16)) + "]::BIGINT[]"
+_HALF = f"xor(xor(a, x) >> 4, ({_NIBBLES})[(xor(a, x) & 15) + 1])"
+_CRC32 = f"xor(list_reduce(list_transform(regexp_extract_all({{0}}, '..'), lambda c: ('0x' || c)::BIGINT), lambda a, x: xor({_HALF} >> 4, ({_NIBBLES})[({_HALF} & 15) + 1]), 4294967295::BIGINT), 4294967295)"
+
 ORACLES: dict[str, str] = {
+    "op1_sharding": f"""
+WITH raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT doc_id, source, len(h) // 2 + 16 AS size, {_CRC32.format("h")} AS text_crc32, ('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10))::BIGINT AS hash FROM raw),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash, doc_id, size, text_crc32) AS k, count(*) OVER (PARTITION BY source) AS n FROM sized),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1) / (2 * n)::DOUBLE, coalesce('=' || source, ''), k) - 1 AS p, count(*) OVER () AS total FROM ranked),
+cut AS (SELECT *, (p * 40) // total AS shard FROM placed)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, p - (shard * total + 39) // 40 AS slot, CAST(NULL AS INT) AS grown_shard, source FROM cut""",
     "op8_url_filter": f"""
 WITH cut AS (SELECT page_id, url, {_REST} AS rest FROM pages),
 parts AS (
