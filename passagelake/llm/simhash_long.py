@@ -3,9 +3,10 @@
 A fingerprint of 2048 bits over the set of a text's word shingles tells the cosine of two sets, and with their sizes their
 Jaccard similarity, to about 0.02. Tiles hold distinct fingerprints of neighbouring population counts (of the first 64 bits). Pairs of tiles whose counts
 differ beyond the radius are skipped; in the others every pair is compared: the first 64 bits by exclusive-or and bit count
-in numpy blocks, all bits for those within the radius.
+in numpy blocks, the next 64 of those within the radius, and all bits of those that still are.
 
-A task holds one tile (ROWS_PER_TILE rows) and streams another past it. It returns links that join its groups, not all pairs.
+Each fingerprint is sent once for each tile within the radius, so copies grow with the number of distinct texts over
+ROWS_PER_TILE. A task holds one tile and streams another past it. It returns links that join its groups, not all pairs.
 """
 
 from __future__ import annotations
@@ -27,9 +28,12 @@ SEED = 42
 SIMILARITY = 0.8
 #: The estimate's spread is 0.02 here: links are taken from a little below, so that few of the wanted similarity are missed.
 ALLOWANCE = 0.02
-#: Of the first 64 bits, 11 differ on average at the similarity, with a spread of 3.
-RADIUS = 21
-ROWS_PER_TILE = 32768
+#: Of 64 bits, 10 differ on average at the similarity, with a spread of 3; of 128, 19 with a spread of 4.
+RADIUS = 20
+RADIUS_2 = 37
+ROWS_PER_TILE = 1 << 17
+#: So many tiles at least where rows allow it, for the sake of parallel tasks.
+LEAST_TILES, LEAST_ROWS = 8, 1024
 BLOCK = 1 << 20
 SHINGLES_AT_ONCE = 2040
 #: Odd multipliers, one for each 64 bits, and the mixing steps' constant (made from a rule).
@@ -112,7 +116,7 @@ def similar_links(distinct: DataFrame, least: float = SIMILARITY, rows_per_tile:
     counts = np.zeros(65, np.int64)
     for p, n in distinct.select("fp").mapInArrow(count, "p bigint, n bigint").groupBy("p").agg(F.sum("n")).collect():
         counts[p] = n
-    first, cuts, ranges = plan_tiles(counts, rows_per_tile)
+    first, cuts, ranges = plan_tiles(counts, min(rows_per_tile, max(LEAST_ROWS, -(-int(counts.sum()) // LEAST_TILES))))
     lows, highs = (np.array([r[i] for r in ranges], np.int64) for i in (0, 1))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +172,8 @@ class Pair:
     def _open(self) -> None:
         if self.root is None:
             self.ids, self.fp, self.n = (np.concatenate(x) for x in zip(*self.waiting)) if self.waiting else (np.empty(0, np.int64), np.empty((0, LANES), np.uint64), np.empty(0, np.int64))
-            self.lead, self.root, self.waiting = np.ascontiguousarray(self.fp[:, 0]), np.arange(len(self.ids)), []
+            self.lead, self.second = (np.ascontiguousarray(self.fp[:, i]) for i in (0, 1))
+            self.root, self.waiting = np.arange(len(self.ids)), []
             if self.own:
                 for i, j in self._near(self.fp, self.n, later=True):
                     self._join(i, j)
@@ -183,6 +188,8 @@ class Pair:
             i, j = i + at, j + start
             if later:
                 i, j = i[i < j], j[i < j]
+            both = np.bitwise_count(fp[i, 0] ^ self.lead[j]) + np.bitwise_count(fp[i, 1] ^ self.second[j]) <= RADIUS_2
+            i, j = i[both], j[both]
             for part in range(0, len(i), 1 << 16):
                 a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
                 similar = similarity(fp[a], self.fp[b], n[a], self.n[b]) >= self.least

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import written
+
 MOST_LABELLED = 8000
 MOST_ENTRIES = 5000
 LEAST_TEXTS = 5
@@ -170,12 +172,11 @@ def log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """Learn from rows of ``labels`` where ``usable`` holds. Without rows of both labels, the lexicon is empty and every score 0."""
-    sample = labelled_sample(labels, key, label, usable).cache()
-    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    texts = written(_texts(docs, labelled_sample(labels, key, label, usable), key, text), "labelled")  # 2 MOST_LABELLED rows at most, read several times
+    n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
-        sample.unpersist()
         return Lexicon()
-    texts, weights = _texts(docs, sample, key, text), {}
+    weights: dict[str, float] = {}
     odds = ((F.col("toxic") + 0.5) / (n[1] + 1)) / ((F.col("clean") + 0.5) / (n[0] + 1))
     for _ in range(ROUNDS):
         # Words of toxic texts that an entry explains already, such as those of their copies, are no evidence.
@@ -200,7 +201,6 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(strengths((x.as_py() for x in batch.column(1)), automaton))], names=["y", "x"])
 
     points = texts.mapInArrow(measure, "y int, x double").toPandas()
-    sample.unpersist()
     found.intercept, found.slope = _logistic(np.log(np.maximum(points["x"].to_numpy(), 0) + EMPTY), points["y"].to_numpy())
     return found
 
