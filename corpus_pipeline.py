@@ -34,7 +34,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of texts that SimHash calls equal or similar (five words, 0.8).
+    """The document with the smallest doc_id of each group of texts that are equal or similar (Jaccard similarity of five-word shingles, 0.8); SimHash finds the candidates.
 
     Of rows that share that doc_id, one stays. Rows without doc_id stay.
     """

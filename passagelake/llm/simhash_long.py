@@ -1,16 +1,20 @@
-"""SimHash near-duplicates by similarity: long fingerprints, compared in tiles.
+"""Near-duplicates by Jaccard similarity of shingle sets: SimHash finds candidates, the whole sets decide.
 
-A fingerprint of 2048 bits over the set of a text's word shingles tells the cosine of two sets, and with their sizes their
-Jaccard similarity, to about 0.02. Tiles hold distinct fingerprints of neighbouring population counts (of the first 64 bits). Pairs of tiles whose counts
-differ beyond the radius are skipped; in the others every pair is compared: the first 64 bits by exclusive-or and bit count
-in numpy blocks, the next 64 of those within the radius, and all bits of those that still are.
+A fingerprint of 2048 bits over the set of a text's word shingles finds the candidates: radii hold all pairs of the wanted similarity
+but one in a million, also for sets so small that tied votes matter. Sets whose sizes differ by more than the similarity
+allows can't be similar, so tiles hold distinct sets of neighbouring sizes, and only tiles within that reach are compared: the first 128 bits
+by exclusive-or and bit count in numpy blocks, the first 512 of those within the radius, and all bits of those that still are.
 
-Each fingerprint is sent once for each tile within the radius, so copies grow with the number of distinct texts over
-ROWS_PER_TILE. A task holds one tile and streams another past it. It returns links that join its groups, not all pairs.
+Each fingerprint is sent once for each tile within reach, so copies grow with the number of distinct texts over
+ROWS_PER_TILE. A task holds one tile and streams another past it. There are three passes, and the links of each are joined to the shingle sets and
+held against the similarity. The first two return links that join groups by the similarity told, for copies in great numbers; the third
+returns every candidate between the groups that remain. So a pair is left unchecked only if checked links join it already.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,14 +30,19 @@ LANES = BITS // 64
 WORDS = 5
 SEED = 42
 SIMILARITY = 0.8
-#: The estimate's spread is 0.02 here: links are taken from a little below, so that few of the wanted similarity are missed.
-ALLOWANCE = 0.02
-#: Of 64 bits, 10 differ on average at the similarity, with a spread of 3; of 128, 19 with a spread of 4.
-RADIUS = 20
-RADIUS_2 = 37
+#: Chance that a pair of the wanted similarity is beyond a radius (4.75 spreads or so).
+MISSED = 1e-6
+#: What the first two passes want above the similarity. They only spare the third work.
+ABOVE = (0.02, 0.0)
+#: Lanes of 64 bits in each comparison, the last of all.
+STEPS = (2, 8, LANES)
+#: From this size of sets on, ties of votes matter little.
+LARGE = 64
+#: Bins of sizes for each factor that the similarity allows.
+REACH = 8
 ROWS_PER_TILE = 1 << 17
 #: So many tiles at least where rows allow it, for the sake of parallel tasks.
-LEAST_TILES, LEAST_ROWS = 8, 1024
+LEAST_TILES, LEAST_ROWS = 32, 1024
 BLOCK = 1 << 20
 SHINGLES_AT_ONCE = 2040
 #: Odd multipliers, one for each 64 bits, and the mixing steps' constant (made from a rule).
@@ -41,16 +50,20 @@ MULTIPLIERS = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def long_fingerprint(data: bytes, words_in: int = WORDS) -> tuple[bytes, int]:
-    """The fingerprint of the set of word shingles (A-Z lower-cased) and the set's size; zeros without words."""
+def shingle_set(data: bytes, words_in: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the set of word shingles (A-Z lower-cased); a text of fewer words is one shingle."""
     import xxhash
 
     words = data.lower().split()
     if not words:
-        return bytes(BITS // 8), 0
+        return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(words_in)))) if len(words) >= words_in else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.unique(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
+    return np.unique(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
+
+
+def long_fingerprint(hashes: np.ndarray) -> bytes:
+    """The fingerprint of a shingle set; zeros without words."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), SHINGLES_AT_ONCE):
         some = hashes[at : at + SHINGLES_AT_ONCE]
@@ -60,18 +73,68 @@ def long_fingerprint(data: bytes, words_in: int = WORDS) -> tuple[bytes, int]:
         rows[: len(some)] = mixed ^ mixed >> np.uint64(32)
         bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
         votes += bits.reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-    return np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), len(hashes)
+    return np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes()
 
 
 def long_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words_in: int = WORDS) -> DataFrame:
-    """key, fp (binary) and n of each whole text; null counts as empty."""
+    """key, fp (binary), n and digest of the shingle set of each whole text; null counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            fps, sizes, digests = [], [], []
+            for x in batch.column(1):
+                hashes = shingle_set(x.as_py(), words_in)
+                fps.append(long_fingerprint(hashes))
+                sizes.append(len(hashes))
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["key", "fp", "n", "digest"])
+
+    return docs.select(F.col(key).cast("long"), text_bytes(F.col(text))).mapInArrow(run, "key long, fp binary, n bigint, digest binary")
+
+
+def shingle_sets(docs: DataFrame, text: str, key: str, words_in: int) -> DataFrame:
+    """id and hashes of the shingle set of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [long_fingerprint(x.as_py(), words_in) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.int64())], names=["key", "fp", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words_in).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], names=["id", "hashes"])
 
-    return docs.select(F.col(key).cast("long"), text_bytes(F.col(text))).mapInArrow(run, "key long, fp binary, n bigint")
+    return docs.select(F.col(key).cast("long"), text_bytes(F.col(text))).mapInArrow(run, "id long, hashes array<bigint>")
+
+
+def _differing(common: int, only_a: int, only_b: int) -> float:
+    """The chance that a bit differs between two sets: each shingle votes +1 or -1, and a tie gives 0."""
+    put = lambda n: np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
+    total = 2 * np.arange(common + 1) - common
+
+    def set_by(n: int) -> np.ndarray:
+        return (put(n)[None] * (total[:, None] + 2 * np.arange(n + 1)[None] - n > 0)).sum(axis=1)
+
+    a, b = set_by(only_a), set_by(only_b)
+    return float((put(common) * (a * (1 - b) + b * (1 - a))).sum())
+
+
+def _radius(bits: int, share: float) -> int:
+    """The least number that more differing bits than that have a chance of MISSED at most."""
+    logs = [math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) + k * math.log(share) + (bits - k) * math.log1p(-share) for k in range(bits + 1)]
+    beyond = np.cumsum(np.exp(logs)[::-1])[::-1]
+    return int(np.flatnonzero(np.append(beyond[1:], 0) <= MISSED)[0])
+
+
+@functools.cache
+def radii(least: float) -> np.ndarray:
+    """For each size of the smaller set, or LARGE and more, the radius of each of STEPS that holds pairs of at least that similarity."""
+    share = np.full(LARGE + 1, 1e-9)
+    share[LARGE] = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi + 1e-9
+    for n in range(1, LARGE + 1):
+        for m in range(n, math.floor(n / least + 1e-9) + 1):
+            for common in range(math.ceil(least * (n + m) / (1 + least) - 1e-9), n + 1):
+                share[n] = max(share[n], _differing(common, n - common, m - common))
+    share[LARGE] = share[-16:].max()  # sizes of every parity
+    share = np.maximum.accumulate(share[::-1])[::-1]
+    return np.array([[_radius(64 * lanes, p) for lanes in STEPS] for p in share.tolist()])
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -103,18 +166,36 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, LANES)
 
 
-def similar_links(distinct: DataFrame, least: float = SIMILARITY, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
-    """Links a, b between ids of ``distinct`` (id, fp, n) that join groups of at least that similarity. Tiles are planned on the driver from 65 counts."""
-    least = least - ALLOWANCE
+def _bins(n: np.ndarray, least: float) -> np.ndarray:
+    """Sizes in a logarithmic scale: those that the similarity allows are REACH + 1 bins apart at most."""
+    return np.floor(np.log(np.maximum(n, 1)) / -np.log(least) * REACH).astype(np.int64)
+
+
+def similar_links(distinct: DataFrame, least: float = SIMILARITY, rows_per_tile: int = ROWS_PER_TILE, groups: DataFrame | None = None, above: float | None = ABOVE[0]) -> DataFrame:
+    """Candidate links a, b between ids of ``distinct`` (id, fp, n).
+
+    groups: node and component, already joined. Links join what by the similarity told is so much above the one wanted; where that is None,
+    they are all pairs between different groups that may be of the wanted one. Tiles are planned on the driver from the counts of logarithmic sizes.
+    """
+    if not 0 < least < 1:
+        raise ValueError("least must lie between 0 and 1")
+    within, told = radii(least), None if above is None else least + above
+    if groups is None:
+        distinct = distinct.withColumn("group", F.col("id"))
+    else:
+        named = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
+        distinct = distinct.select("id", "fp", "n").join(named, "id", "left").withColumn("group", F.coalesce("group", "id"))
+    most_bins = int(_bins(np.array([2**40]), least)[0]) + 1
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(65, np.int64)
+        total = np.zeros(most_bins, np.int64)
         for batch in batches:
-            total += np.bincount(np.bitwise_count(_words(batch.column(0))[:, 0]), minlength=65)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(65)), pa.array(total)], names=["p", "n"])
+            total += np.bincount(_bins(batch.column(0).to_numpy(), least), minlength=most_bins)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["p", "n"])
 
-    counts = np.zeros(65, np.int64)
-    for p, n in distinct.select("fp").mapInArrow(count, "p bigint, n bigint").groupBy("p").agg(F.sum("n")).collect():
+    counts = np.zeros(most_bins, np.int64)
+    for p, n in distinct.select("n").mapInArrow(count, "p bigint, n bigint").groupBy("p").agg(F.sum("n")).collect():
         counts[p] = n
     first, cuts, ranges = plan_tiles(counts, min(rows_per_tile, max(LEAST_ROWS, -(-int(counts.sum()) // LEAST_TILES))))
     lows, highs = (np.array([r[i] for r in ranges], np.int64) for i in (0, 1))
@@ -123,16 +204,16 @@ def similar_links(distinct: DataFrame, least: float = SIMILARITY, rows_per_tile:
         """Each fingerprint once for each pair of tiles that its own is in. The lower tile of a pair is at home there."""
         for batch in batches:
             lead = _words(batch.column(1))[:, 0]
-            p = np.bitwise_count(lead)
+            p = _bins(batch.column(2).to_numpy(), least)
             tile = first[p] + ((lead * MIX >> np.uint64(33)) % cuts[p].astype(np.uint64)).astype(np.int64)
             for other in range(len(ranges)):
-                rows = np.flatnonzero((lows[other] - highs[tile] <= RADIUS) & (lows[tile] - highs[other] <= RADIUS))
+                rows = np.flatnonzero((lows[other] <= p + REACH + 1) & (p - REACH - 1 <= highs[other]))
                 if len(rows):
                     low, high = np.minimum(tile[rows], other), np.maximum(tile[rows], other)
                     taken = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(low << 31 | high), pa.array(tile[rows] > other), *taken.columns], names=["place", "visitor", "id", "fp", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(low << 31 | high), pa.array(tile[rows] > other), *taken.columns], names=["place", "visitor", "id", "fp", "n", "group"])
 
-    dealt = distinct.select("id", "fp", "n").mapInArrow(visits, "place bigint, visitor boolean, id bigint, fp binary, n bigint")
+    dealt = distinct.select("id", "fp", "n", "group").mapInArrow(visits, "place bigint, visitor boolean, id bigint, fp binary, n bigint, group bigint")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, pair = None, None
@@ -142,93 +223,143 @@ def similar_links(distinct: DataFrame, least: float = SIMILARITY, rows_per_tile:
             for a, b in zip(starts, [*starts[1:], len(place)]):
                 if place[a] != here:
                     if pair:
-                        yield pair.finish()
-                    here, pair = place[a], Pair(place[a] >> 31 == place[a] & 0x7FFFFFFF, least)
+                        yield from pair.finish()
+                    here, pair = place[a], Pair(place[a] >> 31 == place[a] & 0x7FFFFFFF, least, within, told)
                 part = batch.slice(a, b - a)
-                rows = (part.column(2).to_numpy(), _words(part.column(3)), part.column(4).to_numpy())
+                rows = (part.column(2).to_numpy(), _words(part.column(3)), part.column(4).to_numpy(), part.column(5).to_numpy())
                 if visitor[a]:
                     yield from pair.visit(*rows)
                 else:
                     pair.settle(*rows)
         if pair:
-            yield pair.finish()
+            yield from pair.finish()
 
     return dealt.repartition("place").sortWithinPartitions("place", "visitor").mapInArrow(compare, "a bigint, b bigint")
 
 
-def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
 class Pair:
-    """Two tiles, or one tile with itself: rows at home, and which are joined so far."""
+    """Two tiles, or one tile with itself: rows at home with their groups. ``told`` is the similarity told that joins groups; without it, all candidates between groups are returned."""
 
-    def __init__(self, own: bool, least: float) -> None:
-        self.own, self.least, self.waiting, self.root = own, least, [], None
+    def __init__(self, own: bool, least: float, within: np.ndarray, told: float | None) -> None:
+        self.own, self.least, self.within, self.told, self.waiting, self.ids = own, least, within, told, [], None
 
     def settle(self, *rows: np.ndarray) -> None:
         self.waiting.append(rows)
 
-    def _open(self) -> None:
-        if self.root is None:
-            self.ids, self.fp, self.n = (np.concatenate(x) for x in zip(*self.waiting)) if self.waiting else (np.empty(0, np.int64), np.empty((0, LANES), np.uint64), np.empty(0, np.int64))
-            self.lead, self.second = (np.ascontiguousarray(self.fp[:, i]) for i in (0, 1))
-            self.root, self.waiting = np.arange(len(self.ids)), []
+    def _open(self) -> Iterator[pa.RecordBatch]:
+        """Takes what waits as the rows at home, by size; links among them where the tile is compared with itself."""
+        if self.ids is None:
+            none = (np.empty(0, np.int64), np.empty((0, LANES), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+            ids, fp, n, group = (np.concatenate(x) for x in zip(*self.waiting)) if self.waiting else none
+            order = np.argsort(n, kind="stable")
+            self.ids, self.fp, self.n, self.group, self.waiting = ids[order], fp[order], n[order], group[order], []
+            self.lead = [np.ascontiguousarray(self.fp[:, k]) for k in range(STEPS[0])]
+            self.root = _first(self.group)
             if self.own:
-                for i, j in self._near(self.fp, self.n, later=True):
-                    self._join(i, j)
+                yield from self._linked(self.ids, self.group, self._near(self.fp, self.n, later=True))
 
-    def _near(self, fp: np.ndarray, n: np.ndarray, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a row given and a row at home that are similar; with later, only of those at home after it."""
-        step = max(1, BLOCK // max(1, len(self.lead)))
+    def _near(self, fp: np.ndarray, n: np.ndarray, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidates: a row given (by size), a row at home, and the similarity told; with later, only of those at home after it."""
+        step = max(1, BLOCK // max(1, len(self.n)))
         for at in range(0, len(fp), step):
-            start = at if later else 0
-            close = np.bitwise_count(fp[at : at + step, :1] ^ self.lead[None, start:]) <= RADIUS
-            i, j = np.nonzero(close)
+            end = min(at + step, len(fp))
+            start = max(at if later else 0, int(np.searchsorted(self.n, n[at] * self.least - 1e-6)))
+            stop = int(np.searchsorted(self.n, n[end - 1] / self.least + 1e-6, side="right"))
+            if start >= stop:
+                continue
+            radius = self.within[min(LARGE, n[at], self.n[start])]
+            differing = sum(np.bitwise_count(fp[at:end, k, None] ^ lead[None, start:stop]) for k, lead in enumerate(self.lead))
+            i, j = np.nonzero(differing <= radius[0])
             i, j = i + at, j + start
-            if later:
-                i, j = i[i < j], j[i < j]
-            both = np.bitwise_count(fp[i, 0] ^ self.lead[j]) + np.bitwise_count(fp[i, 1] ^ self.second[j]) <= RADIUS_2
-            i, j = i[both], j[both]
+            fits = (np.minimum(n[i], self.n[j]) >= np.maximum(n[i], self.n[j]) * self.least - 1e-6) & (i < j if later else True)
+            i, j = i[fits], j[fits]
             for part in range(0, len(i), 1 << 16):
                 a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-                similar = similarity(fp[a], self.fp[b], n[a], self.n[b]) >= self.least
-                if similar.any():
-                    yield a[similar], b[similar]
-
-    def _join(self, i: np.ndarray, j: np.ndarray) -> None:
+                for lanes, most in zip(STEPS[1:], radius[1:]):
+                    close = np.bitwise_count(fp[a, :lanes] ^ self.fp[b, :lanes]).sum(axis=1) <= most
+                    a, b = a[close], b[close]
+                if len(a):
+                    yield a, b, similarity(fp[a], self.fp[b], n[a], self.n[b])
+
+    def _linked(self, ids: np.ndarray, group: np.ndarray, near: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], offset: int = 0) -> Iterator[pa.RecordBatch]:
+        """Links of candidates; offset is added to the rows given to make them rows of ids."""
+        for i, j, told in near:
+            i = i + offset
+            if self.told is None:
+                apart = group[i] != group[j]
+                yield _links(ids[i[apart]], ids[j[apart]])
+            else:
+                seem = np.flatnonzero(told >= self.told)
+                seem = seem[np.argsort(-told[seem], kind="stable")]
+                yield from self._join(ids, i[seem], j[seem])
+
+    def _join(self, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Joins rows and returns one link, the first given, for each group that is joined to another."""
         while True:
             a, b = self.root[i], self.root[j]
             apart = a != b
             if not apart.any():
                 return
             i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            joined, first = np.unique(np.maximum(a, b), return_index=True)
+            self.root[joined] = np.minimum(a, b)[first]
             while not np.array_equal(up := self.root[self.root], self.root):
                 self.root = up
+            yield _links(ids[i[first]], ids[j[first]])
+
+    def visit(self, ids: np.ndarray, fp: np.ndarray, n: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Links between visitors and rows at home. Visitors count behind the rows at home, so joined rows keep one at home as their root."""
+        yield from self._open()
+        order, home = np.argsort(n, kind="stable"), len(self.root)
+        groups = np.append(self.group, group[order])
+        first = _first(groups)[home:]
+        self.root = np.append(self.root, first)
+        self.root[home:][first < home] = self.root[first[first < home]]
+        yield from self._linked(np.append(self.ids, ids[order]), groups, self._near(fp[order], n[order]), home)
+        self.root = self.root[:home]
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        yield from self._open()
+
+
+def _first(group: np.ndarray) -> np.ndarray:
+    """For each row the first of its group."""
+    _, first, at = np.unique(group, return_index=True, return_inverse=True)
+    return first[at]
+
+
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
 
-    def visit(self, ids: np.ndarray, fp: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Links of visitors to the first row at home that is similar; others that are, are joined with that."""
-        self._open()
-        for i, j in self._near(fp, n):
-            rows, first = np.unique(i, return_index=True)
-            self._join(j[first][np.searchsorted(rows, i)], j)
-            yield _links(ids[rows], self.ids[j[first]])
+def checked_links(links: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, words_in: int = WORDS) -> DataFrame:
+    """The links a, b whose texts' whole shingle sets have at least that Jaccard similarity."""
+    ids = links.select(F.col("a").alias(key)).union(links.select("b")).distinct()
+    sets = written(shingle_sets(docs.select(F.col(key).cast("long").alias(key), text).join(ids, key, "left_semi").dropDuplicates([key, text]), text, key, words_in), "shingle-sets")
 
-    def finish(self) -> pa.RecordBatch:
-        self._open()
-        joined = np.flatnonzero(self.root != np.arange(len(self.root)))
-        return _links(self.ids[joined], self.ids[self.root[joined]])
+    left = links.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
+    common = F.size(F.array_intersect("of_a", "of_b"))  # row by row: batches of large sets would outgrow memory
+    return both.where((common >= 1) & (common / (F.size("of_a") + F.size("of_b") - common) >= least)).select("a", "b")
 
 
 def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, words_in: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """Two tables: distinct fingerprints (id, the smallest key of their rows; fp; n), and node and component of the ids that links join.
+    """Two tables: distinct shingle sets (id, the smallest key of their rows; fp; n), and node and component of the ids that links join.
 
-    Rows with a null key are left out; null and empty texts are one fingerprint; equal texts share theirs. Empty input gives empty tables.
+    Rows with a null key are left out; null and empty texts are one set; equal texts share theirs. Empty input gives empty tables.
     """
-    fps = long_fingerprints(docs.where(F.col(key).isNotNull()), text, key, words_in)
-    distinct = written(fps.groupBy("fp", "n").agg(F.min("key").alias("id")), "distinct-long")
-    return distinct, connected_components(similar_links(distinct, least))
+    docs = docs.where(F.col(key).isNotNull())
+    fps = long_fingerprints(docs, text, key, words_in)
+    distinct = written(fps.groupBy("fp", "n", "digest").agg(F.min("key").alias("id")).drop("digest"), "distinct-long")
+
+    seen = None
+    for above in (*ABOVE, None):
+        links = similar_links(distinct, least, groups=seen, above=above).where(F.col("a") != F.col("b")).distinct()
+        links = written(checked_links(written(links, "candidates"), docs, text, key, least, words_in), "checked")
+        if seen is not None:
+            links = links.unionByName(seen.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        seen = connected_components(links)
+    return distinct, seen
 
 
 def kept_keys(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:

@@ -410,3 +410,33 @@ def test_similar_texts_are_grouped_and_others_are_not(spark, rows_per_tile):
     kept = sorted(r["doc_id"] for r in sl.kept_keys(df).collect())
     assert kept == sorted([*range(60), *far, 5001])
     assert len(links) <= 3 * len(ids)
+
+
+def test_near_duplicates_are_decided_by_whole_shingle_sets(spark):
+    from passagelake.llm import simhash_long as sl
+
+    rng = random.Random(5)
+    docs, made = [], iter(range(10**6))
+    fresh = lambda n: [f"w{next(made)}" for _ in range(n)]
+
+    def add(*texts):
+        docs.extend([(len(docs) + k, " ".join(words)) for k, words in enumerate(texts)])
+
+    for _ in range(12):
+        for n, more in ((8, 1), (9, 1), (10, 1), (16, 3), (20, 4), (804, 200), (804, 201), (804, 210), (804, 180)):  # of n - 4 shingles, so many more
+            base = fresh(n)
+            add(base, base + fresh(more))
+        for n in (8, 12, 20):
+            base = fresh(n)
+            add(base, base[:-1] + fresh(1), base[:-2] + fresh(2))
+        base = fresh(200)
+        for _ in range(3):  # chains and stars about the similarity
+            at = rng.randrange(200)
+            base = base[:at] + fresh(rng.randint(2, 40)) + base[at:]
+            add(base)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, x in docs for w in [x.split()]}
+    links = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    found = roots(len(docs), links)
+    assert len(links) > 100
+    kept = sorted(r["doc_id"] for r in sl.kept_keys(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert kept == sorted({found[i] for i in sets})
