@@ -1,14 +1,17 @@
 """Near-duplicates by Jaccard similarity of shingle sets: SimHash finds candidates, the whole sets decide.
 
-A fingerprint of 2048 bits over the set of a text's word shingles finds the candidates: radii hold all pairs of the wanted similarity
-but one in a million, also for sets so small that tied votes matter. Sets whose sizes differ by more than the similarity
-allows can't be similar, so tiles hold distinct sets of neighbouring sizes, and only tiles within that reach are compared: the first 128 bits
-by exclusive-or and bit count in numpy blocks, the first 512 of those within the radius, and all bits of those that still are.
-
-Each fingerprint is sent once for each tile within reach, so copies grow with the number of distinct texts over
-ROWS_PER_TILE. A task holds one tile and streams another past it. There are three passes, and the links of each are joined to the shingle sets and
-held against the similarity. The first two return links that join groups by the similarity told, for copies in great numbers; the third
-returns every candidate between the groups that remain. So a pair is left unchecked only if checked links join it already.
+A fingerprint of 2048 bits over the set of a text's word shingles tells the similarity of two sets: radii hold all pairs of the wanted
+one but one in a million, also for sets so small that tied votes matter. At this similarity a pair may differ in a fifth of its bits, while
+population counts spread by a hundredth, so tiles by population counts alone would all have to meet, and work would grow with the
+square of the texts. Tiles are therefore formed by shared keys: each of BANDS keys is made of the least values of the set under LEAST_OF
+hash functions, so unrelated sets don't meet whatever their number, and a pair of the similarity meets in none with a chance of one in a million.
+Copies of a text's row are BANDS at any size of the input. Only keys that several sets have become tiles; in those, rows are compared by exclusive-or and bit count in
+numpy blocks, first 128 bits, then 512, then all; blocks whose set sizes or population counts differ beyond the reach are skipped.
+
+A tile with more than ROWS_PER_TILE rows is cut. There are two passes. The first joins rows of a cut by the similarity told, each row once;
+its links are held against the whole shingle sets and joined to groups. The second returns every candidate between different groups:
+in a cut tile, rows of its largest group stay at home and only the others visit all cuts, so copies in great numbers cost no
+more than their number. A pair is left unchecked only if checked links join it already.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import text_bytes, written
 from .components import connected_components
@@ -32,21 +36,22 @@ SEED = 42
 SIMILARITY = 0.8
 #: Chance that a pair of the wanted similarity is beyond a radius (4.75 spreads or so).
 MISSED = 1e-6
-#: What the first two passes want above the similarity. They only spare the third work.
-ABOVE = (0.02, 0.0)
+#: What the first pass wants above the similarity, and the bands whose tiles it takes links from. They only spare the second work.
+ABOVE, LINKING = 0.02, 4
 #: Lanes of 64 bits in each comparison, the last of all.
 STEPS = (2, 8, LANES)
 #: From this size of sets on, ties of votes matter little.
 LARGE = 64
-#: Bins of sizes for each factor that the similarity allows.
-REACH = 8
-ROWS_PER_TILE = 1 << 17
-#: So many tiles at least where rows allow it, for the sake of parallel tasks.
-LEAST_TILES, LEAST_ROWS = 32, 1024
+#: Keys of a set, and least values in each: 0.8 ** 3 = 0.512 of pairs at 0.8 share a key, all but 0.488 ** 19 one of them.
+BANDS, LEAST_OF = 19, 3
+ROWS_PER_TILE = 4096
+#: Tiles up to this size are compared many at a time.
+SMALL = 16
 BLOCK = 1 << 20
 SHINGLES_AT_ONCE = 2040
-#: Odd multipliers, one for each 64 bits, and the mixing steps' constant (made from a rule).
+#: Odd multipliers, one for each 64 bits and for each least value, and the mixing steps' constant (made from a rule).
 MULTIPLIERS = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+LEAST_BY = np.random.default_rng(SEED).integers(0, 2**64, BANDS * LEAST_OF, dtype=np.uint64) | np.uint64(1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -59,7 +64,14 @@ def shingle_set(data: bytes, words_in: int = WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(words_in)))) if len(words) >= words_in else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(s, SEED) for s in shingles], dtype=np.uint64))
+    return np.unique(np.fromiter((digest(s, SEED) for s in shingles), dtype=np.uint64))
+
+
+def _mixed(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
+    mixed = hashes[:, None] * by
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= MIX
+    return mixed
 
 
 def long_fingerprint(hashes: np.ndarray) -> bytes:
@@ -68,40 +80,52 @@ def long_fingerprint(hashes: np.ndarray) -> bytes:
     for at in range(0, len(hashes), SHINGLES_AT_ONCE):
         some = hashes[at : at + SHINGLES_AT_ONCE]
         rows = np.zeros((-(-len(some) // 255) * 255, LANES), np.uint64)  # sums of 255 rows still fit a byte
-        mixed = some[:, None] * MULTIPLIERS
-        mixed = (mixed ^ mixed >> np.uint64(32)) * MIX
+        mixed = _mixed(some, MULTIPLIERS)
         rows[: len(some)] = mixed ^ mixed >> np.uint64(32)
         bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
         votes += bits.reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes()
 
 
-def long_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words_in: int = WORDS) -> DataFrame:
-    """key, fp (binary), n and digest of the shingle set of each whole text; null counts as empty."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a shingle set: sets of Jaccard similarity s have equal keys with a chance of s ** LEAST_OF each."""
+    least = np.full(BANDS * LEAST_OF, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), SHINGLES_AT_ONCE):
+        np.minimum(least, _mixed(hashes[at : at + SHINGLES_AT_ONCE], LEAST_BY).min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for values in least.reshape(BANDS, LEAST_OF).T:
+        keys = (keys ^ values) * MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
 
-        for batch in batches:
-            fps, sizes, digests = [], [], []
-            for x in batch.column(1):
-                hashes = shingle_set(x.as_py(), words_in)
-                fps.append(long_fingerprint(hashes))
-                sizes.append(len(hashes))
-                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], names=["key", "fp", "n", "digest"])
 
-    return docs.select(F.col(key).cast("long"), text_bytes(F.col(text))).mapInArrow(run, "key long, fp binary, n bigint, digest binary")
+def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """key, hash of the text, and the text's bytes: key and hash tell different rows apart."""
+    data = text_bytes(F.col(text))
+    return docs.select(F.col(key).alias("key"), F.xxhash64(data).alias("hash"), data.alias("data"))
 
 
-def shingle_sets(docs: DataFrame, text: str, key: str, words_in: int) -> DataFrame:
-    """id and hashes of the shingle set of each whole text."""
+def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", words_in: int = WORDS) -> DataFrame:
+    """key, hash (of the text), and digest, n, fp and bands of the shingle set of each whole text; null counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x.as_py(), words_in).view(np.int64) for x in batch.column(1)], pa.list_(pa.int64()))], names=["id", "hashes"])
+            digests, sizes, fps, bands = [], [], [], []
+            for x in batch.column(2):
+                hashes = shingle_set(x.as_py(), words_in)
+                digests.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                sizes.append(len(hashes))
+                fps.append(long_fingerprint(hashes))
+                bands.append(band_keys(hashes))
+            columns = [batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "hash", "digest", "n", "fp", "bands"])
 
-    return docs.select(F.col(key).cast("long"), text_bytes(F.col(text))).mapInArrow(run, "id long, hashes array<bigint>")
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType)])
+    for name, kind in (("hash", T.LongType()), ("digest", T.BinaryType()), ("n", T.LongType()), ("fp", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))):
+        schema.add(name, kind)
+    return _keyed(docs, text, key).mapInArrow(run, schema)
 
 
 def _differing(common: int, only_a: int, only_b: int) -> float:
@@ -144,156 +168,127 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
     return both / np.maximum(n_a + n_b - both, 1e-9)
 
 
-def plan_tiles(counts: np.ndarray, rows_per_tile: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """From the number of rows of each population count: its first tile, its number of tiles, and the range of counts of each tile."""
-    first, cuts, ranges, room = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64), [], 0
-    for p, n in enumerate(counts.tolist()):
-        if not n:
-            continue
-        if n <= room:
-            first[p] = len(ranges) - 1
-            ranges[-1] = (ranges[-1][0], p)
-            room -= n
-        else:
-            cuts[p] = -(-n // rows_per_tile)
-            first[p] = len(ranges)
-            ranges += [(p, p)] * int(cuts[p])
-            room = rows_per_tile - n if cuts[p] == 1 else 0
-    return first, cuts, ranges
+class Rows:
+    """Rows of distinct sets as columns: ids, n, group, fp (LANES words each)."""
 
+    def __init__(self, ids: np.ndarray, n: np.ndarray, group: np.ndarray, fp: np.ndarray) -> None:
+        self.ids, self.n, self.group, self.fp = ids, n, group, fp
 
-def _words(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, LANES)
+    @classmethod
+    def of(cls, batch: pa.RecordBatch) -> Rows:
+        ids, n, group = (batch.column(name).to_numpy() for name in ("id", "n", "group"))
+        return cls(ids, n, group, np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, LANES))
 
+    def take(self, rows: np.ndarray | slice) -> Rows:
+        return Rows(self.ids[rows], self.n[rows], self.group[rows], self.fp[rows])
 
-def _bins(n: np.ndarray, least: float) -> np.ndarray:
-    """Sizes in a logarithmic scale: those that the similarity allows are REACH + 1 bins apart at most."""
-    return np.floor(np.log(np.maximum(n, 1)) / -np.log(least) * REACH).astype(np.int64)
+    @classmethod
+    def together(cls, parts: list[Rows]) -> Rows:
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "n", "group", "fp")))
 
 
-def similar_links(distinct: DataFrame, least: float = SIMILARITY, rows_per_tile: int = ROWS_PER_TILE, groups: DataFrame | None = None, above: float | None = ABOVE[0]) -> DataFrame:
-    """Candidate links a, b between ids of ``distinct`` (id, fp, n).
+class Comparison:
+    """What is compared, and what is returned: with ``told``, links that join rows told so similar; without it, all candidates between groups."""
 
-    groups: node and component, already joined. Links join what by the similarity told is so much above the one wanted; where that is None,
-    they are all pairs between different groups that may be of the wanted one. Tiles are planned on the driver from the counts of logarithmic sizes.
-    """
-    if not 0 < least < 1:
-        raise ValueError("least must lie between 0 and 1")
-    within, told = radii(least), None if above is None else least + above
-    if groups is None:
-        distinct = distinct.withColumn("group", F.col("id"))
-    else:
-        named = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
-        distinct = distinct.select("id", "fp", "n").join(named, "id", "left").withColumn("group", F.coalesce("group", "id"))
-    most_bins = int(_bins(np.array([2**40]), least)[0]) + 1
+    def __init__(self, least: float, told: float | None) -> None:
+        self.least, self.told, self.within = least, told, radii(least)
+
+    def closer(self, a: Rows, i: np.ndarray, b: Rows, j: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of rows, those of different groups within every radius from that step on, and the similarity told."""
+        small, big = np.minimum(a.n[i], b.n[j]), np.maximum(a.n[i], b.n[j])
+        fits = (small >= big * self.least - 1e-6) & (a.group[i] != b.group[j])
+        i, j, small = i[fits], j[fits], np.minimum(small[fits], LARGE)
+        for step in range(first, len(STEPS)):
+            lanes = STEPS[step]
+            close = np.bitwise_count(a.fp[i, :lanes] ^ b.fp[j, :lanes]).sum(axis=1) <= self.within[small, step]
+            i, j, small = i[close], j[close], small[close]
+        return i, j, similarity(a.fp[i], b.fp[j], a.n[i], b.n[j])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(most_bins, np.int64)
-        for batch in batches:
-            total += np.bincount(_bins(batch.column(0).to_numpy(), least), minlength=most_bins)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["p", "n"])
-
-    counts = np.zeros(most_bins, np.int64)
-    for p, n in distinct.select("n").mapInArrow(count, "p bigint, n bigint").groupBy("p").agg(F.sum("n")).collect():
-        counts[p] = n
-    first, cuts, ranges = plan_tiles(counts, min(rows_per_tile, max(LEAST_ROWS, -(-int(counts.sum()) // LEAST_TILES))))
-    lows, highs = (np.array([r[i] for r in ranges], np.int64) for i in (0, 1))
-
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each fingerprint once for each pair of tiles that its own is in. The lower tile of a pair is at home there."""
-        for batch in batches:
-            lead = _words(batch.column(1))[:, 0]
-            p = _bins(batch.column(2).to_numpy(), least)
-            tile = first[p] + ((lead * MIX >> np.uint64(33)) % cuts[p].astype(np.uint64)).astype(np.int64)
-            for other in range(len(ranges)):
-                rows = np.flatnonzero((lows[other] <= p + REACH + 1) & (p - REACH - 1 <= highs[other]))
-                if len(rows):
-                    low, high = np.minimum(tile[rows], other), np.maximum(tile[rows], other)
-                    taken = batch.take(pa.array(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(low << 31 | high), pa.array(tile[rows] > other), *taken.columns], names=["place", "visitor", "id", "fp", "n", "group"])
-
-    dealt = distinct.select("id", "fp", "n", "group").mapInArrow(visits, "place bigint, visitor boolean, id bigint, fp binary, n bigint, group bigint")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, pair = None, None
-        for batch in batches:
-            place, visitor = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            starts = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (visitor[1:] != visitor[:-1]))) if len(place) else []
-            for a, b in zip(starts, [*starts[1:], len(place)]):
-                if place[a] != here:
-                    if pair:
-                        yield from pair.finish()
-                    here, pair = place[a], Pair(place[a] >> 31 == place[a] & 0x7FFFFFFF, least, within, told)
-                part = batch.slice(a, b - a)
-                rows = (part.column(2).to_numpy(), _words(part.column(3)), part.column(4).to_numpy(), part.column(5).to_numpy())
-                if visitor[a]:
-                    yield from pair.visit(*rows)
-                else:
-                    pair.settle(*rows)
-        if pair:
-            yield from pair.finish()
 
-    return dealt.repartition("place").sortWithinPartitions("place", "visitor").mapInArrow(compare, "a bigint, b bigint")
+def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def _met(*ids: np.ndarray) -> pa.RecordBatch:
+    """Rows that have a candidate, as links with themselves."""
+    ids = np.unique(np.concatenate(ids))
+    return _links(ids, ids)
+
+
+def compare_small(how: Comparison, bucket: np.ndarray, linking: np.ndarray, rows: Rows) -> Iterator[pa.RecordBatch]:
+    """Links in whole small tiles, sorted by bucket and id. Joining links are stars: a row and the first that it seems similar to."""
+    found = []
+    for d in range(1, SMALL):
+        i = np.flatnonzero(bucket[d:] == bucket[:-d])
+        if not len(i):
+            break
+        for at in range(0, len(i), 1 << 15):
+            found.append(how.closer(rows, i[at : at + (1 << 15)], rows, i[at : at + (1 << 15)] + d))
+    if not found:
+        return
+    i, j, told = (np.concatenate(x) for x in zip(*found))
+    if how.told is None:
+        yield _links(rows.ids[i], rows.ids[j])
+    else:
+        yield _met(rows.ids[i], rows.ids[j])
+        seem = np.flatnonzero((told >= how.told) & linking[i])
+        seem = seem[np.lexsort((i[seem], j[seem]))]
+        _, first = np.unique(j[seem], return_index=True)
+        yield _links(rows.ids[i[seem[first]]], rows.ids[j[seem[first]]])
 
 
-class Pair:
-    """Two tiles, or one tile with itself: rows at home with their groups. ``told`` is the similarity told that joins groups; without it, all candidates between groups are returned."""
+class Tile:
+    """A large tile, or a cut of one: rows at home, by size of their sets, to which visitors come."""
 
-    def __init__(self, own: bool, least: float, within: np.ndarray, told: float | None) -> None:
-        self.own, self.least, self.within, self.told, self.waiting, self.ids = own, least, within, told, [], None
+    def __init__(self, how: Comparison, linking: bool) -> None:
+        self.how, self.linking, self.waiting, self.home = how, linking, [], None
 
-    def settle(self, *rows: np.ndarray) -> None:
+    def settle(self, rows: Rows) -> None:
         self.waiting.append(rows)
 
-    def _open(self) -> Iterator[pa.RecordBatch]:
-        """Takes what waits as the rows at home, by size; links among them where the tile is compared with itself."""
-        if self.ids is None:
-            none = (np.empty(0, np.int64), np.empty((0, LANES), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
-            ids, fp, n, group = (np.concatenate(x) for x in zip(*self.waiting)) if self.waiting else none
-            order = np.argsort(n, kind="stable")
-            self.ids, self.fp, self.n, self.group, self.waiting = ids[order], fp[order], n[order], group[order], []
-            self.lead = [np.ascontiguousarray(self.fp[:, k]) for k in range(STEPS[0])]
-            self.root = _first(self.group)
-            if self.own:
-                yield from self._linked(self.ids, self.group, self._near(self.fp, self.n, later=True))
-
-    def _near(self, fp: np.ndarray, n: np.ndarray, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Candidates: a row given (by size), a row at home, and the similarity told; with later, only of those at home after it."""
-        step = max(1, BLOCK // max(1, len(self.n)))
-        for at in range(0, len(fp), step):
-            end = min(at + step, len(fp))
-            start = max(at if later else 0, int(np.searchsorted(self.n, n[at] * self.least - 1e-6)))
-            stop = int(np.searchsorted(self.n, n[end - 1] / self.least + 1e-6, side="right"))
+    def open(self) -> Iterator[pa.RecordBatch]:
+        """Takes what waits as the rows at home; links among them."""
+        if self.home is None and self.waiting:
+            home = Rows.together(self.waiting)
+            self.home, self.waiting = home.take(np.argsort(home.n, kind="stable")), []
+            self.lead = [np.ascontiguousarray(self.home.fp[:, k]) for k in range(STEPS[0])]
+            self.bits = np.bitwise_count(self.home.fp).sum(axis=1, dtype=np.int64)
+            self.root = np.arange(len(self.home.ids))
+            for i, j, told in self.near(self.home, self.bits, later=True):
+                if self.how.told is None:
+                    yield _links(self.home.ids[i], self.home.ids[j])
+                    continue
+                yield _met(self.home.ids[i], self.home.ids[j])
+                if self.linking:
+                    seem = np.flatnonzero(told >= self.how.told)
+                    seem = seem[np.argsort(-told[seem], kind="stable")]
+                    yield from self.join(i[seem], j[seem])
+
+    def near(self, rows: Rows, bits: np.ndarray, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidates: one of the rows given (by size), a row at home, and the similarity told; with later, only of those at home after it."""
+        n, least, within = self.home.n, self.how.least, self.how.within
+        step = max(1, BLOCK // max(1, len(n)))
+        for at in range(0, len(rows.n), step):
+            end = min(at + step, len(rows.n))
+            start = max(at if later else 0, int(np.searchsorted(n, rows.n[at] * least - 1e-6)))
+            stop = int(np.searchsorted(n, rows.n[end - 1] / least + 1e-6, side="right"))
             if start >= stop:
                 continue
-            radius = self.within[min(LARGE, n[at], self.n[start])]
-            differing = sum(np.bitwise_count(fp[at:end, k, None] ^ lead[None, start:stop]) for k, lead in enumerate(self.lead))
+            radius = within[min(LARGE, rows.n[at], n[start])]
+            here, there = bits[at:end], self.bits[start:stop]
+            if max(int(here.min()) - int(there.max()), int(there.min()) - int(here.max())) > radius[-1]:
+                continue
+            differing = sum(np.bitwise_count(rows.fp[at:end, k, None] ^ lead[None, start:stop]) for k, lead in enumerate(self.lead))
             i, j = np.nonzero(differing <= radius[0])
             i, j = i + at, j + start
-            fits = (np.minimum(n[i], self.n[j]) >= np.maximum(n[i], self.n[j]) * self.least - 1e-6) & (i < j if later else True)
-            i, j = i[fits], j[fits]
-            for part in range(0, len(i), 1 << 16):
-                a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-                for lanes, most in zip(STEPS[1:], radius[1:]):
-                    close = np.bitwise_count(fp[a, :lanes] ^ self.fp[b, :lanes]).sum(axis=1) <= most
-                    a, b = a[close], b[close]
-                if len(a):
-                    yield a, b, similarity(fp[a], self.fp[b], n[a], self.n[b])
-
-    def _linked(self, ids: np.ndarray, group: np.ndarray, near: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], offset: int = 0) -> Iterator[pa.RecordBatch]:
-        """Links of candidates; offset is added to the rows given to make them rows of ids."""
-        for i, j, told in near:
-            i = i + offset
-            if self.told is None:
-                apart = group[i] != group[j]
-                yield _links(ids[i[apart]], ids[j[apart]])
-            else:
-                seem = np.flatnonzero(told >= self.told)
-                seem = seem[np.argsort(-told[seem], kind="stable")]
-                yield from self._join(ids, i[seem], j[seem])
-
-    def _join(self, ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if later:
+                i, j = i[i < j], j[i < j]
+            for part in range(0, len(i), 1 << 15):
+                found = self.how.closer(rows, i[part : part + (1 << 15)], self.home, j[part : part + (1 << 15)])
+                if len(found[0]):
+                    yield found
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Joins rows and returns one link, the first given, for each group that is joined to another."""
         while True:
             a, b = self.root[i], self.root[j]
@@ -305,65 +300,145 @@ class Pair:
             self.root[joined] = np.minimum(a, b)[first]
             while not np.array_equal(up := self.root[self.root], self.root):
                 self.root = up
-            yield _links(ids[i[first]], ids[j[first]])
+            yield _links(self.home.ids[i[first]], self.home.ids[j[first]])
+
+    def visit(self, rows: Rows) -> Iterator[pa.RecordBatch]:
+        """All candidates between visitors and rows at home of other groups."""
+        yield from self.open()
+        if self.home is not None:
+            rows = rows.take(np.argsort(rows.n, kind="stable"))
+            for i, j, _ in self.near(rows, np.bitwise_count(rows.fp).sum(axis=1, dtype=np.int64)):
+                yield _links(rows.ids[i], self.home.ids[j])
+
+
+def compare(batches: Iterator[pa.RecordBatch], how: Comparison) -> Iterator[pa.RecordBatch]:
+    """Links of rows dealt by bucket and cut, and sorted by those, visitors last, and id."""
+    here, tile, held = None, None, None
+    for batch in batches:
+        size = batch.column("rows").to_numpy()
+        for some in (batch.filter(pa.array(size <= SMALL)), batch.filter(pa.array(size > SMALL))):
+            if not len(some):
+                continue
+            bucket, size, band = (some.column(name).to_numpy() for name in ("bucket", "rows", "band"))
+            rows = Rows.of(some)
+            if size[0] <= SMALL:
+                if held:
+                    bucket, size, band, rows = np.append(held[0], bucket), np.append(held[1], size), np.append(held[2], band), Rows.together([held[3], rows])
+                last = int(np.searchsorted(bucket, bucket[-1])) if np.all(bucket[1:] >= bucket[:-1]) else int(np.flatnonzero(bucket != bucket[-1]).max(initial=-1)) + 1
+                whole = len(bucket) if len(bucket) - last == size[-1] else last
+                held = (bucket[whole:], size[whole:], band[whole:], rows.take(slice(whole, None))) if whole < len(bucket) else None
+                if whole:
+                    yield from compare_small(how, bucket[:whole], band[:whole] < LINKING, rows.take(slice(whole)))
+                continue
+            cut, visitor = some.column("cut").to_numpy(), some.column("visitor").to_numpy(zero_copy_only=False)
+            changes = (bucket[1:] != bucket[:-1]) | (cut[1:] != cut[:-1]) | (visitor[1:] != visitor[:-1])
+            starts = np.append(0, np.flatnonzero(changes) + 1)
+            for a, b in zip(starts, np.append(starts[1:], len(bucket))):
+                if (place := (bucket[a], cut[a])) != here:
+                    if tile:
+                        yield from tile.open()
+                    here, tile = place, Tile(how, bool(band[a] < LINKING))
+                if visitor[a]:
+                    yield from tile.visit(rows.take(slice(a, b)))
+                else:
+                    tile.settle(rows.take(slice(a, b)))
+    if tile:
+        yield from tile.open()
 
-    def visit(self, ids: np.ndarray, fp: np.ndarray, n: np.ndarray, group: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Links between visitors and rows at home. Visitors count behind the rows at home, so joined rows keep one at home as their root."""
-        yield from self._open()
-        order, home = np.argsort(n, kind="stable"), len(self.root)
-        groups = np.append(self.group, group[order])
-        first = _first(groups)[home:]
-        self.root = np.append(self.root, first)
-        self.root[home:][first < home] = self.root[first[first < home]]
-        yield from self._linked(np.append(self.ids, ids[order]), groups, self._near(fp[order], n[order]), home)
-        self.root = self.root[:home]
 
-    def finish(self) -> Iterator[pa.RecordBatch]:
-        yield from self._open()
+def tile_rows(distinct: DataFrame) -> DataFrame:
+    """bucket, band, rows (of the bucket), id, n of each row of ``distinct`` (id, n, bands) whose bucket others share."""
+    at = distinct.select("id", "n", F.posexplode("bands").alias("band", "bucket")).withColumn("band", F.col("band").cast("byte"))
+    shared = at.groupBy("bucket").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    return at.join(shared, "bucket")
 
 
-def _first(group: np.ndarray) -> np.ndarray:
-    """For each row the first of its group."""
-    _, first, at = np.unique(group, return_index=True, return_inverse=True)
-    return first[at]
+def similar_links(distinct: DataFrame, rows: DataFrame, least: float = SIMILARITY, groups: DataFrame | None = None, above: float = ABOVE, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """Candidate links a, b between ids of ``distinct`` (id, fp), in the tiles of ``rows``; may repeat.
 
+    Without groups, links join what is told so much above the similarity, and links of a row with itself name all that have a candidate. With groups
+    (node and component: those already joined), all candidates between different groups are returned.
+    """
+    if not 0 < least < 1:
+        raise ValueError("least must lie between 0 and 1")
+    how = Comparison(least, least + above if groups is None else None)
+    rows = rows.join(distinct.select("id", "fp"), "id")
+    cuts = F.ceil(F.col("rows") / rows_per_tile).cast("int")
+    cut = F.pmod(F.xxhash64("id", "bucket"), cuts).cast("int")
+    at_home = ("bucket", "band", "rows", "id", "n", "fp", "group")
+    if groups is None:
+        dealt = rows.withColumn("group", F.col("id")).select(*at_home, cut.alias("cut"), F.lit(False).alias("visitor"))
+    else:
+        named = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
+        rows = rows.join(named, "id", "left").withColumn("group", F.coalesce("group", "id"))
+        dealt = rows.select(*at_home, cut.alias("cut"), F.lit(False).alias("visitor"))
+        cut_ones = rows.where(cuts > 1)
+        largest = cut_ones.groupBy("bucket", "group").agg(F.count("*").alias("of_it")).groupBy("bucket").agg(F.max_by("group", F.struct("of_it", "group")).alias("largest"))
+        others = cut_ones.join(largest, "bucket").where(F.col("group") != F.col("largest"))
+        dealt = dealt.unionByName(others.select(*at_home, F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut"), F.lit(True).alias("visitor")))
+    placed = dealt.repartition("bucket", "cut").sortWithinPartitions("bucket", "cut", "visitor", "id")
+    return placed.mapInArrow(lambda batches: compare(batches, how), "a bigint, b bigint")
 
-def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words_in: int) -> DataFrame:
+    """id and hashes of the shingle set of the whole texts of the rows ``wanted`` (id, row: nokey, key and hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(len(batch)):  # one by one: sets of long texts are large
+                hashes = shingle_set(batch.column(1)[at].as_py(), words_in).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([hashes], pa.list_(pa.int64()))], names=["id", "hashes"])
+
+    asked = wanted.select("id", *_place(F.col("row.key"), F.col("row.hash")))
+    texts = _keyed(docs, text, key).select(*_place(F.col("key"), F.col("hash")), "data")
+    found = texts.join(asked, ["_nokey", "_key", "_hash"]).select("id", "data")
+    return found.dropDuplicates(["id"]).mapInArrow(run, "id long, hashes array<bigint>")
 
-def checked_links(links: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, words_in: int = WORDS) -> DataFrame:
-    """The links a, b whose texts' whole shingle sets have at least that Jaccard similarity."""
-    ids = links.select(F.col("a").alias(key)).union(links.select("b")).distinct()
-    sets = written(shingle_sets(docs.select(F.col(key).cast("long").alias(key), text).join(ids, key, "left_semi").dropDuplicates([key, text]), text, key, words_in), "shingle-sets")
 
+def _place(key: Column, hashed: Column) -> tuple[Column, Column, Column]:
+    """Columns that tell different rows apart, none of them null."""
+    return key.isNull().alias("_nokey"), F.coalesce(key.cast("string"), F.lit("")).alias("_key"), hashed.alias("_hash")
+
+
+def checked_links(links: DataFrame, sets: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The links a, b whose whole shingle sets (id, hashes) have at least that Jaccard similarity."""
     left = links.join(sets.select(F.col("id").alias("a"), F.col("hashes").alias("of_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("hashes").alias("of_b")), "b")
     common = F.size(F.array_intersect("of_a", "of_b"))  # row by row: batches of large sets would outgrow memory
     return both.where((common >= 1) & (common / (F.size("of_a") + F.size("of_b") - common) >= least)).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, words_in: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """Two tables: distinct shingle sets (id, the smallest key of their rows; fp; n), and node and component of the ids that links join.
+def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, words_in: int = WORDS, rows_per_tile: int = ROWS_PER_TILE) -> tuple[DataFrame, DataFrame]:
+    """Two tables: distinct shingle sets (id, digest, row: the first row that has it, as nokey, key and hash; n), and the sets that others are similar to
+    with the smallest id that links reach (node, component).
 
-    Rows with a null key are left out; null and empty texts are one set; equal texts share theirs. Empty input gives empty tables.
+    Null and empty texts are one set; equal texts share theirs. Keys may repeat and be null: sets, not keys, are linked. Empty input gives empty tables.
+    """
+    found = written(sketches(docs, text, key, words_in), "sketches")
+    first = F.min(F.struct(F.col("key").isNull().alias("nokey"), "key", "hash"))
+    whole = found.groupBy("digest").agg(first.alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "bands")))
+    distinct = written(whole.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    rows = written(tile_rows(distinct), "tile-rows")
+
+    links = written(similar_links(distinct, rows, least, rows_per_tile=rows_per_tile).distinct(), "candidates")
+    met = links.where(F.col("a") == F.col("b")).select(F.col("a").alias("id")).union(rows.where(F.col("rows") > rows_per_tile).select("id")).distinct()
+    sets = written(shingle_sets(docs, distinct.join(met, "id", "left_semi"), text, key, words_in), "shingle-sets")
+    links = checked_links(links.where(F.col("a") != F.col("b")), sets, least)
+    seen = connected_components(links)
+    more = similar_links(distinct, rows, least, groups=seen, rows_per_tile=rows_per_tile).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    links = checked_links(written(more, "candidates"), sets, least)
+    return distinct, connected_components(links.unionByName(seen.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
+def first_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY, words_in: int = WORDS) -> DataFrame:
+    """The row with the smallest key of each group of texts that are equal or of that Jaccard similarity, directly or through others.
+
+    Null keys come last. Of several texts of a group that share its smallest key, that with the smallest xxHash64 stays; of rows that share both, the least
+    by their columns in order (which must be of types that can be ordered). Different texts that share a key are different rows. Null and
+    empty texts are one group. Further columns are kept, whatever their names. Empty input gives an empty result.
     """
-    docs = docs.where(F.col(key).isNotNull())
-    fps = long_fingerprints(docs, text, key, words_in)
-    distinct = written(fps.groupBy("fp", "n", "digest").agg(F.min("key").alias("id")).drop("digest"), "distinct-long")
-
-    seen = None
-    for above in (*ABOVE, None):
-        links = similar_links(distinct, least, groups=seen, above=above).where(F.col("a") != F.col("b")).distinct()
-        links = written(checked_links(written(links, "candidates"), docs, text, key, least, words_in), "checked")
-        if seen is not None:
-            links = links.unionByName(seen.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        seen = connected_components(links)
-    return distinct, seen
-
-
-def kept_keys(docs: DataFrame, text: str = "text", key: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
-    """The smallest key of each group of equal or similar texts, as a column of that name."""
-    distinct, members = similar_groups(docs, text, key, least)
-    removed = members.where(F.col("node") != F.col("component")).select(F.col("node").alias("id"))
-    return distinct.join(removed, "id", "left_anti").select(F.col("id").alias(key)).distinct()
+    distinct, members = similar_groups(docs, text, key, least, words_in)
+    grouped = distinct.select("id", "row").join(members, F.col("id") == F.col("node"), "left")
+    best = grouped.groupBy(F.coalesce("component", "id").alias("component")).agg(F.min("row").alias("row"))
+    rows = docs.groupBy(*_place(F.col(key), F.xxhash64(text_bytes(F.col(text))))).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return rows.join(best.select(*_place(F.col("row.key"), F.col("row.hash"))), ["_nokey", "_key", "_hash"]).select("_row.*")

@@ -370,19 +370,7 @@ def test_mixture_is_a_prefix_of_seeded_epochs(spark):
     assert sorted((r["doc_id"], r["epoch"]) for r in queries.op10_mixing(spark, SMALL).collect()) == sorted(want)
 
 
-def test_tiles_of_long_fingerprints_cover_all_counts():
-    from passagelake.llm import simhash_long as sl
-
-    rng = np.random.default_rng(2)
-    for most in (1, 7, 100, 10**6):
-        counts = rng.integers(0, 40, 65) * (rng.random(65) < 0.7)
-        first, cuts, ranges = sl.plan_tiles(counts, most)
-        for p in np.flatnonzero(counts):
-            assert all(ranges[first[p] + k][0] <= p <= ranges[first[p] + k][1] for k in range(cuts[p]))
-        assert all(a[1] < b[0] or a == b for a, b in zip(ranges, ranges[1:]))
-
-
-@pytest.mark.parametrize("rows_per_tile", [32768, 40])
+@pytest.mark.parametrize("rows_per_tile", [4096, 20])
 def test_similar_texts_are_grouped_and_others_are_not(spark, rows_per_tile):
     from passagelake.llm import simhash_long as sl
 
@@ -399,17 +387,75 @@ def test_similar_texts_are_grouped_and_others_are_not(spark, rows_per_tile):
         half = base[: len(base) // 2] + [rng.choice(vocabulary) for _ in range(len(base) // 2)]
         docs.append((2000 + i, " ".join(half)))  # below 0.5
         far.append(2000 + i)
+    base = [rng.choice(vocabulary) for _ in range(300)]
+    for i in range(150):  # one large group
+        docs.append((3000 + i, " ".join([*base[:i], f"new{i}", *base[i + 1 :]])))
+        near.append((3000, 3000 + i))
     docs += [(5000, docs[0][1].upper()), (5001, ""), (5002, None), (None, docs[1][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    distinct, _ = sl.similar_groups(df)
-    links = [(r["a"], r["b"]) for r in sl.similar_links(distinct, rows_per_tile=rows_per_tile).collect()]
-    ids = {r["id"] for r in distinct.collect()}
-    found = roots(6000, links)
-    assert all(found[a] == found[b] for a, b in near) and all(found[x] == x for x in far)
-    assert 5000 not in ids and 5002 not in ids and 5001 in ids
-    kept = sorted(r["doc_id"] for r in sl.kept_keys(df).collect())
-    assert kept == sorted([*range(60), *far, 5001])
-    assert len(links) <= 3 * len(ids)
+    distinct, members = sl.similar_groups(df, rows_per_tile=rows_per_tile)
+    key = {r["id"]: r["row"]["key"] for r in distinct.collect()}
+    assert 5000 not in key.values() and 5002 not in key.values() and 5001 in key.values()
+    found = {key[r["node"]]: r["component"] for r in members.collect()}
+    assert all(found[a] == found[b] for a, b in near) and not any(x in found for x in far)
+    kept = sorted(r["doc_id"] for r in sl.first_of_each(df).collect())
+    assert kept == sorted([*range(60), *far, 3000, 5001])
+
+
+@pytest.mark.parametrize("rows_per_tile", [4096, 24])
+def test_tiles_hold_all_candidates_between_groups(spark, rows_per_tile):
+    from passagelake.llm import simhash_long as sl
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 200, dtype=np.uint64)
+    sets = [np.unique(np.append(base[rng.random(200) < 0.93], rng.integers(0, 2**64, 10, dtype=np.uint64))) for _ in range(120)]
+    rows = [(i, len(s), bytearray(sl.long_fingerprint(s)), sl.band_keys(s).tolist()) for i, s in enumerate(sets)]
+    distinct = spark.createDataFrame(rows, "id long, n long, fp binary, bands array<bigint>")
+    group = [i // 40 * 40 if i < 80 else i for i in range(120)]
+    groups = spark.createDataFrame([(i, group[i]) for i in range(80)], "node long, component long")
+    links = {(min(r), max(r)) for r in sl.similar_links(distinct, sl.tile_rows(distinct), groups=groups, rows_per_tile=rows_per_tile).collect()}
+    fp = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint64).reshape(120, -1)
+    within = sl.radii(0.8)[sl.LARGE, -1]
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if group[i] != group[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= within and min(len(sets[i]), len(sets[j])) >= 0.8 * max(len(sets[i]), len(sets[j])) and set(rows[i][3]) & set(rows[j][3])}
+    sure = {(i, j) for i, j in want if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert sure and sure <= links <= want
+
+
+def test_keys_are_shared_as_often_as_the_similarity_tells():
+    from passagelake.llm import simhash_long as sl
+
+    rng = np.random.default_rng(6)
+    for common, only in ((8, 1), (80, 10), (800, 100), (30, 10), (50, 50)):
+        share, none = [], 0
+        for _ in range(400):
+            x = rng.integers(0, 2**64, common + 2 * only, dtype=np.uint64)
+            equal = sl.band_keys(x[: common + only]) == sl.band_keys(np.append(x[:common], x[common + only :]))
+            share.append(equal.mean())
+            none += not equal.any()
+        want = (common / (common + 2 * only)) ** sl.LEAST_OF
+        assert abs(np.mean(share) - want) < 0.04
+        if common == 8 * only:
+            assert none == 0
+
+
+def test_no_text_is_lost_where_keys_repeat(spark):
+    from passagelake.llm import simhash_long as sl
+
+    words = [f"w{i}" for i in range(400)]
+    a, b = words[:100], words[200:300]
+    near = lambda x: [*x[:50], "changed", *x[51:]]
+
+    def kept(*rows):
+        df = spark.createDataFrame([(k, " ".join(x), None) for k, x in rows], "doc_id long, text string, _hash string")
+        return sorted((r["doc_id"], r["text"]) for r in sl.first_of_each(df).collect())
+
+    text = " ".join
+    assert kept((10, a), (10, b), (5, near(a))) == sorted([(5, text(near(a))), (10, text(b))])
+    assert kept((10, a), (10, b), (20, near(a)), (30, near(b))) == sorted([(10, text(a)), (10, text(b))])
+    assert len(kept((10, a), (10, near(a)), (10, near(a)))) == 1
+    assert kept((None, a), (None, a), (7, near(a))) == [(7, text(near(a)))]
+    rows = spark.createDataFrame([(None, text(a)), (None, text(a)), (None, text(b))], "doc_id long, text string")
+    assert sorted(r["text"] for r in sl.first_of_each(rows).collect()) == sorted([text(a), text(b)])
 
 
 def test_near_duplicates_are_decided_by_whole_shingle_sets(spark):
@@ -438,5 +484,5 @@ def test_near_duplicates_are_decided_by_whole_shingle_sets(spark):
     links = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
     found = roots(len(docs), links)
     assert len(links) > 100
-    kept = sorted(r["doc_id"] for r in sl.kept_keys(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    kept = sorted(r["doc_id"] for r in sl.first_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect())
     assert kept == sorted({found[i] for i in sets})
