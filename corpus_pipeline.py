@@ -12,7 +12,7 @@ from passagelake.llm import language
 from passagelake.llm.common import fold, shared_dir, table
 from passagelake.llm.packing import pack_documents
 from passagelake.llm.queries import mixture, tokenizer_path
-from passagelake.llm.simhash_long import kept_keys
+from passagelake.llm.simhash_long import first_of_each
 from passagelake.llm.toxicity import fit_lexicon, score_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,11 +36,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each group of texts that are equal or similar (Jaccard similarity of five-word shingles, 0.8); SimHash finds the candidates.
 
-    Of rows that share that doc_id, one stays. Rows without doc_id stay.
+    Rows without doc_id come last in their group. Of rows that share the smallest doc_id, one stays; unlike texts that share a doc_id all stay.
     """
-    kept = kept_keys(docs)
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])  # both deal rows by doc_id: one shuffle
-    return named.unionByName(docs.select(*COLUMNS).where(F.col("doc_id").isNull()))
+    return first_of_each(docs.select(*COLUMNS))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
