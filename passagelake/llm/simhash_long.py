@@ -9,9 +9,10 @@ Copies of a text's row are BANDS at any size of the input. Only keys that severa
 numpy blocks, first 128 bits, then 512, then all; blocks whose set sizes or population counts differ beyond the reach are skipped.
 
 A tile with more than ROWS_PER_TILE rows is cut. There are two passes. The first joins rows of a cut by the similarity told, each row once;
-its links are held against the whole shingle sets and joined to groups. The second returns every candidate between different groups:
-in a cut tile, rows of its largest group stay at home and only the others visit all cuts, so copies in great numbers cost no
-more than their number. A pair is left unchecked only if checked links join it already.
+its links are held against the whole shingle sets and joined to groups. The second takes only rows that have a candidate, in tiles with rows of different
+groups, with finer fingerprints of 8192 bits, and returns every candidate between different groups: in a cut tile, rows of its largest
+group stay at home and only the others visit all cuts, so copies in great numbers cost no more than their number. A pair
+is left unchecked only if checked links join it already.
 """
 
 from __future__ import annotations
@@ -29,8 +30,8 @@ from pyspark.sql import types as T
 from .common import text_bytes, written
 from .components import connected_components
 
-BITS = 2048
-LANES = BITS // 64
+#: 64-bit lanes of fingerprints: for all sets, and for those that have a candidate.
+LANES, FINE = 32, 128
 WORDS = 5
 SEED = 42
 SIMILARITY = 0.8
@@ -38,8 +39,8 @@ SIMILARITY = 0.8
 MISSED = 1e-6
 #: What the first pass wants above the similarity, and the bands whose tiles it takes links from. They only spare the second work.
 ABOVE, LINKING = 0.02, 4
-#: Lanes of 64 bits in each comparison, the last of all.
-STEPS = (2, 8, LANES)
+#: Lanes in each comparison, the last of all.
+STEPS, FINE_STEPS = (2, 8, LANES), (2, 8, LANES, FINE)
 #: From this size of sets on, ties of votes matter little.
 LARGE = 64
 #: Keys of a set, and least values in each: 0.8 ** 3 = 0.512 of pairs at 0.8 share a key, all but 0.488 ** 19 one of them.
@@ -47,10 +48,10 @@ BANDS, LEAST_OF = 19, 3
 ROWS_PER_TILE = 4096
 #: Tiles up to this size are compared many at a time.
 SMALL = 16
-BLOCK = 1 << 20
-SHINGLES_AT_ONCE = 2040
+BLOCK, PAIRS_AT_ONCE = 1 << 20, 1 << 14
+SHINGLES_AT_ONCE = 510
 #: Odd multipliers, one for each 64 bits and for each least value, and the mixing steps' constant (made from a rule).
-MULTIPLIERS = (np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+MULTIPLIERS = (np.arange(1, FINE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 LEAST_BY = np.random.default_rng(SEED).integers(0, 2**64, BANDS * LEAST_OF, dtype=np.uint64) | np.uint64(1)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -74,16 +75,16 @@ def _mixed(hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
     return mixed
 
 
-def long_fingerprint(hashes: np.ndarray) -> bytes:
-    """The fingerprint of a shingle set; zeros without words."""
-    votes = np.zeros(BITS, np.int64)
+def long_fingerprint(hashes: np.ndarray, lanes: int = LANES) -> bytes:
+    """The fingerprint of a shingle set; zeros without words. One of fewer lanes is the start of one of more."""
+    votes = np.zeros(64 * lanes, np.int64)
     for at in range(0, len(hashes), SHINGLES_AT_ONCE):
         some = hashes[at : at + SHINGLES_AT_ONCE]
-        rows = np.zeros((-(-len(some) // 255) * 255, LANES), np.uint64)  # sums of 255 rows still fit a byte
-        mixed = _mixed(some, MULTIPLIERS)
+        rows = np.zeros((-(-len(some) // 255) * 255, lanes), np.uint64)  # sums of 255 rows still fit a byte
+        mixed = _mixed(some, MULTIPLIERS[:lanes])
         rows[: len(some)] = mixed ^ mixed >> np.uint64(32)
         bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")
-        votes += bits.reshape(-1, 255, BITS).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+        votes += bits.reshape(-1, 255, 64 * lanes).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes()
 
 
@@ -148,8 +149,8 @@ def _radius(bits: int, share: float) -> int:
 
 
 @functools.cache
-def radii(least: float) -> np.ndarray:
-    """For each size of the smaller set, or LARGE and more, the radius of each of STEPS that holds pairs of at least that similarity."""
+def radii(least: float, steps: tuple[int, ...] = STEPS) -> np.ndarray:
+    """For each size of the smaller set, or LARGE and more, the radius of each step that holds pairs of at least that similarity."""
     share = np.full(LARGE + 1, 1e-9)
     share[LARGE] = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi + 1e-9
     for n in range(1, LARGE + 1):
@@ -158,18 +159,18 @@ def radii(least: float) -> np.ndarray:
                 share[n] = max(share[n], _differing(common, n - common, m - common))
     share[LARGE] = share[-16:].max()  # sizes of every parity
     share = np.maximum.accumulate(share[::-1])[::-1]
-    return np.array([[_radius(64 * lanes, p) for lanes in STEPS] for p in share.tolist()])
+    return np.array([[_radius(64 * lanes, p) for lanes in steps] for p in share.tolist()])
 
 
 def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """The Jaccard similarity that fingerprints (rows of LANES words) and sizes of the sets tell."""
+    """The Jaccard similarity that fingerprints (rows of 64-bit words) and sizes of the sets tell."""
     differing = np.bitwise_count(a ^ b).sum(axis=1)
-    both = np.cos(np.pi * differing / BITS) * np.sqrt(n_a.astype(np.float64) * n_b)
+    both = np.cos(np.pi * differing / (64 * a.shape[1])) * np.sqrt(n_a.astype(np.float64) * n_b)
     return both / np.maximum(n_a + n_b - both, 1e-9)
 
 
 class Rows:
-    """Rows of distinct sets as columns: ids, n, group, fp (LANES words each)."""
+    """Rows of distinct sets as columns: ids, n, group, fp (64-bit words)."""
 
     def __init__(self, ids: np.ndarray, n: np.ndarray, group: np.ndarray, fp: np.ndarray) -> None:
         self.ids, self.n, self.group, self.fp = ids, n, group, fp
@@ -177,7 +178,7 @@ class Rows:
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Rows:
         ids, n, group = (batch.column(name).to_numpy() for name in ("id", "n", "group"))
-        return cls(ids, n, group, np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint64).reshape(-1, LANES))
+        return cls(ids, n, group, np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint64).reshape(len(batch), -1))
 
     def take(self, rows: np.ndarray | slice) -> Rows:
         return Rows(self.ids[rows], self.n[rows], self.group[rows], self.fp[rows])
@@ -190,16 +191,15 @@ class Rows:
 class Comparison:
     """What is compared, and what is returned: with ``told``, links that join rows told so similar; without it, all candidates between groups."""
 
-    def __init__(self, least: float, told: float | None) -> None:
-        self.least, self.told, self.within = least, told, radii(least)
+    def __init__(self, least: float, told: float | None, steps: tuple[int, ...]) -> None:
+        self.least, self.told, self.steps, self.within = least, told, steps, radii(least, steps)
 
-    def closer(self, a: Rows, i: np.ndarray, b: Rows, j: np.ndarray, first: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs of rows, those of different groups within every radius from that step on, and the similarity told."""
+    def closer(self, a: Rows, i: np.ndarray, b: Rows, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of rows, those of different groups within every radius, and the similarity told."""
         small, big = np.minimum(a.n[i], b.n[j]), np.maximum(a.n[i], b.n[j])
         fits = (small >= big * self.least - 1e-6) & (a.group[i] != b.group[j])
         i, j, small = i[fits], j[fits], np.minimum(small[fits], LARGE)
-        for step in range(first, len(STEPS)):
-            lanes = STEPS[step]
+        for step, lanes in enumerate(self.steps):
             close = np.bitwise_count(a.fp[i, :lanes] ^ b.fp[j, :lanes]).sum(axis=1) <= self.within[small, step]
             i, j, small = i[close], j[close], small[close]
         return i, j, similarity(a.fp[i], b.fp[j], a.n[i], b.n[j])
@@ -222,8 +222,9 @@ def compare_small(how: Comparison, bucket: np.ndarray, linking: np.ndarray, rows
         i = np.flatnonzero(bucket[d:] == bucket[:-d])
         if not len(i):
             break
-        for at in range(0, len(i), 1 << 15):
-            found.append(how.closer(rows, i[at : at + (1 << 15)], rows, i[at : at + (1 << 15)] + d))
+        for at in range(0, len(i), PAIRS_AT_ONCE):
+            some = i[at : at + PAIRS_AT_ONCE]
+            found.append(how.closer(rows, some, rows, some + d))
     if not found:
         return
     i, j, told = (np.concatenate(x) for x in zip(*found))
@@ -251,7 +252,7 @@ class Tile:
         if self.home is None and self.waiting:
             home = Rows.together(self.waiting)
             self.home, self.waiting = home.take(np.argsort(home.n, kind="stable")), []
-            self.lead = [np.ascontiguousarray(self.home.fp[:, k]) for k in range(STEPS[0])]
+            self.lead = [np.ascontiguousarray(self.home.fp[:, k]) for k in range(self.how.steps[0])]
             self.bits = np.bitwise_count(self.home.fp).sum(axis=1, dtype=np.int64)
             self.root = np.arange(len(self.home.ids))
             for i, j, told in self.near(self.home, self.bits, later=True):
@@ -283,8 +284,8 @@ class Tile:
             i, j = i + at, j + start
             if later:
                 i, j = i[i < j], j[i < j]
-            for part in range(0, len(i), 1 << 15):
-                found = self.how.closer(rows, i[part : part + (1 << 15)], self.home, j[part : part + (1 << 15)])
+            for part in range(0, len(i), PAIRS_AT_ONCE):
+                found = self.how.closer(rows, i[part : part + PAIRS_AT_ONCE], self.home, j[part : part + PAIRS_AT_ONCE])
                 if len(found[0]):
                     yield found
 
@@ -342,6 +343,8 @@ def compare(batches: Iterator[pa.RecordBatch], how: Comparison) -> Iterator[pa.R
                     yield from tile.visit(rows.take(slice(a, b)))
                 else:
                     tile.settle(rows.take(slice(a, b)))
+    if held:
+        yield from compare_small(how, held[0], held[2] < LINKING, held[3])
     if tile:
         yield from tile.open()
 
@@ -353,46 +356,53 @@ def tile_rows(distinct: DataFrame) -> DataFrame:
     return at.join(shared, "bucket")
 
 
-def similar_links(distinct: DataFrame, rows: DataFrame, least: float = SIMILARITY, groups: DataFrame | None = None, above: float = ABOVE, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
-    """Candidate links a, b between ids of ``distinct`` (id, fp), in the tiles of ``rows``; may repeat.
+def similar_links(rows: DataFrame, least: float = SIMILARITY, above: float = ABOVE, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """Links a, b that join ``rows`` (of tiles, with fp) told so much above the similarity, and links of a row with itself for all that have a candidate; may repeat."""
+    how = Comparison(least, least + above, STEPS)
+    return _compared(rows.withColumn("group", F.col("id")).select(*AT_HOME, _cut(rows_per_tile).alias("cut"), F.lit(False).alias("visitor")), how)
 
-    Without groups, links join what is told so much above the similarity, and links of a row with itself name all that have a candidate. With groups
-    (node and component: those already joined), all candidates between different groups are returned.
-    """
-    if not 0 < least < 1:
-        raise ValueError("least must lie between 0 and 1")
-    how = Comparison(least, least + above if groups is None else None)
-    rows = rows.join(distinct.select("id", "fp"), "id")
-    cuts = F.ceil(F.col("rows") / rows_per_tile).cast("int")
-    cut = F.pmod(F.xxhash64("id", "bucket"), cuts).cast("int")
-    at_home = ("bucket", "band", "rows", "id", "n", "fp", "group")
-    if groups is None:
-        dealt = rows.withColumn("group", F.col("id")).select(*at_home, cut.alias("cut"), F.lit(False).alias("visitor"))
-    else:
-        named = groups.select(F.col("node").alias("id"), F.col("component").alias("group"))
-        rows = rows.join(named, "id", "left").withColumn("group", F.coalesce("group", "id"))
-        dealt = rows.select(*at_home, cut.alias("cut"), F.lit(False).alias("visitor"))
-        cut_ones = rows.where(cuts > 1)
-        largest = cut_ones.groupBy("bucket", "group").agg(F.count("*").alias("of_it")).groupBy("bucket").agg(F.max_by("group", F.struct("of_it", "group")).alias("largest"))
-        others = cut_ones.join(largest, "bucket").where(F.col("group") != F.col("largest"))
-        dealt = dealt.unionByName(others.select(*at_home, F.explode(F.sequence(F.lit(0), cuts - 1)).alias("cut"), F.lit(True).alias("visitor")))
+
+def candidates(rows: DataFrame, least: float = SIMILARITY, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
+    """All candidate links a, b between different groups of ``rows`` (of tiles, with group and fine fingerprints as fp); may repeat."""
+    how = Comparison(least, None, FINE_STEPS)
+    home = rows.select(*AT_HOME, _cut(rows_per_tile).alias("cut"), F.lit(False).alias("visitor"))
+    large = rows.where(_cuts(rows_per_tile) > 1)
+    largest = large.groupBy("bucket", "group").agg(F.count("*").alias("of_it")).groupBy("bucket").agg(F.max_by("group", F.struct("of_it", "group")).alias("largest"))
+    others = large.join(largest, "bucket").where(F.col("group") != F.col("largest"))
+    visits = others.select(*AT_HOME, F.explode(F.sequence(F.lit(0), _cuts(rows_per_tile) - 1)).alias("cut"), F.lit(True).alias("visitor"))
+    return _compared(home.unionByName(visits), how)
+
+
+AT_HOME = ("bucket", "band", "rows", "id", "n", "fp", "group")
+
+
+def _cuts(rows_per_tile: int) -> Column:
+    return F.ceil(F.col("rows") / rows_per_tile).cast("int")
+
+
+def _cut(rows_per_tile: int) -> Column:
+    return F.pmod(F.xxhash64("id", "bucket"), _cuts(rows_per_tile)).cast("int")
+
+
+def _compared(dealt: DataFrame, how: Comparison) -> DataFrame:
     placed = dealt.repartition("bucket", "cut").sortWithinPartitions("bucket", "cut", "visitor", "id")
     return placed.mapInArrow(lambda batches: compare(batches, how), "a bigint, b bigint")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words_in: int) -> DataFrame:
-    """id and hashes of the shingle set of the whole texts of the rows ``wanted`` (id, row: nokey, key and hash)."""
+    """id, hashes of the shingle set, and its fine fingerprint, of the whole texts of the rows ``wanted`` (id, row: nokey, key and hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):  # one by one: sets of long texts are large
-                hashes = shingle_set(batch.column(1)[at].as_py(), words_in).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1), pa.array([hashes], pa.list_(pa.int64()))], names=["id", "hashes"])
+                hashes = shingle_set(batch.column(1)[at].as_py(), words_in)
+                columns = [batch.column(0).slice(at, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64())), pa.array([long_fingerprint(hashes, FINE)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "hashes", "fine"])
 
     asked = wanted.select("id", *_place(F.col("row.key"), F.col("row.hash")))
     texts = _keyed(docs, text, key).select(*_place(F.col("key"), F.col("hash")), "data")
     found = texts.join(asked, ["_nokey", "_key", "_hash"]).select("id", "data")
-    return found.dropDuplicates(["id"]).mapInArrow(run, "id long, hashes array<bigint>")
+    return found.dropDuplicates(["id"]).mapInArrow(run, "id long, hashes array<bigint>, fine binary")
 
 
 def _place(key: Column, hashed: Column) -> tuple[Column, Column, Column]:
@@ -414,18 +424,25 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", lea
 
     Null and empty texts are one set; equal texts share theirs. Keys may repeat and be null: sets, not keys, are linked. Empty input gives empty tables.
     """
+    if not 0 < least < 1:
+        raise ValueError("least must lie between 0 and 1")
     found = written(sketches(docs, text, key, words_in), "sketches")
     first = F.min(F.struct(F.col("key").isNull().alias("nokey"), "key", "hash"))
     whole = found.groupBy("digest").agg(first.alias("row"), *(F.first(c).alias(c) for c in ("n", "fp", "bands")))
     distinct = written(whole.withColumn("id", F.monotonically_increasing_id()), "distinct")
     rows = written(tile_rows(distinct), "tile-rows")
 
-    links = written(similar_links(distinct, rows, least, rows_per_tile=rows_per_tile).distinct(), "candidates")
+    links = written(similar_links(rows.join(distinct.select("id", "fp"), "id"), least, rows_per_tile=rows_per_tile).distinct(), "candidates")
+    # Rows of a cut tile met only a part of it.
     met = links.where(F.col("a") == F.col("b")).select(F.col("a").alias("id")).union(rows.where(F.col("rows") > rows_per_tile).select("id")).distinct()
     sets = written(shingle_sets(docs, distinct.join(met, "id", "left_semi"), text, key, words_in), "shingle-sets")
-    links = checked_links(links.where(F.col("a") != F.col("b")), sets, least)
-    seen = connected_components(links)
-    more = similar_links(distinct, rows, least, groups=seen, rows_per_tile=rows_per_tile).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    seen = connected_components(checked_links(links.where(F.col("a") != F.col("b")), sets, least))
+
+    named = seen.select(F.col("node").alias("id"), F.col("component").alias("group"))
+    grouped = written(rows.join(sets.select("id"), "id").join(named, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
+    mixed = grouped.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") < F.col("high"))
+    left = grouped.drop("rows").join(mixed.select("bucket", "rows"), "bucket").join(sets.select("id", F.col("fine").alias("fp")), "id")
+    more = candidates(left, least, rows_per_tile).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = checked_links(written(more, "candidates"), sets, least)
     return distinct, connected_components(links.unionByName(seen.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
