@@ -5,6 +5,9 @@ all three at once. Of the open sequences that can take an example, the one whose
 dot product with the example's demand (both as shares of the limits) takes it, so an example that needs much of one
 resource goes where that resource is plentiful.
 
+In documents, the first of several lines is the prompt: its ids bear no loss, nor does the closing id. A sequence that has all the loss it may
+bear but not all its tokens waits for ids without loss, which prompts bring.
+
 Each task packs the rows it reads; it holds a fixed number of open sequences, so memory is bounded, nothing
 is shuffled, and a lost task is packed again alike.
 """
@@ -12,6 +15,7 @@ is shuffled, and a lost task is packed again alike.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,28 +27,42 @@ from pyspark.sql import functions as F
 
 from .tokens import byte_bpe
 
-OPEN = 24
-TOKENS, SEGMENTS, LOSS = 1024, 64, 1024
+#: Open sequences, and those that wait for ids without loss, at most.
+OPEN, WAITING = 24, 256
+TOKENS, SEGMENTS, LOSS = 1024, 64, 992
 
 
 @dataclass
 class Piece:
+    """Some ids of a document: first ``lead`` without loss, then ``loss`` with, then the others without."""
+
     key: object
     start: int
     ids: np.ndarray | None
     tokens: int
     segments: int
+    lead: int
     loss: int
     whole: int
 
+    def head_loss(self, n: int) -> int:
+        return min(max(n - self.lead, 0), self.loss)
+
+    def head(self, tokens: float, loss: float) -> int:
+        """How many of the first ids fit in so much room."""
+        return int(min(self.tokens, tokens) if self.head_loss(int(tokens)) <= loss else self.lead + loss)
+
     def cut(self, n: int) -> tuple[Piece, Piece]:
-        """The first n ids and the rest; loss goes with the ids, and the last id of the whole bears none."""
-        loss = min(n, self.loss)
+        """The first n ids and the rest."""
+        lead, loss = min(n, self.lead), self.head_loss(n)
         return (
-            Piece(self.key, self.start, self.ids[:n], n, self.segments, loss, self.whole),
-            Piece(self.key, self.start + n, self.ids[n:], self.tokens - n, self.segments, self.loss - loss, self.whole),
+            Piece(self.key, self.start, self.ids[:n], n, self.segments, lead, loss, self.whole),
+            Piece(self.key, self.start + n, self.ids[n:], self.tokens - n, self.segments, self.lead - lead, self.loss - loss, self.whole),
         )
 
+    def demand(self) -> np.ndarray:
+        return np.array((self.tokens, self.segments, self.loss), dtype=np.float64)
+
 
 @dataclass
 class Bins:
@@ -56,74 +74,130 @@ class Bins:
     done: list[list[Piece]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
+        if min(self.limits) < 1:
+            raise ValueError("limits must be positive")
         self.limit = np.array(self.limits, dtype=np.float64)
         self.free = np.empty((0, 3))
         self.held: list[list[Piece]] = []
+        #: Sequences without room for loss: the room for tokens, and the pieces.
+        self.waiting: deque[tuple[int, list[Piece]]] = deque()
 
     def add(self, piece: Piece) -> None:
-        most = self.limits[0]
-        while self.cutting and piece.tokens >= most:
-            head, piece = piece.cut(most)
-            self.done.append([head])
-        if piece.tokens == 0 and self.cutting:
+        if not self.cutting:
+            self._place_whole(piece)
             return
-        demand = np.array((piece.tokens, piece.segments, piece.loss), dtype=np.float64)
-        if (demand > self.limit).any():  # it can't share a sequence
+        while piece.tokens:
+            if piece.lead and self.waiting:
+                room, pieces = self.waiting.popleft()
+                head, piece = piece.cut(min(room, piece.lead))
+                self._wait(room - head.tokens, [*pieces, head])
+            elif piece.tokens >= self.limits[0] or piece.loss > self.limits[2]:
+                n = piece.head(self.limits[0], self.limits[2])
+                if n < self.limits[0] and len(self.waiting) == WAITING:  # a power of two needs no padding
+                    head, piece = piece.cut(1 << (n.bit_length() - 1))
+                    self.done.append([head])
+                else:
+                    head, piece = piece.cut(n)
+                    self._wait(self.limits[0] - n, [head])
+            elif self._fit(piece):
+                return
+            elif len(self.held) < self.most:
+                self._open(piece)
+                return
+            else:
+                heads = [piece.head(t, x) for t, _, x in self.free]
+                k = max(range(len(heads)), key=lambda k: (min(heads[k], 1), -self.free[k, 0]))  # the fullest that takes any
+                if heads[k]:
+                    head, piece = piece.cut(min(heads[k], piece.tokens))
+                    self._put(k, head)
+                else:
+                    self._close(k)
+
+    def _place_whole(self, piece: Piece) -> None:
+        if (piece.demand() > self.limit).any():  # it can't share a sequence
             self.done.append([piece])
-            return
+        elif not self._fit(piece):
+            if len(self.held) >= self.most:
+                self._close(int(self.free[:, 0].argmin()))
+            self._open(piece)
+
+    def _fit(self, piece: Piece) -> bool:
+        demand = piece.demand()
         fits = (self.free >= demand).all(axis=1)
         if fits.any():
-            score = np.where(fits, (self.free / self.limit) @ (demand / self.limit), -1.0)
-            self._put(int(score.argmax()), piece, demand)
-        elif len(self.held) < self.most:
-            self.held.append([piece])
-            self.free = np.vstack((self.free, self.limit - demand))
-            self._close_full(len(self.held) - 1)
-        elif self.cutting:
-            room = self.free.min(axis=1, where=[True, False, True], initial=np.inf)
-            k = int(room.argmin())
-            head, rest = piece.cut(int(min(room[k], piece.tokens - 1)))
-            self._put(k, head, np.array((head.tokens, head.segments, head.loss), dtype=np.float64))
-            self.add(rest)
-        else:
-            self._close(int(self.free[:, 0].argmin()))
-            self.add(piece)
-
-    def _put(self, k: int, piece: Piece, demand: np.ndarray) -> None:
-        self.held[k].append(piece)
-        self.free[k] -= demand
-        self._close_full(k)
+            self._put(int(np.where(fits, (self.free / self.limit) @ (demand / self.limit), -1.0).argmax()), piece)
+        return bool(fits.any())
 
-    def _close_full(self, k: int) -> None:
-        if self.free[k].min() < 1:
+    def _open(self, piece: Piece) -> None:
+        self.held.append([])
+        self.free = np.vstack((self.free, self.limit))
+        self._put(len(self.held) - 1, piece)
+
+    def _put(self, k: int, piece: Piece) -> None:
+        self.held[k].append(piece)
+        self.free[k] -= piece.demand()
+        tokens, segments, loss = self.free[k]
+        if tokens < 1 or segments < 1 or (loss < 1 and not self.cutting):
             self._close(k)
+        elif loss < 1:
+            self._wait(int(tokens), self._taken(k))
 
-    def _close(self, k: int) -> None:
-        self.done.append(self.held.pop(k))
+    def _wait(self, room: int, pieces: list[Piece]) -> None:
+        """A sequence that lacks ``room`` tokens and can't take more loss."""
+        if not room or len(pieces) >= self.limits[1]:
+            self.done.append(pieces)
+            return
+        self.waiting.appendleft((room, pieces)) if len(pieces) > 1 else self.waiting.append((room, pieces))
+        if len(self.waiting) > WAITING:
+            self.done.append(self.waiting.popleft()[1])
+
+    def _taken(self, k: int) -> list[Piece]:
         self.free = np.delete(self.free, k, axis=0)
+        return self.held.pop(k)
+
+    def _close(self, k: int) -> None:
+        self.done.append(self._taken(k))
 
     def finish(self) -> None:
-        """Close what is open. Where cutting is allowed, full sequences come first and the rest is cut to powers of two, which need no padding."""
+        """Close what is open. Where cutting is allowed, pieces are put together anew: full sequences first, then powers of two, which need no padding."""
         if not self.cutting:
             while self.held:
                 self._close(0)
             return
-        left = [p for pieces in self.held for p in pieces]
+        left = [p for pieces in [*self.held, *(pieces for _, pieces in self.waiting)] for p in pieces]
         self.held, self.free = [], np.empty((0, 3))
-        total, current, used = sum(p.tokens for p in left), [], 0
-        size = min(self.limits[0], 1 << (total.bit_length() - 1)) if total else 0
-        left.reverse()
-        while left:
-            piece = left.pop()
-            if piece.tokens > size - used:
-                piece, rest = piece.cut(size - used)
-                left.append(rest)
-            current.append(piece)
-            used += piece.tokens
-            if used == size or len(current) == self.limits[1]:
-                self.done.append(current)
-                total, current, used = total - used, [], 0
-                size = min(self.limits[0], 1 << (total.bit_length() - 1)) if total else 0
+        self.waiting.clear()
+        largest = self.limits[0]
+        while total := sum(p.tokens for p in left):
+            size = min(largest, 1 << (total.bit_length() - 1)) if total < self.limits[0] or largest < self.limits[0] else self.limits[0]
+            made, rest = self._filled(left, size)
+            if sum(p.tokens for p in made) < size and len(made) < self.limits[1]:  # no more loss fits in: a smaller one, of which loss may be all
+                largest = 1 << (min(size - 1, self.limits[2]).bit_length() - 1)
+                continue
+            self.done.append(made)
+            left = rest
+
+    def _filled(self, left: list[Piece], size: int) -> tuple[list[Piece], list[Piece]]:
+        """A sequence of that size as far as it can be filled, and the pieces left: by dot product those that fit whole, then a cut one."""
+        limit = np.array((size, self.limits[1], self.limits[2]), dtype=np.float64)
+        free, left, made = limit.copy(), list(left), []
+        demands = np.array([p.demand() for p in left])
+        while left and free[0] >= 1 and free[1] >= 1:
+            fits = (demands <= free).all(axis=1)
+            if fits.any():
+                k = int(np.where(fits, (demands / limit) @ (free / limit), -1.0).argmax())
+                piece = left.pop(k)
+                demands = np.delete(demands, k, axis=0)
+            else:
+                heads = [p.head(free[0], free[2]) for p in left]
+                k = int(np.argmax(heads))
+                if not heads[k]:
+                    break
+                piece, left[k] = left[k].cut(heads[k])
+                demands[k] = left[k].demand()
+            made.append(piece)
+            free -= piece.demand()
+        return made, left
 
     def closed(self) -> list[list[Piece]]:
         out, self.done = self.done, []
@@ -133,10 +207,10 @@ class Bins:
 def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS)) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence.
 
-    A document's ids are its text's, then one id 0, which bears no loss. Documents may be cut anywhere; each
-    id lies in one piece. A null or empty text is the closing id alone. Repeated rows and null keys are
+    A document's ids are its text's, then one id 0. The closing id bears no loss, nor do as many ids as the first of several lines has. Documents may be cut anywhere; each
+    id lies in one piece. No sequence exceeds a limit. A null or empty text is the closing id alone. Repeated rows and null keys are
     packed as rows of their own. Empty input gives an empty result. A sequence is shorter than the token limit only if its
-    length is a power of two or its segments ran out.
+    length is a power of two, its segments ran out, or WAITING others wait too for ids without loss.
     """
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, loss_tokens bigint"
@@ -161,8 +235,11 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
         for batch in batches:
             kinds = batch.schema.field(0).type
             for doc, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(words.as_py() or ""), np.uint32(0)).astype("<u4")
-                bins.add(Piece(doc, 0, ids, len(ids), 1, len(ids) - 1, len(ids)))
+                words = words.as_py() or ""
+                ids = np.append(encode(words), np.uint32(0)).astype("<u4")
+                prompt, line_end, _ = words.partition("\n")
+                lead = min(len(encode(prompt)), len(ids) - 1) if line_end and prompt else 0
+                bins.add(Piece(doc, 0, ids, len(ids), 1, lead, len(ids) - 1 - lead, len(ids)))
                 if len(bins.done) >= 4096:
                     yield rows()
             yield rows()
@@ -200,7 +277,7 @@ def pack_vectors(examples: DataFrame, key: str = "key", limits: tuple[int, int,
         for batch in batches:
             kinds = batch.schema.field(0).type
             for k, t, s, x in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                bins.add(Piece(k, 0, None, t, s, x, t))
+                bins.add(Piece(k, 0, None, t, s, 0, x, t))
             yield rows()
         if kinds is not None:
             bins.finish()
@@ -211,7 +288,10 @@ def pack_vectors(examples: DataFrame, key: str = "key", limits: tuple[int, int,
 
 
 def conversation_vectors(turns: DataFrame, tokenizer: str) -> DataFrame:
-    """A vector for each conversation: all tokens, one segment a turn, and the assistant's tokens as those that bear loss."""
+    """A vector for each conversation: all tokens, one segment a turn, and the assistant's tokens as those that bear loss.
+
+    Each turn has a closing id. Null and empty texts are that id alone; a null role bears no loss; turns without conv_id are one conversation. Empty input gives an empty result.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = byte_bpe(tokenizer).encode

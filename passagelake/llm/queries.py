@@ -12,7 +12,7 @@ from .common import fold, table, text_bytes
 from .fingerprints import edit_likeness
 from .media import media_digests
 from .mixing import mix_sources, word_count
-from .packing import pack_documents
+from .packing import conversation_vectors, pack_documents, pack_vectors
 from .sharding import interleaved_shards
 from .simhash import near_duplicates
 from .toxicity import fit_lexicon, score_toxicity
@@ -60,6 +60,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole conversations in sequences of at most 1024 tokens, 16 turns and 640 tokens of the assistant."""
+    vectors = conversation_vectors(table(spark, sf_dir, "conversations"), tokenizer_path())
+    return pack_vectors(vectors, limits=(1024, 16, 640)).withColumnRenamed("key", "conv_id")
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
@@ -114,4 +120,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "instruction_packing": instruction_packing,
 }

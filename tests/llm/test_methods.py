@@ -180,6 +180,35 @@ def test_packing_keeps_every_id(spark, texts):
     assert padding <= 0.01 * sum(r["length"] for r in rows)
 
 
+@pytest.mark.parametrize("limits", [(1024, 64, 992), (1024, 64, 300), (1024, 3, 1024), (256, 64, 250), (1000, 7, 1), (64, 64, 64)])
+def test_each_limit_binds(limits):
+    rng = random.Random(str(limits))
+    for lengths in ([700] * 30, [250] * 60, [rng.randint(1, 3000) for _ in range(120)], [1] * 500, [1, 5000], []):
+        bins, done = packing.Bins(limits), []
+        marks = {}
+        for key, n in enumerate(lengths):
+            lead = rng.choice((0, n // 8, n // 3, n - 1, n))
+            loss = max(0, n - 1 - lead)
+            marks[key] = [0] * lead + [1] * loss + [0] * (n - lead - loss)
+            bins.add(packing.Piece(key, 0, np.arange(n, dtype="<u4"), n, 1, lead, loss, n))
+            done += bins.closed()
+        bins.finish()
+        done += bins.closed()
+        seen, padding, waste = {}, 0, 0
+        for pieces in done:
+            for p in pieces:  # against the marks, id by id
+                assert p.ids.tolist() == list(range(p.start, p.start + p.tokens)) and sum(marks[p.key][p.start : p.start + p.tokens]) == p.loss
+                seen.setdefault(p.key, []).extend(p.ids.tolist())
+            tokens, loss = sum(p.tokens for p in pieces), sum(p.loss for p in pieces)
+            assert pieces and tokens <= limits[0] and len(pieces) <= limits[1] and loss <= limits[2]
+            full = tokens & (tokens - 1) == 0 or tokens == limits[0]
+            assert full or len(pieces) == limits[1] or loss == limits[2]
+            waste += not full
+        assert {k: sorted(v) for k, v in seen.items()} == {k: list(range(n)) for k, n in enumerate(lengths)}
+        if limits == (1024, 64, 992):
+            assert waste == 0 or lengths == [1] * 500
+
+
 def test_vectors_are_packed_under_all_limits(spark):
     rng = random.Random(2)
     rows = [(i, rng.randint(1, 900), rng.randint(1, 9), rng.randint(0, 300)) for i in range(800)] + [(800, 5000, 3, 10), (801, None, None, None)]
@@ -195,6 +224,13 @@ def test_vectors_are_packed_under_all_limits(spark):
     lower = max(sum(r[1] or 0 for r in rows[:800]) / 1024, sum(r[2] or 0 for r in rows[:800]) / 12, sum(r[3] or 0 for r in rows[:800]) / 400)
     assert len(sums) <= 1.35 * lower + packing.OPEN
     turns = spark.read.parquet(f"{SMALL}/conversations.parquet")
+    rows = queries.instruction_packing(spark, SMALL).collect()
+    bpe, want = ByteBpe(queries.tokenizer_path()).tokenizer, {}
+    for t in turns.collect():
+        n = len(bpe.encode(t["text"] or "", add_special_tokens=False).ids) + 1
+        x = want.setdefault(t["conv_id"], [0, 0, 0])
+        x[:] = x[0] + n, x[1] + 1, x[2] + n * (t["role"] == "assistant")
+    assert {r["conv_id"]: [r["tokens"], r["segments"], r["loss"]] for r in rows} == want and len(rows) == len(want)
     v = packing.conversation_vectors(turns, queries.tokenizer_path())
     assert v.where("loss > tokens or segments < 1").count() == 0 and packing.pack_vectors(v).count() == v.count()
 
