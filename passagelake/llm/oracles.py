@@ -20,7 +20,7 @@ _CRC32 = f"xor(list_reduce(list_transform(regexp_extract_all({{0}}, '..'), lambd
 ORACLES: dict[str, str] = {
     "op1_sharding": f"""
 WITH raw AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
-sized AS (SELECT doc_id, source, len(h) // 2 + 16 AS size, {_CRC32.format("h")} AS text_crc32, ('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 10))::BIGINT AS hash FROM raw),
+sized AS (SELECT doc_id, source, len(h) // 2 + 16 AS size, {_CRC32.format("h")} AS text_crc32, ('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '~' || (len(h) // 2 + 16) || {_CRC32.format("h")})), 1, 10))::BIGINT AS hash FROM raw),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY hash, doc_id, size, text_crc32) AS k, count(*) OVER (PARTITION BY source) AS n FROM sized),
 placed AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1) / (2 * n)::DOUBLE, coalesce('=' || source, ''), k) - 1 AS p, count(*) OVER () AS total FROM ranked),
 cut AS (SELECT *, (p * 40) // total AS shard FROM placed)

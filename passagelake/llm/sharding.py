@@ -21,9 +21,9 @@ ROWS_PER_BUCKET = 1 << 18
 LEAST_BUCKETS = 512
 
 
-def seeded_hash(key: Column, seed: int) -> Column:
-    """40 bits of md5, which any SQL engine can compute as well."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+def seeded_hash(key: Column, seed: int, instead: Column) -> Column:
+    """40 bits of md5, which any SQL engine can compute as well. ``instead`` stands for a null key."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), instead))
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 10), 16, 10).cast("long")
 
 
@@ -35,14 +35,15 @@ def interleaved_shards(df: DataFrame, n_shards: int, source: str = "source", key
     """Add shard (0 to n_shards - 1) and slot (gapless from 0 in each shard) to the rows of df.
 
     Shard sizes differ by one row at most, and each shard's rows of a source differ from
-    its share by less than two. Nulls: a null source is a source of its own, a null key hashes like the empty text.
+    its share by less than two. Nulls: a null source is a source of its own, a null key hashes like ``~`` and the ties, so that rows without keys spread.
     Repeated rows each get a slot. ``ties`` are further columns that order rows of equal keys.
-    Empty input gives an empty result. Columns of df keep their names; helpers use names starting with ``_s_``.
+    Empty input gives an empty result. Columns of df keep their names, but columns ``shard`` and ``slot`` are replaced; helpers use names starting with ``_s_``.
     """
+    df = df.drop("shard", "slot")
     rows = df.count()  # from Parquet footers when df is a plain scan
     buckets = buckets or bucket_count(rows)
     shift = 40 - (buckets.bit_length() - 1)
-    base = df.withColumns({"_s_src": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")), "_s_h": seeded_hash(F.col(key), seed)}).withColumn("_s_b", F.shiftright("_s_h", shift))
+    base = df.withColumns({"_s_src": F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("")), "_s_h": seeded_hash(F.col(key), seed, F.concat(F.lit("~"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ties)))}).withColumn("_s_b", F.shiftright("_s_h", shift))
     by_source = Window.partitionBy("_s_src")
     counts = (
         base.groupBy("_s_src", "_s_b").agg(F.count(F.lit(1)).alias("_s_c"))

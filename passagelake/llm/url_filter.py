@@ -63,8 +63,9 @@ def blocks_for(listed: int, bits_per_url: int = 16) -> int:
 def listed_pages(pages: DataFrame, listed: DataFrame, url: str = "url") -> DataFrame:
     """Add is_listed: whether the page's canonical URL is one of those of ``listed`` (a column canonical).
 
-    A null url is never listed. Repeated rows on either side are kept or counted once as a set should.
+    A null url is never listed. Repeated rows on either side are kept or counted once as a set should. A column ``is_listed`` of pages is replaced.
     """
+    pages = pages.drop("is_listed")
     distinct = listed.select("canonical").where(F.col("canonical").isNotNull()).distinct()
     blocks = blocks_for(distinct.count())
     assert blocks * BLOCK_BYTES <= 16 << 20, "the filter's bound is what allows the broadcast"
@@ -98,9 +99,9 @@ def judge_pages(pages: DataFrame, rules: list[tuple[str, str, str]], listed: Dat
     """Add host, path, rule and verdict. Without a rule, a listed page is blocked and any other allowed.
 
     A null url, or one without ://, has an empty host and path, fits no rule and isn't listed unless such a
-    text is. Empty input gives an empty result; other columns pass through.
+    text is. Empty input gives an empty result; other columns pass through, but columns of the names added are replaced.
     """
-    seen = listed_pages(pages, listed, url)
+    seen = listed_pages(pages.drop("host", "path", "rule", "verdict"), listed, url)
     seen = seen.withColumns({"host": F.coalesce(url_host(F.col(url)), F.lit("")), "path": F.coalesce(url_path(F.col(url)), F.lit(""))})
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     return seen.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("is_listed"), "block").otherwise("allow"))})

@@ -95,7 +95,21 @@ def test_toxicity(docs, spark):
 
 def test_mixing(docs):
     rows = mixing.mix_sources(docs, ("lang", "source"), ({"en": 0.5}, {}), 0.7, 2, mixing.word_count(F.col("text"))).collect()
-    assert all(r["epoch"] in (0, 1, 2) for r in rows)
+    assert all(r["epoch"] in (0, 1) for r in rows)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mixing_keeps_to_its_limits(spark, seed):
+    """Rows of 0 tokens, repeated keys and rows, and null keys: max_epochs holds, and a leaf is within a row of its budget."""
+    rows = [(1, " ".join(["w"] * 3), "a")] * 400 + [(2, " ".join(["w"] * n), "a") for n in range(60)] + [(k, "", "b") for k in range(20)] + [(100 + k, "x y z", "b") for k in range(40)] + [(None, f"v{k} w", "c") for k in range(50)] + [(7, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    for share in (0.11, 0.9, 1.0, 5.0):
+        tokens = mixing.word_count(F.col("text"))
+        plan = {r["source"]: r["budget"] for r in mixing.plan_mixture(docs, ("source",), ({},), share, 2, tokens, seed=seed).collect()}
+        out = mixing.mix_sources(docs.withColumn("epoch", F.lit("own")), ("source",), ({},), share, 2, tokens, seed=seed).withColumn("t", tokens).collect()
+        assert all(r["epoch"] in (0, 1) for r in out) and not any(r["source"] == "d" for r in out)
+        for source, budget in plan.items():
+            assert abs(sum(r["t"] for r in out if r["source"] == source) - budget) <= 30
 
 
 @pytest.mark.parametrize("urls", [[], [(1, None), (2, ""), (3, "no scheme"), (4, "http://"), (5, "HTTP://A.Example.NET/en/x?q=1#f"), (5, "http://a.example.net:80/en"), (None, "https://x.org/fr/1"), (6, "http://net"), (7, "x://" + "a/" * 50_000)]])
