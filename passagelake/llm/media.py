@@ -15,10 +15,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_batches, text_bytes
+from .common import map_batches, slices, text_bytes
 
 FRAME = 192
 RATE = 8000
@@ -106,7 +108,10 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
 
 
 def read_container(data: bytes) -> list[Track]:
-    """The tracks of a container with their sample tables decoded; payloads aren't touched. Other bytes give an empty list."""
+    """The tracks of a container with their sample tables decoded; payloads aren't touched. Other bytes give an empty list.
+
+    Tables that don't agree with their own length, with each other or with the file raise ValueError; no table takes more memory than a few times its bytes.
+    """
     view, tracks = memoryview(data), []
 
     def walk(start: int, end: int) -> None:
@@ -120,32 +125,53 @@ def read_container(data: bytes) -> list[Track]:
 
     walk(0, len(view))
     for t in tracks:
-        _decode(t)
+        _decode(t, len(view))
     return tracks
 
 
-def _decode(t: Track) -> None:
+def _entries(table: bytes, kind: str, fields: int = 1) -> np.ndarray:
+    """The entries of a table that begins with their number."""
+    if len(table) < 8:
+        raise ValueError("a table ends before its count")
+    n = struct.unpack_from(">I", table, 4)[0]
+    if 8 + n * fields * np.dtype(kind).itemsize > len(table):
+        raise ValueError("a table ends before its last entry")
+    return np.frombuffer(table, kind, n * fields, 8).astype(np.int64).reshape(-1, fields)
+
+
+def _decode(t: Track, length: int) -> None:
+    """length: of the file. A sample takes a byte of it at least, so there can't be more samples of a fixed size than that."""
     get = t.tables.get
-    if head := get(b"mdhd"):
-        t.timescale, t.duration = struct.unpack_from(">IQ", head, 20) if head[0] == 1 else struct.unpack_from(">II", head, 12)
+    if (head := get(b"mdhd")) is not None:
+        wide = head[:1] == b"\1"
+        if len(head) < (32 if wide else 20):
+            raise ValueError("the media header is too short")
+        t.timescale, t.duration = struct.unpack_from(">IQ", head, 20) if wide else struct.unpack_from(">II", head, 12)
     t.kind = get(b"hdlr", bytes(12))[8:12].decode("latin-1")
     t.codec = get(b"stsd", bytes(16))[12:16].decode("latin-1").strip()
-    if b"stsz" not in t.tables:
+    sizes = get(b"stsz")
+    if sizes is None:
         return
-    fixed, n = struct.unpack_from(">II", t.tables[b"stsz"], 4)
-    t.sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(t.tables[b"stsz"], ">u4", n, 12).astype(np.int64)
-    if b"co64" in t.tables:
-        at = np.frombuffer(t.tables[b"co64"], ">u8", offset=8).astype(np.int64)
-    else:
-        at = np.frombuffer(t.tables.get(b"stco", bytes(8)), ">u4", offset=8).astype(np.int64)
-    runs = np.frombuffer(t.tables.get(b"stsc", bytes(8)), ">u4", offset=8).reshape(-1, 3).astype(np.int64)
-    # A run's samples per chunk hold up to the next run's first chunk.
-    per_chunk = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], len(at) + 1)))
-    of_chunk = np.repeat(np.arange(len(at)), per_chunk)[:n]
+    if len(sizes) < 12:
+        raise ValueError("the table of sizes is too short")
+    fixed, n = struct.unpack_from(">II", sizes, 4)
+    if fixed * n > length or (not fixed and 12 + 4 * n > len(sizes)):
+        raise ValueError("more samples than the file can hold")
+    at = _entries(t.tables[b"co64"], ">u8")[:, 0] if b"co64" in t.tables else _entries(get(b"stco", bytes(8)), ">u4")[:, 0]
+    runs = _entries(get(b"stsc", bytes(8)), ">u4", 3)
+    first, per_run = runs[:, 0], runs[:, 1]
+    lasting = np.diff(np.append(first, len(at) + 1))  # a run holds up to the next run's first chunk
+    if (lasting < 0).any() or len(first) and first[0] != 1 or int((lasting * per_run).sum()) != n or (at < 0).any():
+        raise ValueError("chunks and samples don't agree")
+    keys = _entries(t.tables[b"stss"], ">u4")[:, 0] - 1 if b"stss" in t.tables else None
+    if keys is not None and len(keys) and (keys.min() < 0 or keys.max() >= n):
+        raise ValueError("a keyframe that is no sample")
+    t.sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(sizes, ">u4", n, 12).astype(np.int64)
+    per_chunk = np.repeat(per_run, lasting)
+    of_chunk = np.repeat(np.arange(len(at)), per_chunk)
     before = np.concatenate(([0], np.cumsum(t.sizes)))
-    first = np.concatenate(([0], np.cumsum(per_chunk)))[of_chunk]
-    t.offsets = at[of_chunk] + before[:n] - before[first]
-    t.keys = np.frombuffer(t.tables[b"stss"], ">u4", offset=8).astype(np.int64) - 1 if b"stss" in t.tables else np.arange(n)
+    t.offsets = at[of_chunk] + before[:n] - before[np.concatenate(([0], np.cumsum(per_chunk)))[of_chunk]]
+    t.keys = np.arange(n) if keys is None else keys
 
 
 def read_samples(data: bytes, track: Track) -> bytes:
@@ -165,37 +191,46 @@ def feature(t: Track) -> str:
     return f"codec={t.codec};seconds={t.duration / max(t.timescale, 1):.3f};samples={len(t.sizes)};keyframes={len(keys)};at={at};ranges={ranges:08x}"
 
 
-KEYFRAMES = "array<struct<offset:bigint,length:bigint>>"
+KEYFRAMES = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
+#: Bytes of texts that are in work at once.
+BYTES_AT_ONCE = 4 << 20
 
 
 def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
-    """Replace the binary column ``content`` by media_codec, media_kind, media_seconds and media_keyframes of its first track.
+    """Replace the binary column ``content`` by media_codec, media_kind, media_seconds and media_keyframes of its first track, and media_error.
 
-    Null, empty or foreign bytes give nulls. Other columns pass through; rows repeat as they are; empty input gives an empty result.
+    Null, empty or foreign bytes give nulls. Damaged tables give nulls and say why in media_error, which is null otherwise. Other columns pass through, but those with the names of the new ones are replaced;
+    rows repeat as they are; empty input gives an empty result.
     """
-    others = [f for f in df.schema.fields if f.name != content]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"media_codec string, media_kind string, media_seconds double, media_keyframes {KEYFRAMES}"])
+    names = ["media_codec", "media_kind", "media_seconds", "media_keyframes", "media_error"]
+    others = [f for f in df.schema.fields if f.name != content and f.name not in names]
+    schema = T.StructType([*others, *(T.StructField(n, k) for n, k in zip(names, (T.StringType(), T.StringType(), T.DoubleType(), KEYFRAMES, T.StringType())))])
+
+    def describe(data: bytes | None) -> tuple:
+        try:
+            t = next(iter(read_container(data)), None) if data else None
+        except ValueError as e:
+            return (None, None, None, None, str(e))
+        return (None,) * 5 if t is None else (t.codec, t.kind, t.duration / max(t.timescale, 1), [{"offset": o, "length": n} for o, n in t.keyframes()], None)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [next(iter(read_container(x)), None) if x else None for x in batch.column(content).to_pylist()]
-        new = [
-            pa.array([t and t.codec for t in found], pa.string()),
-            pa.array([t and t.kind for t in found], pa.string()),
-            pa.array([t and t.duration / max(t.timescale, 1) for t in found], pa.float64()),
-            pa.array([t and [{"offset": o, "length": n} for o, n in t.keyframes()] for t in found], pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())]))),
-        ]
-        return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), *new], names=[*(f.name for f in others), "media_codec", "media_kind", "media_seconds", "media_keyframes"])
+        found = list(zip(*(describe(x.as_py()) for x in batch.column(content)))) or [()] * len(names)
+        kinds = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.string()]
+        new = [pa.array(list(x), k) for x, k in zip(found, kinds)]
+        return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), *new], names=[*(f.name for f in others), *names])
 
-    return map_batches(df, work, schema)
+    return map_batches(df.select(*(f"`{f.name}`" for f in others), content), work, schema)
 
 
 def store_texts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and content: each whole text (null: empty) as UTF-8 in a container."""
+    """key, n_bytes and content: each whole text (null: empty) as UTF-8 in a container. Null keys pass through, repeated rows repeat, empty input gives an empty result."""
     rows = df.select(F.col(key).alias("key"), text_bytes(F.col(text)).alias("data"))
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [write_container(padded(x)) for x in batch.column("data").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("key"), pa.array([len(x) for x in batch.column("data").to_pylist()], pa.int64()), pa.array(made, pa.binary())], names=["key", "n_bytes", "content"])
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lengths = pc.binary_length(batch.column("data"))
+        for a, b in slices(lengths.to_pylist(), BYTES_AT_ONCE):
+            made = pa.array([write_container(padded(x.as_py())) for x in batch.column("data")[a:b]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("key")[a:b], lengths[a:b].cast(pa.int64()), made], names=["key", "n_bytes", "content"])
 
     kind = df.schema[key].dataType.simpleString()
     return map_batches(rows, work, f"key {kind}, n_bytes bigint, content binary").withColumnRenamed("key", key)
@@ -213,7 +248,7 @@ def media_digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(9)]
-        for data in batch.column("content").to_pylist():
+        for data in (x.as_py() for x in batch.column("content")):
             track = read_container(data)[0]
             payload = read_samples(data, track)
             row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), track.codec, track.duration / track.timescale, len(track.keys))

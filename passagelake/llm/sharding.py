@@ -6,8 +6,7 @@ so equal cuts of the sorted rows are shards of the same mixture.
 
 Neither sort is a global one. Ranks within a source come from hash buckets: counts of each
 (source, bucket) give the offsets, and only rows of one bucket are sorted together. Positions
-in the whole come from fraction buckets, whose offsets follow from the sources' row counts
-alone. A source with a third of all rows is so spread over all buckets.
+in the whole come from fraction buckets, whose offsets are sums of their counts. A source with a third of all rows is so spread over all buckets.
 """
 
 from __future__ import annotations
@@ -53,16 +52,10 @@ def interleaved_shards(df: DataFrame, n_shards: int, source: str = "source", key
     in_bucket = Window.partitionBy("_s_src", "_s_b").orderBy("_s_h", key, *ties)
     ranked = base.withColumn("_s_k", F.row_number().over(in_bucket)).join(counts, ["_s_src", "_s_b"]).withColumn("_s_k", F.col("_s_k") + F.col("_s_off"))
 
-    # Integer arithmetic: bucket g of rank k is floor((2k - 1) * G / 2n), and a source has
-    # floor(ceil(2gn / G) / 2) rows before bucket g.
-    g = F.lit(buckets)
+    # Integer arithmetic: bucket g of rank k is floor((2k - 1) * G / 2n). Offsets come from at most ``buckets`` counts.
     ranked = ranked.withColumns({"_s_g": F.expr(f"((2 * _s_k - 1) * {buckets}) div (2 * _s_n)"), "_s_f": (2 * F.col("_s_k") - 1) / (2 * F.col("_s_n"))})
-    sources = counts.groupBy("_s_src").agg(F.max("_s_n").alias("_s_n"))
-    starts = (
-        sources.select("_s_n", F.explode(F.sequence(F.lit(0), g - 1)).alias("_s_g"))
-        .groupBy(F.col("_s_g").cast("long").alias("_s_g"))
-        .agg(F.sum(F.expr(f"((2 * _s_g * _s_n + {buckets - 1}) div {buckets}) div 2")).alias("_s_start"))
-    )
+    before = F.sum("_s_c").over(Window.orderBy("_s_g").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranked.groupBy("_s_g").agg(F.count(F.lit(1)).alias("_s_c")).select("_s_g", F.coalesce(before, F.lit(0)).alias("_s_start"))
     placed = ranked.withColumn("_s_p", F.row_number().over(Window.partitionBy("_s_g").orderBy("_s_f", "_s_src", "_s_k"))).join(starts, "_s_g").withColumn("_s_p", F.col("_s_p") + F.col("_s_start") - 1)
     shard = F.expr(f"(_s_p * {n_shards}) div {max(rows, 1)}")
     out = placed.withColumn("shard", shard.cast("int"))

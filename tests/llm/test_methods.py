@@ -134,6 +134,41 @@ def test_sample_tables(wide):
         assert media.read_container(broken) == []
 
 
+def test_damaged_containers_are_told_and_harmless():
+    import tracemalloc
+
+    made = [container([5, 0, 7, 100, 1, 30], [2, 3, 1], [1, 4], wide)[0] for wide in (False, True)] + [media.write_container(b"x" * 192 * 70)]
+    rng = random.Random(1)
+    tracemalloc.start()
+    told = 0
+    for k in range(10_000):
+        data = bytearray(rng.choice(made))
+        if k % 3 == 0:
+            del data[rng.randrange(len(data)) :]
+        for _ in range(rng.choice((0, 1, 1, 2, 8)) if k % 3 else 0):
+            data[rng.randrange(len(data)) if k % 2 else len(data) - rng.randrange(1, 400)] = rng.randrange(256)
+        try:
+            for t in media.read_container(bytes(data)):
+                t.keyframes()
+                media.feature(t)
+        except ValueError:
+            told += 1
+    assert told > 500 and tracemalloc.get_traced_memory()[1] < 64 << 20
+    tracemalloc.stop()
+
+
+def test_damaged_rows_give_rows(spark):
+    good, _ = container([5, 7], [2], [1], False)
+    at = good.index(b"stsz")
+    huge = good[: at + 8] + struct.pack(">II", 1, 2**32 - 1) + good[at + 16 :]
+    rows = [(1, bytearray(good), "x"), (2, bytearray(huge), "x"), (3, None, None), (4, bytearray(good[: len(good) - 30]), "x"), (5, bytearray(b""), "x")]
+    df = spark.createDataFrame(rows, "id long, content binary, media_codec string")
+    out = {r["id"]: r for r in media.media_columns(df).collect()}
+    assert out[1]["media_codec"] == "avc1" and out[1]["media_error"] is None and len(out[1]["media_keyframes"]) == 1
+    assert out[2]["media_error"] and out[2]["media_codec"] is None
+    assert all(out[k]["media_codec"] is None for k in (3, 5)) and media.media_columns(df.limit(0)).count() == 0
+
+
 def test_texts_make_the_round_trip(spark, texts):
     for r in queries.op3_media(spark, SMALL).collect():
         raw = texts[r["doc_id"]].encode()
