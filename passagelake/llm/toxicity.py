@@ -3,8 +3,8 @@
 Texts and lexicon are folded alike: case, accents and compatibility forms go, look-alike letters of other scripts and
 digits or signs used as letters become one Latin letter, all else becomes a space. The lexicon holds whole words and
 word beginnings, weighted by the log-odds of their document counts in labelled rows. An Aho-Corasick automaton finds all
-entries in one pass. Phrases that hold an entry but mark clean texts are exceptions and take its weight back. The sum of weights
-over the logarithm of the length goes through a logistic curve.
+entries in one pass. Phrases that hold an entry but mark clean texts are exceptions and take its weight back. The sum of weights over
+a power of the length goes through a logistic curve; curve and power are fitted together, with labels as frequent as they are among all usable rows.
 
 The classifier is fitted on MOST_LABELLED rows of each label at most, the ones with the smallest hashes; their texts are counted
 by Spark, and only entries that pass the thresholds (MOST_ENTRIES at most) come to the driver.
@@ -73,7 +73,8 @@ LOOSE_SIGNS = re.compile(r"(?<![^\W_])[!$@|+]+|[!$@|+]+(?![^\W_])")
 
 
 def folded(text: str) -> str:
-    return f" {LOOSE_SIGNS.sub(' ', text).translate(FOLD)} "
+    """The text's words as they are looked up, one space before, between and after them."""
+    return f" {' '.join(LOOSE_SIGNS.sub(' ', text).translate(FOLD).split())} "
 
 
 def entries(words: set[str]) -> set[str]:
@@ -88,8 +89,8 @@ def entries(words: set[str]) -> set[str]:
 class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: dict[str, float] = field(default_factory=dict)
-    intercept: float = -10.0
-    slope: float = 0.0
+    #: Of the curve: at 0, for the logarithm of the sum of weights, and for that of the length.
+    curve: tuple[float, float, float] = (-10.0, 0.0, 0.0)
 
     def automaton(self):
         import ahocorasick
@@ -101,30 +102,36 @@ class Lexicon:
             a.make_automaton()
         return a
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.intercept + self.slope * np.log(np.maximum(x, 0) + EMPTY))))
+    def probability(self, found: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(_features(found) @ np.array(self.curve))))
+
+
+def _features(found: np.ndarray) -> np.ndarray:
+    """For the curve: 1, and the logarithms of the sum of weights and of the length."""
+    return np.stack([np.ones(len(found)), np.log(np.maximum(found[:, 0], 0) + EMPTY), np.log(found[:, 1] + 2)], axis=1)
 
 
 def strengths(texts: Iterable[str | None], automaton) -> np.ndarray:
-    """The sum of matched weights over the logarithm of the number of words."""
-    return np.array([_strength(t, automaton) for t in texts], dtype=np.float64)
+    """The sum of matched weights and the number of words of each text."""
+    return np.array([_strength(t, automaton) for t in texts], dtype=np.float64).reshape(-1, 2)
 
 
-def _strength(text: str | None, automaton) -> float:
-    if not text or not len(automaton):
-        return 0.0
-    plain = folded(text)
-    total = sum(w for _, w in automaton.iter(plain))
-    return total / math.log2(2 + len(plain.split())) if total > 0 else 0.0
+def _strength(text: str | None, automaton) -> tuple[float, int]:
+    plain = folded(text or "")
+    return (sum(w for _, w in automaton.iter(plain)) if len(automaton) else 0.0), len(plain.split())
 
 
 def labelled_sample(labels: DataFrame, key: str, label: str, usable: Column, most: int = MOST_LABELLED) -> DataFrame:
     """key and y of ``most`` rows of each label at most, chosen by hash. Nulls and other labels are left out; of repeated keys the larger label counts."""
-    rows = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & usable).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+    rows = _labelled(labels, key, label, usable)
     parts = [rows.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(most) for y in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
+def _labelled(labels: DataFrame, key: str, label: str, usable: Column) -> DataFrame:
+    return labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1) & usable).groupBy(key).agg(F.max(label).cast("int").alias("y"))
+
+
 def _texts(docs: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame:
     """Whole texts of the sample with y. The sample's bound is what allows the broadcast."""
     return docs.select(key, text).join(F.broadcast(sample), key).where(F.col(text).isNotNull()).select("y", text)
@@ -139,7 +146,7 @@ def _entry_counts(texts: DataFrame, taken: dict[str, float]) -> DataFrame:
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py()
-                if not (y and strengths([text], automaton)[0]):
+                if not (y and _strength(text, automaton)[0] > 0):
                     counts[y].update(entries(set(folded(text).split())) | ({""} if y else set()))
                 if len(counts[0]) + len(counts[1]) > COUNTED_AT_ONCE:
                     yield _two_counts(counts)
@@ -172,6 +179,7 @@ def log_odds(toxic: float, clean: float, n_toxic: int, n_clean: int) -> float:
 
 def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Lexicon:
     """Learn from rows of ``labels`` where ``usable`` holds. Without rows of both labels, the lexicon is empty and every score 0."""
+    rows = {r["y"]: r["count"] for r in _labelled(labels, key, label, usable).groupBy("y").count().collect()}
     texts = written(_texts(docs, labelled_sample(labels, key, label, usable), key, text), "labelled")  # 2 MOST_LABELLED rows at most, read several times
     n = {r["y"]: r["count"] for r in texts.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
@@ -198,10 +206,11 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Lexicon(*patterns).automaton()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(strengths((x.as_py() for x in batch.column(1)), automaton))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, strengths((x.as_py() for x in batch.column(1)), automaton).T)], names=["y", "x", "words"])
 
-    points = texts.mapInArrow(measure, "y int, x double").toPandas()
-    found.intercept, found.slope = _logistic(np.log(np.maximum(points["x"].to_numpy(), 0) + EMPTY), points["y"].to_numpy())
+    points = texts.mapInArrow(measure, "y int, x double, words double").toPandas()
+    y = points["y"].to_numpy()
+    found.curve = _logistic(_features(points[["x", "words"]].to_numpy()), y, np.where(y == 1, rows[1] / n[1], rows[0] / n[0]))
     return found
 
 
@@ -235,19 +244,16 @@ def _exceptions(texts: DataFrame, lexicon: Lexicon) -> dict[str, float]:
     return out
 
 
-def _logistic(u: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Newton's method, both labels weighing the same."""
-    if len(set(y.tolist())) < 2:
-        return (-10.0, 0.0)
-    x, beta = np.stack([np.ones_like(u), u], 1), np.zeros(2)
-    each = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1)) * len(y)
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray, ridge: float = 1e-2) -> tuple[float, float, float]:
+    """Newton's method over rows that weigh ``each``."""
+    beta = np.zeros(x.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-x @ beta))
-        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(2), x.T @ (each * (y - p)) - ridge * beta)
-        beta += step
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(beta)), x.T @ (each * (y - p)) - ridge * beta)
+        beta += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return float(beta[0]), float(beta[1])
+    return tuple(beta.tolist())
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:

@@ -389,6 +389,28 @@ def test_filter_passes_all_listed_and_the_join_no_others(spark):
     assert len(one) == 1 and url_filter.blocks_for(10**12) == url_filter.MOST_BLOCKS
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    lexicon = toxicity.Lexicon({" vlix": 2.0, " moop ": 1.5, " oo": 0.25}, {" vlixor pudding ": 2.0}, (1.0, 0.9, -0.5))
+    texts = ["", None, "Vlixor, pudding", "vlixor\n\npudding", "a vlixor", "MOOP m00p moop", "moopmoop", "vl1xxor!! oops vlixor pudding", "word " * 500 + "moop", "? ! 1"]
+
+    def naive(text):
+        words = [w for w in re.split("[^a-z]+", "".join({"1": "i", "0": "o", "l": "i", "!": " "}.get(c, c) for c in (text or "").lower().replace("!!", "  "))) if w]
+        plain = " " + " ".join(words) + " "
+        fold = lambda p: p.replace("l", "i")
+        count = lambda p: sum(plain.startswith(fold(p), k) for k in range(len(plain)))
+        total = sum(w * count(p) for p, w in lexicon.weights.items()) - sum(w * count(p) for p, w in lexicon.exceptions.items())
+        b = lexicon.curve
+        return 1 / (1 + math.exp(-(b[0] + b[1] * math.log(max(total, 0) + toxicity.EMPTY) + b[2] * math.log(len(words) + 2))))
+
+    lexicon2 = toxicity.Lexicon({k.replace("l", "i"): v for k, v in lexicon.weights.items()}, {k.replace("l", "i"): v for k, v in lexicon.exceptions.items()}, lexicon.curve)
+    got = toxicity.score_toxicity(spark.createDataFrame([(i, t, 7.0) for i, t in enumerate(texts)], "doc_id long, text string, score double"), lexicon2).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert abs(r["score"] - naive(texts[r["doc_id"]])) < 1e-12 and r["predicted"] == (r["score"] >= 0.5)
+    by = {r["doc_id"]: r["score"] for r in got}
+    assert by[2] == by[3] < by[4]
+
+
 def test_lexicon_folds_and_excepts(spark):
     rng = random.Random(6)
     filler = ["".join(rng.choice("aeioubcdfgmnprst") for _ in range(rng.randint(3, 8))) for _ in range(3000)]
