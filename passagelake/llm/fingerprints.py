@@ -16,13 +16,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS = 128
 TERMS_AT_ONCE = 4096
 MOST_CACHED = 500_000
+BYTES_PER_PARTITION = 128 << 20
+#: Of the searches in the query, and the parts that each block value is cut into, as a common one may be in many fingerprints.
+RADIUS, SALTS = 3, 8
 #: Odd multipliers that mix 64-bit numbers (fixed values).
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -92,9 +95,9 @@ def beside_next(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     Cuts are keys of the table, one a partition: a row whose key is a cut is the first of its partition and so is sent once more to the
     partition before, whose last row it follows. The row with the largest key follows the last of all.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(key).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BYTES_PER_PARTITION))
     shares = [(i + 1) / parts for i in range(parts)]
     found = rows.agg(F.percentile_approx("key", shares, 100 * parts).alias("cuts"), F.max("key").alias("last")).first()
     cuts = np.unique(np.array([*(found["cuts"] or []), *([] if found["last"] is None else [found["last"]])], dtype=np.int64))
@@ -151,23 +154,45 @@ def edit_likeness(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     return beside_next(docs, text, key).mapInArrow(run, schema)
 
 
-def block_tables(prints: DataFrame, blocks: int, fingerprint_column: str = "fingerprint") -> DataFrame:
-    """Each distinct fingerprint once for each block: block, its bits (as hex digits) and the two halves."""
+def _halves(fp: str) -> list:
+    return [F.conv(F.substring(fp, at, 8), 16, 10).cast("long").alias(f"w{i}") for i, at in enumerate((1, 9, 17, 25))]
+
+
+def _block(fp: str, i: int, blocks: int) -> Column:
     width = BITS // 4 // blocks
+    return F.substring(fp, i * width + 1, width if i + 1 < blocks else BITS)
+
+
+def block_tables(prints: DataFrame, blocks: int, fingerprint_column: str = "fingerprint") -> DataFrame:
+    """Each distinct fingerprint once for each block: fp, block, its bits (as hex digits)."""
     distinct = prints.select(F.col(fingerprint_column).alias("fp")).where(F.col("fp").isNotNull()).distinct()
-    cut = F.array(*(F.struct(F.lit(i).alias("block"), F.substring("fp", i * width + 1, width if i + 1 < blocks else BITS).alias("bits")) for i in range(blocks)))
-    halves = [F.conv(F.substring("fp", at, 8), 16, 10).cast("long").alias(f"w{i}") for i, at in enumerate((1, 9, 17, 25))]
-    return distinct.select("fp", *halves, F.explode(cut).alias("cut")).select("fp", "w0", "w1", "w2", "w3", "cut.block", "cut.bits")
+    cut = F.array(*(F.struct(F.lit(i).alias("block"), _block("fp", i, blocks).alias("bits")) for i in range(blocks)))
+    return distinct.select("fp", F.explode(cut).alias("cut")).select("fp", "cut.block", "cut.bits")
 
 
 def within_radius(queries: DataFrame, prints: DataFrame, radius: int) -> DataFrame:
-    """query_fp, fp and distance of all pairs of a fingerprint of ``queries`` and a distinct one of ``prints`` that differ in ``radius`` bits at most.
+    """query_fp, fp and distance of all pairs of a fingerprint of ``queries`` and a distinct one of ``prints`` that differ in ``radius`` bits (31 at most) or fewer.
 
-    Exact: radius + 1 blocks, at least one of which is free of differences. Nulls match nothing. A pair with several equal blocks is returned once.
+    Exact: more blocks than radius, at least one of which is free of differences. A value of a block is cut into SALTS parts by fingerprint, to each of which its queries go, so
+    that a common one isn't one task's. A pair with several equal blocks is returned in the first. Nulls match nothing; empty tables give an empty result.
     """
+    if not 0 <= radius < 32:
+        raise ValueError("the radius must be 0 to 31")
     blocks = next(b for b in (1, 2, 4, 8, 16, 32) if b > radius)
-    tables = block_tables(prints, blocks)
-    asked = block_tables(queries, blocks).select("block", "bits", F.col("fp").alias("query_fp"), *(F.col(f"w{i}").alias(f"q{i}") for i in range(4)))
-    distance = sum((F.bit_count(F.col(f"w{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(4)), F.lit(0))
-    pairs = asked.join(tables, ["block", "bits"]).withColumn("distance", distance.cast("int")).where(F.col("distance") <= radius)
-    return pairs.select("query_fp", "fp", "distance").distinct()
+    tables = block_tables(prints, blocks).withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int"))
+    asked = block_tables(queries, blocks).select("block", "bits", F.col("fp").alias("query_fp"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    pairs = asked.join(tables, ["block", "bits", "salt"])
+    first = F.coalesce(*(F.when(_block("fp", i, blocks) == _block("query_fp", i, blocks), i) for i in range(blocks)))
+    distance = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(_halves("fp"), _halves("query_fp"))), F.lit(0))
+    return pairs.where(F.col("block") == first).select("query_fp", "fp", distance.cast("int").alias("distance")).where(F.col("distance") <= radius)
+
+
+def count_within_radius(prints: DataFrame, asked: Column, radius: int = RADIUS) -> DataFrame:
+    """Add within_radius: for rows where ``asked`` holds, how many distinct fingerprints other than their own are within the radius; null for other rows.
+
+    prints must be a table, as it is read three times. A null fingerprint has none. Equal rows get equal counts.
+    """
+    prints = prints.drop("within_radius")
+    found = within_radius(prints.where(asked), prints, radius).groupBy("query_fp").agg((F.count("*") - 1).alias("_near"))
+    rows = prints.where(asked).join(found, F.col("fingerprint") == F.col("query_fp"), "left").select(*prints.columns, F.coalesce("_near", F.lit(0)).alias("within_radius"))
+    return rows.unionByName(prints.where(~F.coalesce(asked, F.lit(False))).withColumn("within_radius", F.lit(None).cast("long")))

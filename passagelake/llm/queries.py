@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, lm
-from .common import fold, table, text_bytes
-from .fingerprints import edit_likeness
+from .common import fold, table, text_bytes, written
+from .fingerprints import count_within_radius, edit_likeness
 from .media import media_digests
 from .mixing import mix_sources, word_count
 from .packing import conversation_vectors, pack_documents, pack_vectors
@@ -67,7 +67,8 @@ def instruction_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_likeness(table(spark, sf_dir, "documents"))
+    likeness = written(edit_likeness(table(spark, sf_dir, "documents")), "likeness")
+    return count_within_radius(likeness, F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False)))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

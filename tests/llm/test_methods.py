@@ -282,6 +282,9 @@ def test_edited_texts(spark, texts):
         assert r["near_edited"] == 1 - (bits(r["fingerprint"]) ^ bits(r["edited_fingerprint"])).bit_count() / 128
         assert r["near_next"] == 1 - (bits(r["fingerprint"]) ^ bits(rows[following]["fingerprint"])).bit_count() / 128
     assert np.mean([r["near_edited"] > r["near_next"] for r in rows.values()]) > 0.95
+    prints = [int(x, 16) for x in {r["fingerprint"] for r in rows.values()}]
+    for i, r in rows.items():
+        assert r["within_radius"] == (None if i % 100 else sum((int(r["fingerprint"], 16) ^ x).bit_count() <= 3 for x in prints) - 1)
     same = {}
     for i, r in rows.items():
         assert same.setdefault(texts[i], r["fingerprint"]) == r["fingerprint"]
@@ -311,6 +314,17 @@ def test_block_tables_find_all_within_the_radius(spark, radius):
     assert got == {(f"{a:032x}", f"{b:032x}", (a ^ b).bit_count()) for a in all_ for b in all_ if (a ^ b).bit_count() <= radius}
 
 
+def test_a_common_block_is_cut(spark):
+    prints = spark.range(3000).select(F.concat(F.lpad(F.lower(F.hex("id")), 8, "0"), F.lit("0" * 24)).alias("fingerprint"))
+    asked = F.col("fingerprint").isin("0" * 32, "00000001" + "0" * 24)
+    got = {r["fingerprint"]: r["within_radius"] for r in fingerprints.count_within_radius(prints, asked).collect()}
+    assert len(got) == 3000 and sum(v is not None for v in got.values()) == 2
+    for k in (0, 1):
+        assert got[f"{k:08x}" + "0" * 24] == sum((k ^ x).bit_count() <= 3 for x in range(3000)) - 1
+    with pytest.raises(ValueError):
+        fingerprints.within_radius(prints, prints, 32)
+
+
 def test_language_of_held_out_rows(spark):
     rows = queries.op6_language(spark, MIDDLE).join(spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
