@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from passagelake.llm import fingerprints, language, lm, media, mixing, packing, sharding, simhash, toxicity, url_filter
+from passagelake.llm import fingerprints, language, lm, media, mixing, packing, sharding, simhash, simhash_long, toxicity, url_filter
 from passagelake.llm.queries import tokenizer_path
 
 NAMES = ("odd", "none", "clashing")
@@ -125,6 +125,39 @@ def test_url_filter(spark, urls):
         assert [r["verdict"] for r in rows if r["page_id"] == 7] == ["block"]
 
 
+OUTPUTS = (
+    "shard", "slot", "fp", "component_id", "n_bytes", "payload_bytes", "media_bytes", "feature", "codec", "seconds", "media_codec", "media_kind", "media_seconds", "media_keyframes", "media_error",
+    "start", "length", "sequence_id", "offset", "doc_tokens", "fingerprint", "near_next", "within_radius", "lang_pred", "lang_score", "spans", "held_out", "n_tokens", "n_known", "base_score", "score",
+    "predicted", "host", "path", "rule", "verdict", "is_listed", "epoch", "key", "hash", "row", "id", "digest", "n", "group", "bucket", "tokens", "y", "x", "place", "tail", "token", "c",
+)
+
+OPERATORS = {
+    "shards": lambda d: sharding.interleaved_shards(d, 3),
+    "simhash": lambda d: simhash.near_duplicates(d),
+    "media": lambda d: media.media_columns(d.withColumn("content", F.encode("text", "utf-8"))),
+    "digests": lambda d: media.media_digests(d),
+    "packing": lambda d: packing.pack_documents(d, tokenizer_path()),
+    "likeness": lambda d: fingerprints.edit_likeness(d),
+    "radius": lambda d: fingerprints.count_within_radius(d.withColumn("fingerprint", F.lpad(F.col("doc_id").cast("string"), 32, "0")), F.col("doc_id") > 5),
+    "languages": lambda d: language.identify(d, language.fit(d)),
+    "spans": lambda d: language.language_spans(d, language.fit(d)),
+    "lm": lambda d: lm.fit_and_score(d, F.lit(True)),
+    "urls": lambda d: url_filter.judge_pages(d.withColumn("url", F.concat(F.lit("http://a.net/"), "source")), [("block", "net", "/")], d.select(F.col("source").alias("canonical"))),
+    "toxicity": lambda d: toxicity.score_toxicity(d, toxicity.Lexicon({" cat ": 1.0})),
+    "mixing": lambda d: mixing.mix_sources(d, ("lang", "source"), ({}, {}), 0.7, 2, mixing.word_count(F.col("text"))),
+    "near-dedup": lambda d: simhash_long.first_of_each(d),
+}
+
+
+@pytest.mark.parametrize("operator", OPERATORS)
+def test_names_of_outputs_as_columns(operator, odd, tmp_path):
+    """Results can be written where the table's further columns bear the names of outputs and helpers."""
+    docs = odd.withColumns({n: F.lit("own") for n in OUTPUTS})
+    out = OPERATORS[operator](docs)
+    assert len(set(out.columns)) == len(out.columns)
+    out.write.parquet(str(tmp_path / "out"))
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_stages(name, request, spark, tmp_path):
     docs = request.getfixturevalue(name)
