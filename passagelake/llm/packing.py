@@ -217,7 +217,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, bins, kinds = byte_bpe(tokenizer).encode, Bins(limits), None
+        bpe, bins, kinds = byte_bpe(tokenizer), Bins(limits), None
         next_id = TaskContext.get().partitionId() << 40
 
         def rows() -> pa.RecordBatch:
@@ -236,9 +236,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
             kinds = batch.schema.field(0).type
             for doc, words in zip(batch.column(0).to_pylist(), batch.column(1)):
                 words = words.as_py() or ""
-                ids = np.append(encode(words), np.uint32(0)).astype("<u4")
+                ids = np.append(bpe.encode(words), np.uint32(0)).astype("<u4")
                 prompt, line_end, _ = words.partition("\n")
-                lead = min(len(encode(prompt)), len(ids) - 1) if line_end and prompt else 0
+                lead = bpe.within(ids[:-1], len(prompt.encode("utf-8", "surrogatepass"))) if line_end else 0
                 bins.add(Piece(doc, 0, ids, len(ids), 1, lead, len(ids) - 1 - lead, len(ids)))
                 if len(bins.done) >= 4096:
                     yield rows()

@@ -100,6 +100,11 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def short_keys(hashes: np.ndarray) -> bytes:
+    """The lower half of each of the keys."""
+    return band_keys(hashes).astype(np.uint32).tobytes()
+
+
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """key, hash of the text, and the text's bytes: key and hash tell different rows apart."""
     data = text_bytes(F.col(text))
@@ -170,22 +175,23 @@ def similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -
 
 
 class Rows:
-    """Rows of distinct sets as columns: ids, n, group, fp (64-bit words)."""
+    """Rows of distinct sets as columns: ids, n, group, fp (64-bit words), and keys (32 bits of each band's, or none)."""
 
-    def __init__(self, ids: np.ndarray, n: np.ndarray, group: np.ndarray, fp: np.ndarray) -> None:
-        self.ids, self.n, self.group, self.fp = ids, n, group, fp
+    def __init__(self, ids: np.ndarray, n: np.ndarray, group: np.ndarray, fp: np.ndarray, keys: np.ndarray) -> None:
+        self.ids, self.n, self.group, self.fp, self.keys = ids, n, group, fp, keys
 
     @classmethod
     def of(cls, batch: pa.RecordBatch) -> Rows:
         ids, n, group = (batch.column(name).to_numpy() for name in ("id", "n", "group"))
-        return cls(ids, n, group, np.frombuffer(b"".join(batch.column("fp").to_pylist()), dtype=np.uint64).reshape(len(batch), -1))
+        fp, keys = (np.frombuffer(b"".join(batch.column(name).to_pylist()), dtype=np.uint32) for name in ("fp", "keys"))
+        return cls(ids, n, group, fp.view(np.uint64).reshape(len(batch), -1), keys.reshape(len(batch), -1) if len(keys) else np.empty((len(batch), 0), np.uint32))
 
     def take(self, rows: np.ndarray | slice) -> Rows:
-        return Rows(self.ids[rows], self.n[rows], self.group[rows], self.fp[rows])
+        return Rows(self.ids[rows], self.n[rows], self.group[rows], self.fp[rows], self.keys[rows])
 
     @classmethod
     def together(cls, parts: list[Rows]) -> Rows:
-        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "n", "group", "fp")))
+        return cls(*(np.concatenate([getattr(p, c) for p in parts]) for c in ("ids", "n", "group", "fp", "keys")))
 
 
 class Comparison:
@@ -204,19 +210,18 @@ class Comparison:
             i, j, small = i[close], j[close], small[close]
         return i, j, similarity(a.fp[i], b.fp[j], a.n[i], b.n[j])
 
+    def first(self, a: Rows, i: np.ndarray, b: Rows, j: np.ndarray, band: np.ndarray | int) -> pa.RecordBatch:
+        """Links of the pairs that share no key of a band before this one, so that each is returned once."""
+        here = (a.keys[i] == b.keys[j]).argmax(axis=1) == band
+        return _links(a.ids[i[here]], b.ids[j[here]])
+
 
 def _links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
-def _met(*ids: np.ndarray) -> pa.RecordBatch:
-    """Rows that have a candidate, as links with themselves."""
-    ids = np.unique(np.concatenate(ids))
-    return _links(ids, ids)
-
-
-def compare_small(how: Comparison, bucket: np.ndarray, linking: np.ndarray, rows: Rows) -> Iterator[pa.RecordBatch]:
-    """Links in whole small tiles, sorted by bucket and id. Joining links are stars: a row and the first that it seems similar to."""
+def compare_small(how: Comparison, bucket: np.ndarray, band: np.ndarray, rows: Rows) -> Iterator[pa.RecordBatch]:
+    """Links in whole small tiles, sorted by bucket and id. Joining links are stars: a row and the first that it seems similar to. Rows that have a candidate are linked with themselves."""
     found = []
     for d in range(1, SMALL):
         i = np.flatnonzero(bucket[d:] == bucket[:-d])
@@ -229,10 +234,11 @@ def compare_small(how: Comparison, bucket: np.ndarray, linking: np.ndarray, rows
         return
     i, j, told = (np.concatenate(x) for x in zip(*found))
     if how.told is None:
-        yield _links(rows.ids[i], rows.ids[j])
+        yield how.first(rows, i, rows, j, band[i])
     else:
-        yield _met(rows.ids[i], rows.ids[j])
-        seem = np.flatnonzero((told >= how.told) & linking[i])
+        met = np.unique(np.concatenate((i, j)))
+        yield _links(rows.ids[met], rows.ids[met])
+        seem = np.flatnonzero((told >= how.told) & (band[i] < LINKING))
         seem = seem[np.lexsort((i[seem], j[seem]))]
         _, first = np.unique(j[seem], return_index=True)
         yield _links(rows.ids[i[seem[first]]], rows.ids[j[seem[first]]])
@@ -241,8 +247,8 @@ def compare_small(how: Comparison, bucket: np.ndarray, linking: np.ndarray, rows
 class Tile:
     """A large tile, or a cut of one: rows at home, by size of their sets, to which visitors come."""
 
-    def __init__(self, how: Comparison, linking: bool) -> None:
-        self.how, self.linking, self.waiting, self.home = how, linking, [], None
+    def __init__(self, how: Comparison, band: int) -> None:
+        self.how, self.band, self.waiting, self.home = how, band, [], None
 
     def settle(self, rows: Rows) -> None:
         self.waiting.append(rows)
@@ -255,15 +261,17 @@ class Tile:
             self.lead = [np.ascontiguousarray(self.home.fp[:, k]) for k in range(self.how.steps[0])]
             self.bits = np.bitwise_count(self.home.fp).sum(axis=1, dtype=np.int64)
             self.root = np.arange(len(self.home.ids))
+            met = np.zeros(len(self.root), bool)
             for i, j, told in self.near(self.home, self.bits, later=True):
                 if self.how.told is None:
-                    yield _links(self.home.ids[i], self.home.ids[j])
+                    yield self.how.first(self.home, i, self.home, j, self.band)
                     continue
-                yield _met(self.home.ids[i], self.home.ids[j])
-                if self.linking:
+                met[i] = met[j] = True
+                if self.band < LINKING:
                     seem = np.flatnonzero(told >= self.how.told)
                     seem = seem[np.argsort(-told[seem], kind="stable")]
                     yield from self.join(i[seem], j[seem])
+            yield _links(self.home.ids[met], self.home.ids[met])
 
     def near(self, rows: Rows, bits: np.ndarray, later: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Candidates: one of the rows given (by size), a row at home, and the similarity told; with later, only of those at home after it."""
@@ -309,7 +317,7 @@ class Tile:
         if self.home is not None:
             rows = rows.take(np.argsort(rows.n, kind="stable"))
             for i, j, _ in self.near(rows, np.bitwise_count(rows.fp).sum(axis=1, dtype=np.int64)):
-                yield _links(rows.ids[i], self.home.ids[j])
+                yield self.how.first(rows, i, self.home, j, self.band)
 
 
 def compare(batches: Iterator[pa.RecordBatch], how: Comparison) -> Iterator[pa.RecordBatch]:
@@ -329,7 +337,7 @@ def compare(batches: Iterator[pa.RecordBatch], how: Comparison) -> Iterator[pa.R
                 whole = len(bucket) if len(bucket) - last == size[-1] else last
                 held = (bucket[whole:], size[whole:], band[whole:], rows.take(slice(whole, None))) if whole < len(bucket) else None
                 if whole:
-                    yield from compare_small(how, bucket[:whole], band[:whole] < LINKING, rows.take(slice(whole)))
+                    yield from compare_small(how, bucket[:whole], band[:whole], rows.take(slice(whole)))
                 continue
             cut, visitor = some.column("cut").to_numpy(), some.column("visitor").to_numpy(zero_copy_only=False)
             changes = (bucket[1:] != bucket[:-1]) | (cut[1:] != cut[:-1]) | (visitor[1:] != visitor[:-1])
@@ -338,13 +346,13 @@ def compare(batches: Iterator[pa.RecordBatch], how: Comparison) -> Iterator[pa.R
                 if (place := (bucket[a], cut[a])) != here:
                     if tile:
                         yield from tile.open()
-                    here, tile = place, Tile(how, bool(band[a] < LINKING))
+                    here, tile = place, Tile(how, int(band[a]))
                 if visitor[a]:
                     yield from tile.visit(rows.take(slice(a, b)))
                 else:
                     tile.settle(rows.take(slice(a, b)))
     if held:
-        yield from compare_small(how, held[0], held[2] < LINKING, held[3])
+        yield from compare_small(how, held[0], held[2], held[3])
     if tile:
         yield from tile.open()
 
@@ -359,11 +367,11 @@ def tile_rows(distinct: DataFrame) -> DataFrame:
 def similar_links(rows: DataFrame, least: float = SIMILARITY, above: float = ABOVE, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
     """Links a, b that join ``rows`` (of tiles, with fp) told so much above the similarity, and links of a row with itself for all that have a candidate; may repeat."""
     how = Comparison(least, least + above, STEPS)
-    return _compared(rows.withColumn("group", F.col("id")).select(*AT_HOME, _cut(rows_per_tile).alias("cut"), F.lit(False).alias("visitor")), how)
+    return _compared(rows.withColumns({"group": F.col("id"), "keys": F.lit(b"")}).select(*AT_HOME, _cut(rows_per_tile).alias("cut"), F.lit(False).alias("visitor")), how)
 
 
 def candidates(rows: DataFrame, least: float = SIMILARITY, rows_per_tile: int = ROWS_PER_TILE) -> DataFrame:
-    """All candidate links a, b between different groups of ``rows`` (of tiles, with group and fine fingerprints as fp); may repeat."""
+    """All candidate links a, b between different groups of ``rows`` (of tiles, with group, fine fingerprints as fp, and keys: 4 bytes of each band's); few repeat."""
     how = Comparison(least, None, FINE_STEPS)
     home = rows.select(*AT_HOME, _cut(rows_per_tile).alias("cut"), F.lit(False).alias("visitor"))
     large = rows.where(_cuts(rows_per_tile) > 1)
@@ -373,7 +381,7 @@ def candidates(rows: DataFrame, least: float = SIMILARITY, rows_per_tile: int =
     return _compared(home.unionByName(visits), how)
 
 
-AT_HOME = ("bucket", "band", "rows", "id", "n", "fp", "group")
+AT_HOME = ("bucket", "band", "rows", "id", "n", "fp", "group", "keys")
 
 
 def _cuts(rows_per_tile: int) -> Column:
@@ -390,19 +398,19 @@ def _compared(dealt: DataFrame, how: Comparison) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, key: str, words_in: int) -> DataFrame:
-    """id, hashes of the shingle set, and its fine fingerprint, of the whole texts of the rows ``wanted`` (id, row: nokey, key and hash)."""
+    """id, hashes of the shingle set, its fine fingerprint and short keys, of the whole texts of the rows ``wanted`` (id, row: nokey, key and hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(len(batch)):  # one by one: sets of long texts are large
                 hashes = shingle_set(batch.column(1)[at].as_py(), words_in)
-                columns = [batch.column(0).slice(at, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64())), pa.array([long_fingerprint(hashes, FINE)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "hashes", "fine"])
+                columns = [batch.column(0).slice(at, 1), pa.array([hashes.view(np.int64)], pa.list_(pa.int64())), pa.array([long_fingerprint(hashes, FINE)], pa.binary()), pa.array([short_keys(hashes)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "hashes", "fine", "keys"])
 
     asked = wanted.select("id", *_place(F.col("row.key"), F.col("row.hash")))
     texts = _keyed(docs, text, key).select(*_place(F.col("key"), F.col("hash")), "data")
     found = texts.join(asked, ["_nokey", "_key", "_hash"]).select("id", "data")
-    return found.dropDuplicates(["id"]).mapInArrow(run, "id long, hashes array<bigint>, fine binary")
+    return found.dropDuplicates(["id"]).mapInArrow(run, "id long, hashes array<bigint>, fine binary, keys binary")
 
 
 def _place(key: Column, hashed: Column) -> tuple[Column, Column, Column]:
@@ -441,7 +449,7 @@ def similar_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", lea
     named = seen.select(F.col("node").alias("id"), F.col("component").alias("group"))
     grouped = written(rows.join(sets.select("id"), "id").join(named, "id", "left").withColumn("group", F.coalesce("group", "id")), "grouped")
     mixed = grouped.groupBy("bucket").agg(F.count("*").alias("rows"), F.min("group").alias("low"), F.max("group").alias("high")).where(F.col("low") < F.col("high"))
-    left = grouped.drop("rows").join(mixed.select("bucket", "rows"), "bucket").join(sets.select("id", F.col("fine").alias("fp")), "id")
+    left = grouped.drop("rows").join(mixed.select("bucket", "rows"), "bucket").join(sets.select("id", F.col("fine").alias("fp"), "keys"), "id")
     more = candidates(left, least, rows_per_tile).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = checked_links(written(more, "candidates"), sets, least)
     return distinct, connected_components(links.unionByName(seen.select(F.col("node").alias("a"), F.col("component").alias("b"))))

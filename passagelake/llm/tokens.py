@@ -46,10 +46,13 @@ class ByteBpe:
         plain = plain and all(vocabulary[m] == i for i, m in enumerate(merged, 256))
         self.special = [t["content"] for t in described["added_tokens"]]
         self.pieces = regex.compile(PIECES).findall if plain else None
+        letters = byte_letters()
+        self.lengths = np.zeros(1 + max([*vocabulary.values(), *(t["id"] for t in described["added_tokens"])]), np.int64)
+        for word, i in [*vocabulary.items(), *((t["content"], t["id"]) for t in described["added_tokens"])]:
+            self.lengths[i] = len(word) if all(c in letters for c in word) else len(word.encode())
         self.cache: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         if plain:
-            letters = byte_letters()
             ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if word not in self.special}
             self.merge = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
 
@@ -72,6 +75,10 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return np.frombuffer(self._joined(self.pieces(first)) + self._spaced(rest), dtype="<u4")
 
+    def within(self, ids: np.ndarray, size: int) -> int:
+        """How many of the first ids lie in the first so many bytes of their text."""
+        return int(np.searchsorted(np.cumsum(self.lengths[ids]), size, side="right"))
+
     def _joined(self, pieces: list[str]) -> bytes:
         known = self.cache
         if new := set(pieces).difference(known):

@@ -516,11 +516,11 @@ def test_tiles_hold_all_candidates_between_groups(spark, rows_per_tile):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**64, 200, dtype=np.uint64)
     sets = [np.unique(np.append(base[rng.random(200) < 0.93], rng.integers(0, 2**64, 10, dtype=np.uint64))) for _ in range(120)]
-    rows = [(i, len(s), bytearray(sl.long_fingerprint(s, sl.FINE)), sl.band_keys(s).tolist()) for i, s in enumerate(sets)]
-    distinct = spark.createDataFrame(rows, "id long, n long, fp binary, bands array<bigint>")
+    rows = [(i, len(s), bytearray(sl.long_fingerprint(s, sl.FINE)), sl.band_keys(s).tolist(), bytearray(sl.short_keys(s))) for i, s in enumerate(sets)]
+    distinct = spark.createDataFrame(rows, "id long, n long, fp binary, bands array<bigint>, keys binary")
     group = [i // 40 * 40 if i < 80 else i for i in range(120)]
     groups = spark.createDataFrame(list(enumerate(group)), "id long, group long")
-    tiles = sl.tile_rows(distinct).join(groups, "id").join(distinct.select("id", "fp"), "id")
+    tiles = sl.tile_rows(distinct).join(groups, "id").join(distinct.select("id", "fp", "keys"), "id")
     links = {(min(r), max(r)) for r in sl.candidates(tiles, rows_per_tile=rows_per_tile).collect()}
     fp = np.frombuffer(b"".join(bytes(r[2]) for r in rows), np.uint64).reshape(120, -1)
     within = sl.radii(0.8, sl.FINE_STEPS)[sl.LARGE, -1]
