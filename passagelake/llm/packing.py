@@ -77,8 +77,10 @@ class Bins:
         if min(self.limits) < 1:
             raise ValueError("limits must be positive")
         self.limit = np.array(self.limits, dtype=np.float64)
-        self.free = np.empty((0, 3))
-        self.held: list[list[Piece]] = []
+        self.per_square = 1 / self.limit**2
+        #: By place; one that isn't in use has no room.
+        self.free = np.full((self.most, 3), -1.0)
+        self.held: list[list[Piece]] = [[] for _ in range(self.most)]
         #: Sequences without room for loss: the room for tokens, and the pieces.
         self.waiting: deque[tuple[int, list[Piece]]] = deque()
 
@@ -99,44 +101,48 @@ class Bins:
                 else:
                     head, piece = piece.cut(n)
                     self._wait(self.limits[0] - n, [head])
-            elif self._fit(piece):
-                return
-            elif len(self.held) < self.most:
-                self._open(piece)
+            elif self._fit(piece) or self._open(piece):
                 return
             else:
-                heads = [piece.head(t, x) for t, _, x in self.free]
-                k = max(range(len(heads)), key=lambda k: (min(heads[k], 1), -self.free[k, 0]))  # the fullest that takes any
-                if heads[k]:
-                    head, piece = piece.cut(min(heads[k], piece.tokens))
+                room, loss = self.free[:, 0], self.free[:, 2]
+                heads = np.where(np.clip(room - piece.lead, 0, piece.loss) <= loss, np.minimum(room, piece.tokens), piece.lead + loss)
+                k = int(np.where(heads >= 1, room, np.inf).argmin())  # the fullest that takes any
+                if heads[k] >= 1:
+                    head, piece = piece.cut(int(heads[k]))
                     self._put(k, head)
                 else:
-                    self._close(k)
+                    self._close(int(room.argmin()))
 
     def _place_whole(self, piece: Piece) -> None:
         if (piece.demand() > self.limit).any():  # it can't share a sequence
             self.done.append([piece])
-        elif not self._fit(piece):
-            if len(self.held) >= self.most:
-                self._close(int(self.free[:, 0].argmin()))
+        elif not (self._fit(piece) or self._open(piece)):
+            self._close(int(self.free[:, 0].argmin()))
             self._open(piece)
 
     def _fit(self, piece: Piece) -> bool:
-        demand = piece.demand()
-        fits = (self.free >= demand).all(axis=1)
-        if fits.any():
-            self._put(int(np.where(fits, (self.free / self.limit) @ (demand / self.limit), -1.0).argmax()), piece)
-        return bool(fits.any())
-
-    def _open(self, piece: Piece) -> None:
-        self.held.append([])
-        self.free = np.vstack((self.free, self.limit))
-        self._put(len(self.held) - 1, piece)
+        demand = np.array((piece.tokens, piece.segments, piece.loss), dtype=np.float64)
+        score = np.where((self.free >= demand).all(axis=1), self.free @ (demand * self.per_square), -1.0)
+        k = int(score.argmax())
+        if score[k] < 0:
+            return False
+        self._put(k, piece)
+        return True
+
+    def _open(self, piece: Piece) -> bool:
+        """Puts the piece in a place that isn't in use, if there is one."""
+        k = int(self.free[:, 0].argmin())
+        if self.free[k, 0] >= 0:
+            return False
+        self.free[k] = self.limit
+        self._put(k, piece)
+        return True
 
     def _put(self, k: int, piece: Piece) -> None:
         self.held[k].append(piece)
-        self.free[k] -= piece.demand()
-        tokens, segments, loss = self.free[k]
+        free = self.free[k]
+        free -= (piece.tokens, piece.segments, piece.loss)
+        tokens, segments, loss = free.tolist()
         if tokens < 1 or segments < 1 or (loss < 1 and not self.cutting):
             self._close(k)
         elif loss < 1:
@@ -152,8 +158,8 @@ class Bins:
             self.done.append(self.waiting.popleft()[1])
 
     def _taken(self, k: int) -> list[Piece]:
-        self.free = np.delete(self.free, k, axis=0)
-        return self.held.pop(k)
+        pieces, self.held[k], self.free[k] = self.held[k], [], -1.0
+        return pieces
 
     def _close(self, k: int) -> None:
         self.done.append(self._taken(k))
@@ -161,12 +167,12 @@ class Bins:
     def finish(self) -> None:
         """Close what is open. Where cutting is allowed, pieces are put together anew: full sequences first, then powers of two, which need no padding."""
         if not self.cutting:
-            while self.held:
-                self._close(0)
+            for k in range(self.most):
+                if self.held[k]:
+                    self._close(k)
             return
         left = [p for pieces in [*self.held, *(pieces for _, pieces in self.waiting)] for p in pieces]
-        self.held, self.free = [], np.empty((0, 3))
-        self.waiting.clear()
+        self.__post_init__()
         largest = self.limits[0]
         while total := sum(p.tokens for p in left):
             size = min(largest, 1 << (total.bit_length() - 1)) if total < self.limits[0] or largest < self.limits[0] else self.limits[0]
