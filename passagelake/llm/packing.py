@@ -228,15 +228,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
 
         def rows() -> pa.RecordBatch:
             nonlocal next_id
-            out: list[list] = [[] for _ in names]
+            out: list[tuple] = []
             for pieces in bins.closed():
                 offset = 0
                 for p in pieces:
-                    for column, x in zip(out, (p.key, p.start, p.tokens, zlib.crc32(p.ids.tobytes()), p.whole, next_id, offset, p.loss)):
-                        column.append(x)
+                    out.append((p.key, p.start, p.tokens, zlib.crc32(p.ids), p.whole, next_id, offset, p.loss))
                     offset += p.tokens
                 next_id += 1
-            return pa.RecordBatch.from_arrays([pa.array(out[0], kinds), *(pa.array(c, pa.int64()) for c in out[1:])], names=names)
+            columns = list(zip(*out)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kinds), *(pa.array(c, pa.int64()) for c in columns[1:])], names=names)
 
         for batch in batches:
             kinds = batch.schema.field(0).type
