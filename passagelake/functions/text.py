@@ -48,7 +48,7 @@ def encode_path(path: Column) -> Column:
 
 def decode_path(c: Column) -> Column:
     parts = F.split(F.coalesce(c, F.lit("")), SETTINGS.separator)
-    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+    return F.filter(F.transform(parts, strip), lambda p: p != "")
 
 
 def chunk_id(document: Column, index: Column) -> Column:
@@ -98,12 +98,12 @@ def snippet(c: Column, most: int) -> Column:
 
 
 def valid_request_id(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike(r"^[A-Za-z0-9._:-]{1,64}$"), F.lit(False))
+    return F.coalesce(strip(c).rlike(r"\A[A-Za-z0-9._:-]{1,64}\z"), F.lit(False))
 
 
 def request_id(c: Column) -> Column:
     """The given id if it is well formed, else a new one of 16 hex digits."""
-    return F.when(valid_request_id(c), F.trim(c)).otherwise(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16))
+    return F.when(valid_request_id(c), strip(c)).otherwise(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16))
 
 
 def client_address(forwarded: Column, peer: Column, hops: int) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..conf import SETTINGS, Settings
@@ -85,10 +85,17 @@ def chunk_sections(sections: DataFrame, conf: Settings = SETTINGS, count: Counte
     numbered = chunks.withColumn("chunk_index", index)
     return numbered.select(
         chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "document_id", "chunk_index", encode_path(F.col("heading_path")).alias("heading_path"),
-        "page_start", "page_end", "text", word_count(F.col("text")).alias("token_count"),
+        "page_start", "page_end", "text", _tokens(count)(F.col("text")).alias("token_count"),
     )
 
 
+def _tokens(count: Counter) -> Callable[[Column], Column]:
+    """The counter that packed the chunks, for columns."""
+    if count is words:
+        return word_count
+    return F.pandas_udf(lambda texts: texts.map(count).astype("int64"), "bigint", F.PandasUDFType.SCALAR)
+
+
 def ingest_status(files: DataFrame, sections: DataFrame, chunks: DataFrame) -> DataFrame:
     """document_id, status and reason: a file without sections or chunks has failed. files: document_id, readable."""
     s = sections.groupBy("document_id").agg(F.count(F.lit(1)).alias("n_sections"))

@@ -14,7 +14,8 @@ def point_lookup(df: DataFrame, key: str, value: object, owner: str) -> DataFram
 
 
 def folded_lookup(df: DataFrame, column: str, value: str) -> DataFrame:
-    return df.where(F.lower(column) == F.lower(F.lit(value)))
+    """Rows whose column, stored in lower case, is that value but for case. A comparison with a literal, which reaches the scan."""
+    return df.where(F.col(column) == value.lower())
 
 
 def first_uploads(documents: DataFrame) -> DataFrame:

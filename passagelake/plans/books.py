@@ -59,7 +59,9 @@ def point_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ci_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return rp.folded_lookup(t.table(spark, d, "customer"), "c_name", "CUSTOMER#000000007").select("c_custkey", F.lower("c_name").alias("name"))
+    """Names are stored in lower case, as e-mail addresses are."""
+    stored = t.table(spark, d, "customer").select("c_custkey", F.lower("c_name").alias("name"))
+    return rp.folded_lookup(stored, "name", "CUSTOMER#000000007")
 
 
 def dedup_owner_checksum(spark: SparkSession, d: str) -> DataFrame:
@@ -259,7 +261,7 @@ def rate_limit(spark: SparkSession, d: str) -> DataFrame:
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     """A conversation as a stream: meta, its turns as tokens, then done, or for every fourth an error."""
-    c = t.table(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), (F.col("turn") + 1).alias("seq"), F.lit("token").alias("event"), F.substring("text", 1, 40).alias("data"))
+    c = t.table(spark, d, "conversations").select(F.col("conv_id").alias("stream_id"), (F.col("turn") + 1).alias("seq"), F.lit("token").alias("event"), F.col("text").alias("data"))
     ids = c.select("stream_id").distinct()
     meta = ids.select("stream_id", F.lit(-1).cast("long").alias("seq"), F.lit("meta").alias("event"), F.lit("").alias("data"))
     end = ids.select("stream_id", F.lit(1000000).cast("long").alias("seq"), F.when(F.col("stream_id") % 4 == 0, "error").otherwise("done").alias("event"), F.lit("").alias("data"))
@@ -318,7 +320,7 @@ metrics AS (SELECT config, count(*) AS n, sum(coalesce((rank <= 6)::INT, 0)) AS
   avg(CASE WHEN rank <= 6 THEN 1.0::DOUBLE / log2(rank + 1.0) ELSE 0 END) AS ndcg FROM outcomes GROUP BY 1),
 bounds AS (SELECT *, (hit_rate + 1.96::DOUBLE * 1.96 / (2 * n)) / (1 + 1.96::DOUBLE * 1.96 / n) AS mid, 1.96::DOUBLE * sqrt(hit_rate * (1 - hit_rate) / n + 1.96::DOUBLE * 1.96 / (4.0::DOUBLE * n * n)) / (1 + 1.96::DOUBLE * 1.96 / n) AS half FROM metrics),
 deltas AS (SELECT b.*, greatest(mid - half, 0) AS ci_low, least(mid + half, 1) AS ci_high, CASE WHEN config = 'dense' THEN 'baseline' ELSE printf('%+.1f pp', (hit_rate - (SELECT hit_rate FROM metrics WHERE config = 'dense')) * 100) END AS delta FROM bounds b)"""
-_FRAMES = """tokens AS (SELECT conv_id AS stream_id, turn, left(text, 40) AS data FROM conversations)"""
+_FRAMES = """tokens AS (SELECT conv_id AS stream_id, turn, text AS data FROM conversations)"""
 
 ORACLES = {
     "owner_scope": f"WITH {_DOCS} SELECT document_id, owner_id, checksum FROM docs WHERE owner_id = 'src1'",
@@ -375,5 +377,5 @@ SELECT key, d.seq AS seq, d.allowed AS allowed, d.retry_after AS retry_after FRO
     "sse_protocol": "SELECT DISTINCT conv_id AS stream_id, true AS valid, conv_id % 4 <> 0 AS complete FROM conversations",
     "sse_roundtrip": f"WITH {_FRAMES} SELECT stream_id, 'token' AS event, data AS text FROM tokens",
     "file_readers": "SELECT page_id, ['markdown', 'pdf', 'markdown', NULL, NULL][CAST(page_id % 5 + 1 AS INT)] AS reader, CASE WHEN page_id % 5 < 3 THEN 'accepted' ELSE 'unsupported' END AS status FROM pages",
-    "log_lines": """SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || CASE WHEN role <> 'system' THEN ',"role":"' || role || '"' ELSE '' END || '}' AS line FROM conversations""",
+    "log_lines": """SELECT '{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":' || CASE WHEN role <> 'system' THEN '"' || role || '"' ELSE 'null' END || '}' AS line FROM conversations""",
 }

@@ -198,7 +198,7 @@ def _literals(spark: SparkSession, rows: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(rows)), "id int, x string")
 
 
-IDS = ["edge-7f3a91", "two\nlines", "a" * 65, "a" * 64, "  ", " ok.1:2_3 ", "semi;colon"]
+IDS = ["edge-7f3a91", "two\nlines", "a" * 65, "a" * 64, "  ", " ok.1:2_3 ", "semi;colon", "abc\n", "abc\r\n", "\tid\n\n", "a\n;"]
 ADDRESSES = ["1.1.1.1, 2.2.2.2 ,3.3.3.3", "", " , ", "4.4.4.4", "5.5.5.5,,6.6.6.6"]
 DRAFTS = ['["One?", " Two? ", ""]', "1. First?\n- Second?\nnot one\n* \"Third?\",", "nothing", "[broken\n2. Is it?"]
 
@@ -229,7 +229,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     rows = t.table(spark, d, "documents").select(F.col("doc_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     n = F.col("line_no") + F.col("doc_id")
     size = F.when(n % 7 == 0, 14.04).when(n % 11 == 0, 12.0).when(n % 13 == 0, 11.5).when(n % 17 == 0, 20.0).when(n % 19 == 0, 18.0).when(n % 23 == 0, 9.96).otherwise(10.0)
-    return rows.select("doc_id", "line_no", (F.floor(F.col("line_no") / 5) + 1).cast("int").alias("page"), F.substring("text", 1, 60).alias("text"), size.alias("size"), (n % 5 == 0).alias("bold"))
+    return rows.select("doc_id", "line_no", (F.floor(F.col("line_no") / 5) + 1).cast("int").alias("page"), "text", size.alias("size"), (n % 5 == 0).alias("bold"))
 
 
 def _toc(spark: SparkSession, d: str) -> DataFrame:
@@ -301,7 +301,7 @@ recent AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_id O
 cited AS (SELECT question_id, marker, i, chunk_id, coalesce(nullif(heading_path, ''), title) AS section, page_start AS page, left(text, 2000) AS snippet
   FROM (SELECT question_id, unnest(emitted) AS marker, unnest(range(1, len(emitted) + 1)) AS i FROM markers) JOIN context USING (question_id, marker))
 """
-_LINES = """lines AS (SELECT doc_id, line_no, line_no // 5 + 1 AS page, left(text, 60) AS text,
+_LINES = """lines AS (SELECT doc_id, line_no, line_no // 5 + 1 AS page, text,
   CASE WHEN n % 7 = 0 THEN 14.04 WHEN n % 11 = 0 THEN 12.0 WHEN n % 13 = 0 THEN 11.5 WHEN n % 17 = 0 THEN 20.0 WHEN n % 19 = 0 THEN 18.0 WHEN n % 23 = 0 THEN 9.96 ELSE 10.0 END::DOUBLE AS size, n % 5 = 0 AS bold
   FROM (SELECT *, line_no + doc_id AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM documents))),
 sizes AS (SELECT doc_id, round_even(size, 1) AS size, sum(length(text)) AS chars, min(line_no) AS first FROM lines GROUP BY ALL),
@@ -360,7 +360,7 @@ SELECT a.question_id, h.question_id IS NOT NULL AS grounded, md5(CASE WHEN h.que
     "section_match": "SELECT doc_id, contains(lower('top > ' || source), 'top > src1') AS matches FROM documents",
     "section_fallback": "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN coalesce(nullif(lang, ''), source) ELSE source END AS section FROM documents",
     "document_hue": f"SELECT doc_id, CAST(floor(fmod({_HUE.format(chr(115) + 'ource || chr(45) || lang || chr(45) || doc_id')} * 137.508::DOUBLE, 360.0::DOUBLE) + 0.5) AS INT) AS hue FROM documents",
-    "request_id_valid": "SELECT id, regexp_full_match(trim(x), '[A-Za-z0-9._:-]{1,64}') AS valid FROM (" + _values(list(enumerate(IDS))) + ") AS v(id, x)",
+    "request_id_valid": "SELECT id, regexp_full_match(regexp_replace(x, '^\s+|\s+$', '', 'g'), '[A-Za-z0-9._:-]{1,64}') AS valid FROM (" + _values(list(enumerate(IDS))) + ") AS v(id, x)",
     "client_identifier": "SELECT id, CASE WHEN len(p) >= 2 THEN p[-2] ELSE 'peer' END AS client FROM (SELECT id, list_filter(list_transform(string_split(x, ','), lambda s: trim(s)), lambda s: s <> '') AS p FROM (" + _values(list(enumerate(ADDRESSES))) + ") AS v(id, x))",
     "parse_questions": "SELECT * FROM (" + _values([(0, "One?|Two?"), (1, "First?|Second?|Third?"), (2, ""), (3, "Is it?")]) + ") AS v(id, questions)",
     "markdown_sections": "SELECT * FROM (" + _values(MARKDOWN_SECTIONS) + ") AS v(id, section_order, path, text)",

@@ -43,5 +43,5 @@ def write_goldset(questions: DataFrame, path: str) -> None:
 
 
 def log_lines(rows: DataFrame) -> DataFrame:
-    """One JSON object a row; nulls are left out."""
-    return rows.select(F.to_json(F.struct("*")).alias("line"))
+    """One JSON object a row; nulls are written as null."""
+    return rows.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))

@@ -22,6 +22,27 @@ def test_limiter_keeps_its_state(spark, tmp_path):
     assert refused == [("k", 3)] and out["k", 3][1] == 58
 
 
+def test_limiter_forgets_old_keys(spark, tmp_path):
+    schema = "key string, seq bigint, t double, kind string"
+    for i in range(6):
+        spark.createDataFrame([(f"k{i}", i, 500.0 * i, "check")], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = limiter.stream_rate_limit(stream, 3, 60.0).writeStream.format("memory").queryName("forgetting").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert max(kept) <= 3 and kept[-1] < 6 and spark.sql("select * from forgetting where allowed").count() == 6
+
+
+def test_a_job_restarted_within_a_batch_is_watched(spark, tmp_path):
+    schema = "job_id string, ts timestamp, status string"
+    at = lambda m, s=0: datetime(2024, 1, 1, 0, m, s)
+    batches = [[("a", at(0), "running"), ("a", at(1), "failed"), ("a", at(2), "running")], [("d", at(9), "running")], [("d", at(9, 30), "running")], [("d", at(9, 40), "running")]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"n={i}"))
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    assert [(r["job_id"], r["heartbeat_at"]) for r in drain(limiter.stream_reap(files, 300), "restarted")] == [("a", at(2))]
+
+
 def test_silent_workers_are_reaped(spark, tmp_path):
     schema = "job_id string, ts timestamp, status string"
     at = lambda m, s=0: datetime(2024, 1, 1, 0, m, s)
