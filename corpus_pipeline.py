@@ -21,13 +21,19 @@ LEAST_SHARE = 0.4
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the lexicon, learned from their labels, doesn't call toxic."""
+    """Documents that the lexicon, learned from their labels, doesn't call toxic.
+
+    Null and empty texts score as without matches; repeated rows and null keys pass or fail by their texts; without labels all stay. Empty input gives an empty result.
+    """
     lexicon = fit_lexicon(docs, table(spark, sf_dir, "labels"), ~fold(F.col("doc_id"), 0))
     return score_toxicity(docs.select(*COLUMNS), lexicon).where(F.col("predicted") == 0).select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, of which one language has enough."""
+    """Documents with letters, of which one language has enough.
+
+    Null and empty texts go, as they have no letters; without rows that name a language, all go. Repeated rows and null keys pass or fail by their texts. Empty input gives an empty result.
+    """
     model = language.fit(docs.where(~fold(F.col("doc_id"), 0)))
     found = language.identify(docs.select(*COLUMNS), model)
     return found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("lang_score") >= LEAST_SHARE)).select(*COLUMNS)
@@ -42,12 +48,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of the mixture; a row is repeated for each epoch that takes it."""
+    """The rows of the mixture; a row is repeated for each epoch that takes it.
+
+    Null languages and sources are names of their own; rows without tokens go with their neighbours; of rows alike in all, as many as the budget wants are taken. Empty input gives an empty result.
+    """
     return mixture(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences for training."""
+    """The pieces of the documents in sequences for training.
+
+    A null or empty text is its closing id; repeated rows and null keys are packed as rows of their own. Empty input gives an empty result.
+    """
     return pack_documents(docs, tokenizer_path())
 
 
@@ -59,7 +71,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: Models are trained in the stages, which SQL can't express; the tests hold the stages against brute force.
+#: Models are trained in the stages, which SQL can't express; the tests hold the operators behind the stages against brute force or held-out rows.
 ORACLE_SQL = None
 
 
