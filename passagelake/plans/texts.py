@@ -360,7 +360,7 @@ SELECT a.question_id, h.question_id IS NOT NULL AS grounded, md5(CASE WHEN h.que
     "section_match": "SELECT doc_id, contains(lower('top > ' || source), 'top > src1') AS matches FROM documents",
     "section_fallback": "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN coalesce(nullif(lang, ''), source) ELSE source END AS section FROM documents",
     "document_hue": f"SELECT doc_id, CAST(floor(fmod({_HUE.format(chr(115) + 'ource || chr(45) || lang || chr(45) || doc_id')} * 137.508::DOUBLE, 360.0::DOUBLE) + 0.5) AS INT) AS hue FROM documents",
-    "request_id_valid": "SELECT id, regexp_full_match(regexp_replace(x, '^\s+|\s+$', '', 'g'), '[A-Za-z0-9._:-]{1,64}') AS valid FROM (" + _values(list(enumerate(IDS))) + ") AS v(id, x)",
+    "request_id_valid": "SELECT id, regexp_full_match(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '[A-Za-z0-9._:-]{1,64}') AS valid FROM (" + _values(list(enumerate(IDS))) + ") AS v(id, x)",
     "client_identifier": "SELECT id, CASE WHEN len(p) >= 2 THEN p[-2] ELSE 'peer' END AS client FROM (SELECT id, list_filter(list_transform(string_split(x, ','), lambda s: trim(s)), lambda s: s <> '') AS p FROM (" + _values(list(enumerate(ADDRESSES))) + ") AS v(id, x))",
     "parse_questions": "SELECT * FROM (" + _values([(0, "One?|Two?"), (1, "First?|Second?|Third?"), (2, ""), (3, "Is it?")]) + ") AS v(id, questions)",
     "markdown_sections": "SELECT * FROM (" + _values(MARKDOWN_SECTIONS) + ") AS v(id, section_order, path, text)",
