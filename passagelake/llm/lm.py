@@ -1,11 +1,13 @@
 """A log-bilinear language model trained with noise-contrastive estimation, and log-probabilities of whole texts.
 
-The model predicts a word's vector from those of the words before it; its classes are the most frequent words and one class for all
-others, within which a word's probability is its smoothed share. So probabilities add up to one over all known words and one unknown.
-
-Every task trains on all the words of its rows, from the same start, and Spark averages the parameters by words seen. Counts are of all
-training texts. Only bounded things reach the driver: the parameters, and the DICTIONARY most frequent words. The counts of
-all other words stay a table, which is joined with those words' occurrences.
+The model predicts a word's vector from those of the words before it, on two levels. Its classes are the most frequent words, groups of
+GROUP words that follow in frequency, and one class for all others. Within a group each word has a vector and a bias of its own, and its probability is
+normalised over the group; within the last class it is the word's smoothed share. So probabilities add up to one over all known words and
+one unknown. Words seen LEAST_COUNT times or more are modelled, so that the vocabulary grows with the corpus until the dictionary is full.
+
+Every task trains on all the words of its rows, from the same start, and Spark averages the parameters: those of classes by words seen, those of a
+grouped word by its own occurrences. Counts are of all training texts. Only bounded things reach the driver: the parameters, and the
+DICTIONARY most frequent words. The counts of all other words stay a table, which is joined with those words' occurrences.
 """
 
 from __future__ import annotations
@@ -24,19 +26,26 @@ from pyspark.sql import types as T
 
 from .common import text_bytes, written
 
+#: One more than the words that are classes of their own.
 CLASSES = 1024
+GROUP = 256
+LEAST_COUNT = 8
 CONTEXT = 2
 SIZE = 24
 NOISE = 64
+GROUP_NOISE = 5
 LEAST_BATCH, MOST_BATCH = 256, 4096
 #: A batch is this part of the tokens trained on so far: steps are many at first and large later.
 BATCH_PART = 64
 RATE = 0.3
+GROUP_RATE = 0.3
 SEED = 42
 DICTIONARY = 200_000
 COUNTED_AT_ONCE = 400_000
-TOKENS_AT_ONCE = 400_000
-CONTEXTS_AT_ONCE = 4096
+TOKENS_AT_ONCE = 200_000
+ROWS_AT_ONCE = 20_000
+#: Contexts whose scores of all classes are held at once: few, so that these stay in a core's cache.
+CONTEXTS_AT_ONCE = 512
 #: The closing token; no word is empty.
 END = b""
 #: Counts are put in steps of this many to a doubling to find where the dictionary ends.
@@ -88,21 +97,51 @@ class Vocabulary:
 
     @property
     def classes(self) -> int:
+        """Words that are classes of their own."""
         return min(CLASSES - 1, len(self.words))
 
+    @property
+    def modelled(self) -> int:
+        """Words that are classes or members of a group."""
+        return max(self.classes, int(np.searchsorted(-self.counts, -LEAST_COUNT, "right")))
+
+    @property
+    def last(self) -> int:
+        """The class of all other words."""
+        return self.classes - (self.classes - self.modelled) // GROUP
+
+    def classes_of(self, ids: np.ndarray) -> np.ndarray:
+        out = np.where(ids < self.classes, ids, self.classes + (ids - self.classes) // GROUP)
+        out[(ids < 0) | (ids >= self.modelled)] = self.last
+        return out
+
+    def grouped_of(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers among the grouped words; -1 for any other."""
+        return np.where((ids >= self.classes) & (ids < self.modelled), ids - self.classes, -1)
+
     def base_denominator(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
     def other_denominator(self) -> float:
         """Of the smoothed shares within the class of all other words and the unknown one."""
-        own = int(self.counts[: self.classes].sum())
-        return (self.total - own) + 0.5 * (self.distinct - self.classes) + 0.5
+        own = int(self.counts[: self.modelled].sum())
+        return (self.total - own) + 0.5 * (self.distinct - self.modelled) + 0.5
 
     def shares(self) -> np.ndarray:
         """Probabilities of the classes as counted; the last is that of all others."""
-        p = np.append(self.counts[: self.classes] + 0.5, self.other_denominator())
+        p = np.concatenate((self.counts[: self.classes] + 0.5, self._by_group().sum(axis=1), [self.other_denominator()]))
         return p / p.sum()
 
+    def grouped_shares(self) -> np.ndarray:
+        """Probabilities of the grouped words within their groups as counted."""
+        p = self._by_group()
+        return (p / p.sum(axis=1, keepdims=True)).ravel()[: self.modelled - self.classes]
+
+    def _by_group(self) -> np.ndarray:
+        p = np.zeros((self.last - self.classes, GROUP))
+        p.ravel()[: self.modelled - self.classes] = self.counts[self.classes : self.modelled] + 0.5
+        return p
+
 
 def vocabulary(counted: DataFrame, most: int = DICTIONARY) -> Vocabulary:
     """The totals and the ``most`` most frequent words at most: those above a count that a histogram of counts gives."""
@@ -120,22 +159,28 @@ def vocabulary(counted: DataFrame, most: int = DICTIONARY) -> Vocabulary:
 
 
 class LogBilinear:
-    """Parameters as one vector: the classes' vectors as context and as target, their biases, and a matrix for each place of the context."""
+    """Parameters as one vector: the classes' vectors as context and as target, their biases, a matrix for each place of the context, and the
+    vectors and biases of grouped words, which start at their shares."""
 
-    def __init__(self, shares: np.ndarray, seed: int = SEED) -> None:
+    def __init__(self, shares: np.ndarray, grouped_shares: np.ndarray, seed: int = SEED) -> None:
         self.n = len(shares)  # classes; class n - 1 is all other words, context n stands before a text
         self.shares = shares
-        self.shapes = [(self.n + 1, SIZE), (self.n, SIZE), (self.n,), (CONTEXT, SIZE, SIZE)]
+        words = len(grouped_shares)
+        self.shapes = [(self.n + 1, SIZE), (self.n, SIZE), (self.n,), (CONTEXT, SIZE, SIZE), (words, SIZE), (words,)]
         random = np.random.default_rng(seed)
-        start = [random.normal(0, 0.1, s) for s in self.shapes]
-        start[2] = np.log(shares)
-        start[3] = np.stack([np.eye(SIZE) / CONTEXT] * CONTEXT)
+        start = [random.normal(0, 0.1, s) for s in self.shapes[:2]]
+        start += [np.log(shares), np.stack([np.eye(SIZE) / CONTEXT] * CONTEXT), np.zeros((words, SIZE)), np.log(grouped_shares)]
         self.set(np.concatenate([x.ravel() for x in start]))
 
     def set(self, flat: np.ndarray) -> None:
         self.flat = flat.astype(np.float32)
         ends = np.cumsum([math.prod(s) for s in self.shapes])
-        self.context, self.target, self.bias, self.mix = (x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), self.shapes))
+        parts = [x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), self.shapes)]
+        self.context, self.target, self.bias, self.mix, self.grouped, self.grouped_bias = parts
+
+    def tables(self) -> list[tuple[np.ndarray, np.ndarray | None]]:
+        """Views of the parameters as tables of rows with SIZE values, and a bias where they have one."""
+        return [(self.context, None), (self.target, self.bias), (self.mix.reshape(-1, SIZE), None), (self.grouped, self.grouped_bias)]
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """The predicted vectors for rows of classes before a word, the nearest first."""
@@ -144,29 +189,48 @@ class LogBilinear:
     def log_normalisers(self, before: np.ndarray) -> np.ndarray:
         out = np.empty(len(before), np.float32)
         for at in range(0, len(before), CONTEXTS_AT_ONCE):
-            scores = self.predicted(before[at : at + CONTEXTS_AT_ONCE]) @ self.target.T + self.bias
+            scores = self.predicted(before[at : at + CONTEXTS_AT_ONCE]) @ self.target.T
+            scores += self.bias
             top = scores.max(axis=1)
-            out[at : at + CONTEXTS_AT_ONCE] = np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
+            scores -= top[:, None]
+            out[at : at + CONTEXTS_AT_ONCE] = np.log(np.exp(scores, out=scores).sum(axis=1)) + top
         return out
 
     def scores(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", self.predicted(before), self.target[word]) + self.bias[word]
 
+    def log_within(self, before: np.ndarray, grouped: np.ndarray) -> np.ndarray:
+        """Log-probabilities of grouped words, given their groups: one matrix product for the tokens of each group."""
+        order = np.argsort(grouped // GROUP, kind="stable")
+        q, grouped, out = self.predicted(before[order]), grouped[order], np.empty(len(grouped), np.float32)
+        group = grouped // GROUP
+        edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for start, end in zip(edges[:-1], edges[1:]):
+            for at in range(start, end, CONTEXTS_AT_ONCE):
+                to = min(at + CONTEXTS_AT_ONCE, end)
+                first = int(group[at]) * GROUP
+                scores = q[at:to] @ self.grouped[first : first + GROUP].T + self.grouped_bias[first : first + GROUP]
+                scores -= scores.max(axis=1, keepdims=True)
+                out[order[at:to]] = scores[np.arange(to - at), grouped[at:to] - first] - np.log(np.exp(scores).sum(axis=1))
+        return out
+
 
 class Trainer:
-    """Noise-contrastive estimation with Adagrad; a batch shares its noise words, so that all steps are matrix products."""
+    """Noise-contrastive estimation with Adagrad. A batch shares its noise classes, so that their steps are matrix products; noise within
+    a group is drawn evenly from it for each token."""
 
     def __init__(self, model: LogBilinear, seed: int) -> None:
         self.m, self.random = model, np.random.default_rng(seed)
-        self.squares = [np.full(s, 1e-2, np.float32) for s in model.shapes]
+        self.squares = [np.full(s, 1e-2, np.float32) for s in model.shapes[:4]] + [np.ones(s, np.float32) for s in model.shapes[4:]]
+        self.times = np.zeros(len(model.grouped), np.int64)
         self.log_noise = np.log(NOISE * model.shares).astype(np.float32)
         self.edges = np.cumsum(model.shares)
 
-    def _move(self, i: int, rows: np.ndarray | slice, gradient: np.ndarray) -> None:
-        parameter = (self.m.context, self.m.target, self.m.bias, self.m.mix)[i]
+    def _move(self, i: int, rows: np.ndarray | slice, gradient: np.ndarray, rate: float = RATE) -> None:
+        parameter = (self.m.context, self.m.target, self.m.bias, self.m.mix, self.m.grouped, self.m.grouped_bias)[i]
         squares = self.squares[i]
         squares[rows] += gradient * gradient
-        parameter[rows] += RATE * gradient / np.sqrt(squares[rows])
+        parameter[rows] += rate * gradient / np.sqrt(squares[rows])
 
     @staticmethod
     def _summed(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +239,25 @@ class Trainer:
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
         return rows[first], np.add.reduceat(gradient[order], first, axis=0)
 
-    def step(self, before: np.ndarray, word: np.ndarray) -> None:
+    def _within(self, q: np.ndarray, grouped: np.ndarray) -> np.ndarray:
+        """A step for grouped words; the gradients of the predicted vectors are returned. Words move by each occurrence, as they are rare."""
+        m = self.m
+        first = grouped // GROUP * GROUP
+        width = np.minimum(GROUP, len(m.grouped) - first)[:, None]
+        noise = first[:, None] + (self.random.random((len(grouped), GROUP_NOISE)) * width).astype(np.int64)
+        words = np.concatenate((grouped[:, None], noise), axis=1)
+        vectors = m.grouped[words]
+        scores = np.matmul(vectors, q[:, :, None])[:, :, 0] + m.grouped_bias[words] - np.log(GROUP_NOISE / width).astype(np.float32)
+        up = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        up[:, 0] += 1
+        to_words = np.concatenate((up[:, :, None] * q[:, None, :], up[:, :, None]), axis=2).reshape(-1, SIZE + 1)
+        rows, both = self._summed(words.ravel(), to_words)
+        self._move(4, rows, both[:, :-1], GROUP_RATE)
+        self._move(5, rows, both[:, -1], GROUP_RATE)
+        self.times += np.bincount(grouped, minlength=len(self.times))
+        return np.matmul(up[:, None, :], vectors)[:, 0]
+
+    def step(self, before: np.ndarray, word: np.ndarray, grouped: np.ndarray) -> None:
         m, n = self.m, len(word)
         noise = np.minimum(np.searchsorted(self.edges, self.random.random(NOISE)), m.n - 1)
         vectors = [m.context[before[:, i]] for i in range(CONTEXT)]
@@ -185,6 +267,9 @@ class Trainer:
         up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
         down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
         to_q = up[:, None] * m.target[word] + down @ m.target[noise]
+        inside = np.flatnonzero(grouped >= 0)
+        if len(inside):
+            to_q[inside] += self._within(q[inside], grouped[inside])
         all_words = np.concatenate((word, noise))
         to_target = np.concatenate((up[:, None] * q, down.T @ q)) / n
         to_bias = np.concatenate((up, down.sum(axis=0))) / n
@@ -209,52 +294,73 @@ def contexts(classes: np.ndarray, first: np.ndarray, outside: int) -> np.ndarray
     return np.stack(columns, axis=1)
 
 
+VALUES = [f"v{i}" for i in range(SIZE + 1)]
+
+
+def _weighted(model: LogBilinear, seen: int, times: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of the parameters multiplied by their weights, as batches; rows of no weight are left out."""
+    first = 0
+    for values, bias in model.tables():
+        weight = times if values is model.grouped else np.full(len(values), seen)
+        some = np.flatnonzero(weight)
+        for at in range(0, len(some), ROWS_AT_ONCE):
+            rows = some[at : at + ROWS_AT_ONCE]
+            by = weight[rows].astype(np.float32)
+            columns = [values[rows, i] * by for i in range(SIZE)] + [(np.zeros(len(rows), np.float32) if bias is None else bias[rows]) * by]
+            yield pa.RecordBatch.from_arrays([pa.array(first + rows), pa.array(weight[rows].astype(np.float64)), *map(pa.array, columns)], names=["at", "weight", *VALUES])
+        first += len(values)
+
+
 def train(docs: DataFrame, known: Vocabulary, text: str = "text", seed: int = SEED) -> LogBilinear:
-    """Train on every text of docs. Each task goes once through its rows; the parameters are averaged by tokens seen."""
-    shares, words = known.shares(), known.words[: known.classes]
+    """Train on every text of docs. Each task goes once through its rows; rows of parameters are averaged by tokens seen, those of grouped words by
+    occurrences in the task."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # DICTIONARY words at most
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, model = Lookup((w, i) for i, w in enumerate(words)), LogBilinear(shares, seed)
+        known = shared.value
+        lookup, model = Lookup((w, i) for i, w in enumerate(known.words[: known.modelled])), LogBilinear(known.shares(), known.grouped_shares(), seed)
         trainer, seen, trained = Trainer(model, seed), 0, 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def steps(last: bool) -> None:
             """Steps over what is held, in a seeded order. Less than a batch stays for later, unless this is the last."""
             nonlocal trained
-            before, word = (np.concatenate(x) for x in zip(*held))
-            order, at = trainer.random.permutation(len(word)), 0
+            columns = [np.concatenate(x) for x in zip(*held)]
+            order, at = trainer.random.permutation(len(columns[0])), 0
             while at < len(order):
                 size = min(MOST_BATCH, max(LEAST_BATCH, trained // BATCH_PART))
                 if size > len(order) - at and not last:
                     break
                 some = order[at : at + size]
-                trainer.step(before[some], word[some])
+                trainer.step(*(x[some] for x in columns))
                 at, trained = at + len(some), trained + len(some)
-            held[:] = [(before[order[at:]], word[order[at:]])]
+            held[:] = [tuple(x[order[at:]] for x in columns)]
 
         waiting = 0
         for batch in batches:
             for x in batch.column(0):
                 some = tokens_of(x.as_py())
                 ids = np.fromiter(map(lookup.__getitem__, some), np.int64, len(some))
-                ids[ids < 0] = model.n - 1
-                held.append((contexts(ids, np.zeros(1, np.int64), model.n), ids))
+                classes = known.classes_of(ids)
+                held.append((contexts(classes, np.zeros(1, np.int64), model.n), classes, known.grouped_of(ids)))
                 seen, waiting = seen + len(ids), waiting + len(ids)
                 if waiting >= TOKENS_AT_ONCE:
                     steps(False)
                     waiting = len(held[0][1])
         if waiting:
             steps(True)
-        n = len(model.flat) if seen else 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(model.flat[:n].astype(np.float64) * seen), pa.array(np.full(n, float(seen)))], names=["at", "value", "weight"])
-
-    trained = docs.select(text_bytes(F.col(text)).alias("text")).mapInArrow(learn, "at bigint, value double, weight double")
-    rows = trained.groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value")).toPandas()
-    model = LogBilinear(shares, seed)
-    if len(rows):
-        flat = np.empty(len(model.flat))
-        flat[rows["at"]] = rows["value"]
-        model.set(flat)
+        yield from _weighted(model, seen, trainer.times)
+
+    trained = docs.select(text_bytes(F.col(text)).alias("text")).mapInArrow(learn, f"at bigint, weight double, {', '.join(f'{v} float' for v in VALUES)}")
+    rows = trained.groupBy("at").agg(*((F.sum(v) / F.sum("weight")).alias(v) for v in VALUES)).toPandas()
+    model = LogBilinear(known.shares(), known.grouped_shares(), seed)
+    at, values, first = rows["at"].to_numpy(), rows[VALUES].to_numpy(), 0
+    for own, bias in model.tables():
+        here = (at >= first) & (at < first + len(own))
+        own[at[here] - first] = values[here, :SIZE]
+        if bias is not None:
+            bias[at[here] - first] = values[here, SIZE]
+        first += len(own)
     return model
 
 
@@ -289,14 +395,14 @@ def score_texts(docs: DataFrame, counted: DataFrame, known: Vocabulary, model: L
     without training texts all probabilities are those of an unknown word.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((known, model.flat, model.shares, uuid.uuid4().hex))  # DICTIONARY words at most, and the parameters
+    shared = spark.sparkContext.broadcast((known, model.flat, uuid.uuid4().hex))  # DICTIONARY words at most, and the parameters
     ln10 = math.log(10)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        known, flat, shares, name = shared.value
-        model = LogBilinear(shares)
+        known, flat, name = shared.value
+        model = LogBilinear(known.shares(), known.grouped_shares())
         model.set(flat)
         lookup = Lookup((w, i) for i, w in enumerate(known.words))
         logs = np.append(np.log10(known.counts + 0.5), 0.0)  # the last is for words that only the table knows
@@ -308,9 +414,11 @@ def score_texts(docs: DataFrame, counted: DataFrame, known: Vocabulary, model: L
             sizes = np.array([len(t) for t in texts])
             first = np.cumsum(sizes) - sizes
             ids = np.fromiter((lookup[w] for t in texts for w in t), np.int64, int(sizes.sum()))
-            classes = np.where((ids < 0) | (ids >= known.classes), model.n - 1, ids)
+            classes, grouped = known.classes_of(ids), known.grouped_of(ids)
             before = contexts(classes, first, model.n)
             log_p = (model.scores(before, classes) - _normalisers(model, name, before)).astype(np.float64) / ln10
+            inside = np.flatnonzero(grouped >= 0)
+            log_p[inside] += model.log_within(before[inside], grouped[inside]) / ln10
             other = classes == model.n - 1
             base = np.add.reduceat(logs[ids] - base_log, first)
             score = np.add.reduceat(log_p + np.where(other, logs[ids] - other_log, 0.0), first)

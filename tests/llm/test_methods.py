@@ -380,13 +380,41 @@ def test_lm_probabilities_add_up_and_beat_counts(spark):
     assert np.mean([r["score"] > r["base_score"] for r in rows]) > 0.95
 
 
+def test_two_level_probabilities_by_brute_force(monkeypatch):
+    monkeypatch.setattr(lm, "CLASSES", 4)
+    monkeypatch.setattr(lm, "GROUP", 5)
+    counts = np.array([90, 70, 50, 20, 19, 18, 17, 16, 12, 9, 8, 7, 3, 1])
+    known = lm.Vocabulary([b"w%d" % i for i in range(14)], counts, int(counts.sum()) + 4, 18)
+    assert (known.classes, known.modelled, known.last) == (3, 11, 5)
+    ids = np.array([*range(14), -1])
+    assert known.classes_of(ids).tolist() == [0, 1, 2, 3, 3, 3, 3, 3, 4, 4, 4, 5, 5, 5, 5]
+    assert known.grouped_of(ids).tolist() == [-1, -1, -1, *range(8), -1, -1, -1, -1]
+    model, rng = lm.LogBilinear(known.shares(), known.grouped_shares()), np.random.default_rng(3)
+    model.set(model.flat + rng.normal(0, 0.3, len(model.flat)))
+    trainer, old = lm.Trainer(model, 1), model.grouped.copy()
+    trainer.step(np.array([[0, 1], [2, 4]]), np.array([3, 0]), np.array([2, -1]))
+    assert trainer.times.tolist() == [0, 0, 1, 0, 0, 0, 0, 0] and (model.grouped[2] != old[2]).all() and (model.grouped[5:] == old[5:]).all()
+    for before in ([0, 1], [4, 6], [6, 6]):
+        q = sum(model.context[c].astype(float) @ model.mix[i] for i, c in enumerate(before))
+        of_class = np.exp(model.target @ q + model.bias)
+        of_class /= of_class.sum()
+        want = [of_class[i] for i in range(3)]
+        for g, members in ((3, range(5)), (4, range(5, 8))):
+            inside = [np.exp(model.grouped[j] @ q + model.grouped_bias[j]) for j in members]
+            want += [of_class[g] * x / sum(inside) for x in inside]
+        rows = np.repeat([before], 11, 0)
+        got = model.scores(rows, known.classes_of(np.arange(11))) - model.log_normalisers(rows)
+        got[3:] += model.log_within(rows[3:], np.arange(8))
+        assert np.exp(got) == pytest.approx(want, rel=1e-4) and sum(want) + of_class[5] == pytest.approx(1)
+
+
 def test_dictionary_and_table_agree(spark, texts, monkeypatch):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     counted = lm.count_words(docs)
     whole = lm.vocabulary(counted)
     part = lm.vocabulary(counted, 2000)
     assert part.classes == whole.classes and len(part.words) <= 2000 < len(whole.words) and (part.total, part.distinct) == (whole.total, whole.distinct)
-    model = lm.LogBilinear(whole.shares())
+    model = lm.LogBilinear(whole.shares(), whole.grouped_shares())
     a, b = ({r["doc_id"]: r for r in lm.score_texts(docs, counted, k, model).collect()} for k in (whole, part))
     for i in a:
         assert a[i]["n_known"] == b[i]["n_known"] == a[i]["n_tokens"]
