@@ -26,6 +26,9 @@ class Settings:
     snippet_chars: int = 2000
     history_turns: int = 6
     title_chars: int = 60
+    question_chars: int = 4000
+    password_chars: int = 10
+    password_bytes: int = 72
     max_attempts: int = 3
     backoff_base: int = 30
     backoff_max: int = 900

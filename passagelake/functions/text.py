@@ -97,6 +97,16 @@ def snippet(c: Column, most: int) -> Column:
     return F.substring(c, 1, most)
 
 
+def valid_question(c: Column, most: int) -> Column:
+    """Of 1 to ``most`` characters; false for null."""
+    return F.coalesce(F.length(c).between(1, most), F.lit(False))
+
+
+def valid_password(c: Column, least: int, most_bytes: int) -> Column:
+    """Of at least that many characters and at most that many bytes in UTF-8; false for null."""
+    return F.coalesce((F.length(c) >= least) & (F.octet_length(c) <= most_bytes), F.lit(False))
+
+
 def valid_request_id(c: Column) -> Column:
     return F.coalesce(strip(c).rlike(r"\A[A-Za-z0-9._:-]{1,64}\z"), F.lit(False))
 

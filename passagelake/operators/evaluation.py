@@ -46,6 +46,12 @@ def percentiles(df: DataFrame, group: str, value: str, *shares: float) -> DataFr
     return df.groupBy(group).agg(*(of(f).alias(f"p{round(f * 100)}") for f in shares))
 
 
+def all_referenced(answers: DataFrame, reference: str, *group: str) -> DataFrame:
+    """Whether all answers have a reference, for each group or, without one, in one row; true for no answers."""
+    has = F.coalesce(F.col(reference) != "", F.lit(False))
+    return answers.groupBy(*group).agg(F.coalesce(F.bool_and(has), F.lit(True)).alias("referenced"))
+
+
 def delta_points(metrics: DataFrame, baseline: str) -> DataFrame:
     """Add delta: the hit rate's difference from the baseline's in points, as text."""
     base = F.max(F.when(F.col("config") == baseline, F.col("hit_rate"))).over(Window.partitionBy(F.lit(1)))  # a row a config

@@ -72,6 +72,21 @@ def min_length(spark: SparkSession, d: str) -> DataFrame:
     return _documents(spark, d).where(F.col("chars") >= 300).select("document_id")
 
 
+def input_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """Turns and document texts judged as questions and as passwords."""
+    turns = t.table(spark, d, "conversations").select(F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    docs = t.table(spark, d, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text")
+    question = tx.valid_question(F.col("text"), SETTINGS.question_chars)
+    password = tx.valid_password(F.col("text"), SETTINGS.password_chars, SETTINGS.password_bytes)
+    return turns.unionByName(docs).select("kind", "id", question.alias("question"), password.alias("password"))
+
+
+def references_available(spark: SparkSession, d: str) -> DataFrame:
+    """Turns as reference answers of their conversation: those of the system count as missing, every fifth of these as empty."""
+    reference = F.when(F.col("role") != "system", F.col("text")).when(F.col("conv_id") % 5 == 0, F.lit(""))
+    return ev.all_referenced(t.table(spark, d, "conversations").select("conv_id", reference.alias("reference")), "reference", "conv_id")
+
+
 def doc_listing(spark: SparkSession, d: str) -> DataFrame:
     """The newest first."""
     return _documents(spark, d).select("document_id", "owner_id", "status", "chunk_count").orderBy(F.desc("document_id"))
@@ -300,7 +315,7 @@ def sample_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    owner_scope, point_lookup, ci_lookup, dedup_owner_checksum, min_length, doc_listing, session_listing, message_listing, request_level, usage_for_owner, quota_check, ready_chunk_total, any_pending, count_chunks,
+    owner_scope, point_lookup, ci_lookup, dedup_owner_checksum, min_length, input_lengths, references_available, doc_listing, session_listing, message_listing, request_level, usage_for_owner, quota_check, ready_chunk_total, any_pending, count_chunks,
     checksum_in_use, orphan_files, upload_checksum, upload_action, status_merge, cascade_delete, queue_depth, backoff_delay, claim_next, enqueue_dedup, last_heartbeat, job_transition, reap_stale, purge_old, requeue_all,
     stage_breakdown, unattributed_time, stage_means, latency_percentiles, first_relevant_rank, ir_metrics, wilson_interval, delta_vs_baseline, report_table, rate_limit, stream_reconcile, sse_protocol, sse_roundtrip, file_readers, log_lines, sample_chunks,
 )}
@@ -328,6 +343,9 @@ ORACLES = {
     "ci_lookup": "SELECT c_custkey, lower(c_name) AS name FROM customer WHERE lower(c_name) = 'customer#000000007'",
     "dedup_owner_checksum": f"WITH {_DOCS} SELECT min(document_id) AS document_id, owner_id, checksum FROM docs GROUP BY owner_id, checksum",
     "min_length": "SELECT doc_id AS document_id FROM documents WHERE length(text) >= 300",
+    "input_lengths": """SELECT kind, id, length(text) >= 1 AND length(text) <= 4000 AS question, length(text) >= 10 AND strlen(text) <= 72 AS password
+  FROM (SELECT 'turn' AS kind, conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT 'document', doc_id, text FROM documents)""",
+    "references_available": """SELECT conv_id, count(*) FILTER (role = 'system' OR role IS NULL OR coalesce(text, '') = '') = 0 AS referenced FROM conversations GROUP BY 1""",
     "doc_listing": f"WITH {_DOCS} SELECT document_id, owner_id, status, chunk_count FROM docs ORDER BY document_id DESC",
     "session_listing": "SELECT conv_id, max(turn) AS last_turn, count(*) AS messages FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1",
     "message_listing": "SELECT conv_id, turn, role FROM conversations ORDER BY 1, 2",

@@ -268,3 +268,14 @@ def test_models(spark):
     context = assistant.context_of(questions, chunks, assistant.Models())
     first = context.where("marker = 1").first()
     assert first["chunk_id"] == "alice:1" and context.where("question_id = 2").count() == 0
+
+
+def test_lengths_of_inputs_and_reference_answers(spark):
+    texts = ["", "q", "q" * 4000, "q" * 4001, "p" * 9, "p" * 10, "p" * 72, "p" * 73, "é" * 36, "é" * 37, None]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string")
+    rows = df.select("i", tx.valid_question(F.col("x"), 4000).alias("q"), tx.valid_password(F.col("x"), 10, 72).alias("p")).orderBy("i").collect()
+    assert [r["q"] for r in rows] == [False, True, True, False, True, True, True, True, True, True, False]
+    assert [r["p"] for r in rows] == [False, False, False, False, False, True, True, False, True, False, False]
+    answers = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", ""), ("c", None)], "k string, r string")
+    assert {r["k"]: r["referenced"] for r in ev.all_referenced(answers, "r", "k").collect()} == {"a": True, "b": False, "c": False}
+    assert ev.all_referenced(answers.where("false"), "r").collect()[0]["referenced"] is True
