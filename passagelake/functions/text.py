@@ -97,6 +97,18 @@ def snippet(c: Column, most: int) -> Column:
     return F.substring(c, 1, most)
 
 
+def iso_stamp(c: Column) -> Column:
+    """A timestamp in UTC as ISO text; microseconds are written only where there are some."""
+    micros = F.pmod(F.unix_micros(c), F.lit(1_000_000))
+    part = F.when(micros == 0, F.lit("")).otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0")))
+    return F.concat(F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), part, F.lit("+00:00"))
+
+
+def file_stamp(c: Column) -> Column:
+    """A timestamp in UTC for names of files."""
+    return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyyMMdd'T'HHmmss'Z'")
+
+
 def valid_question(c: Column, most: int) -> Column:
     """Of 1 to ``most`` characters; false for null."""
     return F.coalesce(F.length(c).between(1, most), F.lit(False))

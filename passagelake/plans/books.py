@@ -87,6 +87,12 @@ def references_available(spark: SparkSession, d: str) -> DataFrame:
     return ev.all_referenced(t.table(spark, d, "conversations").select("conv_id", reference.alias("reference")), "reference", "conv_id")
 
 
+def time_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Times of events with their number as microseconds, as ISO text and for names of files."""
+    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 3)
+    return t.table(spark, d, "events").select("event_id", tx.iso_stamp(at).alias("iso"), tx.file_stamp(at).alias("stamp"))
+
+
 def doc_listing(spark: SparkSession, d: str) -> DataFrame:
     """The newest first."""
     return _documents(spark, d).select("document_id", "owner_id", "status", "chunk_count").orderBy(F.desc("document_id"))
@@ -315,7 +321,7 @@ def sample_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    owner_scope, point_lookup, ci_lookup, dedup_owner_checksum, min_length, input_lengths, references_available, doc_listing, session_listing, message_listing, request_level, usage_for_owner, quota_check, ready_chunk_total, any_pending, count_chunks,
+    owner_scope, point_lookup, ci_lookup, dedup_owner_checksum, min_length, input_lengths, references_available, time_stamps, doc_listing, session_listing, message_listing, request_level, usage_for_owner, quota_check, ready_chunk_total, any_pending, count_chunks,
     checksum_in_use, orphan_files, upload_checksum, upload_action, status_merge, cascade_delete, queue_depth, backoff_delay, claim_next, enqueue_dedup, last_heartbeat, job_transition, reap_stale, purge_old, requeue_all,
     stage_breakdown, unattributed_time, stage_means, latency_percentiles, first_relevant_rank, ir_metrics, wilson_interval, delta_vs_baseline, report_table, rate_limit, stream_reconcile, sse_protocol, sse_roundtrip, file_readers, log_lines, sample_chunks,
 )}
@@ -346,6 +352,8 @@ ORACLES = {
     "input_lengths": """SELECT kind, id, length(text) >= 1 AND length(text) <= 4000 AS question, length(text) >= 10 AND strlen(text) <= 72 AS password
   FROM (SELECT 'turn' AS kind, conv_id * 1000 + turn AS id, text FROM conversations UNION ALL SELECT 'document', doc_id, text FROM documents)""",
     "references_available": """SELECT conv_id, count(*) FILTER (role = 'system' OR role IS NULL OR coalesce(text, '') = '') = 0 AS referenced FROM conversations GROUP BY 1""",
+    "time_stamps": """SELECT event_id, strftime(moment, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(moment) % 1000000 = 0 THEN '' ELSE strftime(moment, '.%f') END || '+00:00' AS iso, strftime(moment, '%Y%m%dT%H%M%SZ') AS stamp
+  FROM (SELECT event_id, ts + to_microseconds(event_id % 3) AS moment FROM events)""",
     "doc_listing": f"WITH {_DOCS} SELECT document_id, owner_id, status, chunk_count FROM docs ORDER BY document_id DESC",
     "session_listing": "SELECT conv_id, max(turn) AS last_turn, count(*) AS messages FROM conversations GROUP BY 1 ORDER BY 2 DESC, 1",
     "message_listing": "SELECT conv_id, turn, role FROM conversations ORDER BY 1, 2",
