@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lm
+from . import extraction, language, lm
 from .common import fold, table, text_bytes, written
 from .fingerprints import count_within_radius, edit_likeness
 from .media import media_digests
 from .mixing import mix_sources, word_count
+from .negatives import embedding_vectors, hard_negatives
 from .packing import conversation_vectors, pack_documents, pack_vectors
 from .sharding import interleaved_shards
 from .simhash import near_duplicates
 from .toxicity import fit_lexicon, score_toxicity
+from .trie import prefix_trie
 from .url_filter import canonical_url, judge_pages, url_host
 
 N_SHARDS = 40
@@ -110,6 +112,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "domain", "lang", "source", "epoch", word_count(F.col("text")).alias("tokens"))
 
 
+def op11_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract_main(pages, extraction.fit(pages))
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(embedding_vectors(table(spark, sf_dir, "embeddings"), label), F.col("vec_id") % 100 == 0)
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_simhash": op2_simhash,
@@ -121,5 +137,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_extraction": op11_extraction,
+    "op12_negatives": op12_negatives,
+    "op13_trie": op13_trie,
     "instruction_packing": instruction_packing,
 }
