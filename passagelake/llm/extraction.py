@@ -196,9 +196,11 @@ def told_by_article(nodes: Nodes) -> np.ndarray:
 
 
 def fit(pages: DataFrame, seed: int = 7) -> Trees:
-    """Fit the trees on SAMPLED pages of the table, those of least hash, and LAID_OUT pages made of their words."""
-    told = pages.select(F.coalesce("html", F.lit("")).alias("html"))
-    sample = [r.html for r in told.orderBy(F.xxhash64("html"), "html").limit(SAMPLED).collect()]
+    """Fit the trees on SAMPLED different pages of the table, those of least hash, and LAID_OUT pages made of their words."""
+    told = pages.select(F.coalesce("html", F.lit("")).alias("html")).withColumn("hash", F.xxhash64("html"))
+    last = told.select("hash").distinct().orderBy("hash").limit(SAMPLED).agg(F.max("hash")).first()[0]
+    chosen = told.where(F.col("hash") <= F.lit(last)).groupBy("hash").agg(F.min("html").alias("html"))
+    sample = [r.html for r in chosen.orderBy("hash").collect()]
     real, made = Nodes(), Nodes()
     for page in sample:
         if "<article" in page or "<main" in page:
