@@ -5,7 +5,8 @@ GROUP words that follow in frequency, and one class for all others. Within a gro
 normalised over the group; within the last class it is the word's smoothed share. So probabilities add up to one over all known words and
 one unknown. Words seen LEAST_COUNT times or more are modelled, so that the vocabulary grows with the corpus until the dictionary is full.
 
-Every task trains on all the words of its rows, from the same start, and Spark averages the parameters: those of classes by words seen, those of a
+A task trains on the words of its rows some at a time: classes in small batches, then grouped words by group, where each word of the group is noise once
+for each token, so that both are matrix products. Every task trains on all the words of its rows, from the same start, and Spark averages the parameters: those of classes by words seen, those of a
 grouped word by its own occurrences. Counts are of all training texts. Only bounded things reach the driver: the parameters, and the
 DICTIONARY most frequent words. The counts of all other words stay a table, which is joined with those words' occurrences.
 """
@@ -15,8 +16,9 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,15 @@ LEAST_COUNT = 8
 CONTEXT = 2
 SIZE = 24
 NOISE = 64
-GROUP_NOISE = 5
+#: Tokens of a step within a group.
+GROUP_BATCH = 256
 LEAST_BATCH, MOST_BATCH = 256, 4096
 #: A batch is this part of the tokens trained on so far: steps are many at first and large later.
 BATCH_PART = 64
+#: Batches of classes to one pass over groups.
+PASS_BATCHES = 48
+#: Weight of what groups ask of the predicted vectors. It comes late, at the end of a pass, so that the whole of it can build up.
+PULL = np.float32(0.2)
 RATE = 0.3
 GROUP_RATE = 0.3
 SEED = 42
@@ -46,6 +53,8 @@ TOKENS_AT_ONCE = 200_000
 ROWS_AT_ONCE = 20_000
 #: Contexts whose scores of all classes are held at once: few, so that these stay in a core's cache.
 CONTEXTS_AT_ONCE = 512
+#: Pairs of contexts whose normalisers are kept as a table.
+MOST_PAIRS = 9_000_000
 #: The closing token; no word is empty.
 END = b""
 #: Counts are put in steps of this many to a doubling to find where the dictionary ends.
@@ -62,8 +71,9 @@ def tokens_of(data: bytes) -> list[bytes]:
 class Lookup(dict):
     """Numbers of words; -1 for any other."""
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
+    def numbers(self, texts: Iterable[list[bytes]], n: int) -> np.ndarray:
+        """Of the n words of all texts."""
+        return np.fromiter(map(self.get, chain.from_iterable(texts), repeat(-1)), np.int32, n)
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -119,6 +129,11 @@ class Vocabulary:
         """Numbers among the grouped words; -1 for any other."""
         return np.where((ids >= self.classes) & (ids < self.modelled), ids - self.classes, -1)
 
+    def by_number(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both as tables, with a last row for -1."""
+        ids = np.append(np.arange(len(self.words)), -1)
+        return self.classes_of(ids).astype(np.int32), self.grouped_of(ids).astype(np.int32)
+
     def base_denominator(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
@@ -174,6 +189,7 @@ class LogBilinear:
 
     def set(self, flat: np.ndarray) -> None:
         self.flat = flat.astype(np.float32)
+        self._terms: list[np.ndarray] | None = None
         ends = np.cumsum([math.prod(s) for s in self.shapes])
         parts = [x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), self.shapes)]
         self.context, self.target, self.bias, self.mix, self.grouped, self.grouped_bias = parts
@@ -184,43 +200,97 @@ class LogBilinear:
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """The predicted vectors for rows of classes before a word, the nearest first."""
-        return sum(self.context[before[:, i]] @ self.mix[i] for i in range(CONTEXT))
+        return sum(np.take(self.context, before[:, i], axis=0) @ self.mix[i] for i in range(CONTEXT))
 
     def log_normalisers(self, before: np.ndarray) -> np.ndarray:
-        out = np.empty(len(before), np.float32)
+        """log of the sum of exp(score) over all classes for each row of before.
+
+        A score is a sum of a term for each place and the bias, so the sum over classes is a product of rows of exp(term): one matrix product of the tables
+        of two places gives it for all their pairs.
+        """
+        if self._terms is None:
+            self._terms, self._tops, self._pairs = [], [], None
+            for i in range(CONTEXT):
+                term = (self.context @ self.mix[i]).astype(np.float64) @ self.target.T.astype(np.float64) + (self.bias if i == 0 else 0)
+                self._tops.append(top := term.max(axis=1))
+                self._terms.append(np.exp(term - top[:, None]))
+            if CONTEXT == 2 and (self.n + 1) ** 2 <= MOST_PAIRS:
+                with np.errstate(divide="ignore"):
+                    self._pairs = (np.log(self._terms[0] @ self._terms[1].T) + self._tops[0][:, None] + self._tops[1]).astype(np.float32)
+        if self._pairs is not None:
+            return self._checked(before, self._pairs[before[:, 0], before[:, 1]])
+        before, inverse = np.unique(before, axis=0, return_inverse=True)
+        out = np.empty(len(before))
         for at in range(0, len(before), CONTEXTS_AT_ONCE):
-            scores = self.predicted(before[at : at + CONTEXTS_AT_ONCE]) @ self.target.T
-            scores += self.bias
-            top = scores.max(axis=1)
-            scores -= top[:, None]
-            out[at : at + CONTEXTS_AT_ONCE] = np.log(np.exp(scores, out=scores).sum(axis=1)) + top
-        return out
+            rows = before[at : at + CONTEXTS_AT_ONCE]
+            product = math.prod((self._terms[i][rows[:, i]] for i in range(1, CONTEXT)), start=self._terms[0][rows[:, 0]])
+            with np.errstate(divide="ignore"):
+                out[at : at + CONTEXTS_AT_ONCE] = np.log(product.sum(axis=1)) + sum(self._tops[i][rows[:, i]] for i in range(CONTEXT))
+        return self._checked(before, out)[inverse.ravel()]
+
+    def _checked(self, before: np.ndarray, found: np.ndarray) -> np.ndarray:
+        """Where all products vanish (places that want quite unlike words), the sum is taken over whole scores."""
+        for at in np.flatnonzero(~np.isfinite(found)):
+            scores = self.predicted(before[at : at + 1]).astype(np.float64)[0] @ self.target.T + self.bias
+            found[at] = np.log(np.exp(scores - scores.max()).sum()) + scores.max()
+        return found
 
     def scores(self, before: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return np.einsum("ij,ij->i", self.predicted(before), self.target[word]) + self.bias[word]
+        out = np.empty(len(before), np.float32)
+        for at in range(0, len(before), ROWS_AT_ONCE):
+            some = slice(at, at + ROWS_AT_ONCE)
+            out[some] = np.einsum("ij,ij->i", self.predicted(before[some]), np.take(self.target, word[some], axis=0)) + self.bias[word[some]]
+        return out
 
     def log_within(self, before: np.ndarray, grouped: np.ndarray) -> np.ndarray:
         """Log-probabilities of grouped words, given their groups: one matrix product for the tokens of each group."""
-        order = np.argsort(grouped // GROUP, kind="stable")
-        q, grouped, out = self.predicted(before[order]), grouped[order], np.empty(len(grouped), np.float32)
-        group = grouped // GROUP
-        edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-        for start, end in zip(edges[:-1], edges[1:]):
-            for at in range(start, end, CONTEXTS_AT_ONCE):
-                to = min(at + CONTEXTS_AT_ONCE, end)
-                first = int(group[at]) * GROUP
-                scores = q[at:to] @ self.grouped[first : first + GROUP].T + self.grouped_bias[first : first + GROUP]
-                scores -= scores.max(axis=1, keepdims=True)
-                out[order[at:to]] = scores[np.arange(to - at), grouped[at:to] - first] - np.log(np.exp(scores).sum(axis=1))
+        order, q, out = in_groups(grouped), self.predicted(before), np.empty(len(grouped), np.float32)
+        for first, rows in runs_of_groups(grouped, order, CONTEXTS_AT_ONCE):
+            scores = np.take(q, rows, axis=0) @ self.grouped[first : first + GROUP].T
+            scores += self.grouped_bias[first : first + GROUP]
+            own = scores[np.arange(len(rows)), grouped[rows] - first]
+            top = scores.max()
+            scores -= top
+            total = np.exp(scores, out=scores).sum(axis=1)
+            if not total.all():  # scores of one row are far below another's
+                scores = q[rows] @ self.grouped[first : first + GROUP].T + self.grouped_bias[first : first + GROUP]
+                top = scores.max(axis=1)
+                total = np.exp(scores - top[:, None]).sum(axis=1)
+            out[rows] = own - top - np.log(total)
         return out
 
 
+def in_groups(grouped: np.ndarray) -> np.ndarray:
+    """Rows in the order of their groups, and of rows within them. Groups that fit in 16 bits are sorted by radix."""
+    group = grouped // GROUP
+    return np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")
+
+
+def runs_of_groups(grouped: np.ndarray, order: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The first word of each group that occurs, and its rows, ``most`` at a time."""
+    group = (grouped // GROUP)[order]
+    edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+    for start, end in zip(edges[:-1], edges[1:]):
+        for at in range(start, end, most):
+            yield int(group[start]) * GROUP, order[at : min(at + most, end)]
+
+
+def falsely(scores: np.ndarray) -> np.ndarray:
+    """What noise of such scores asks of them, in place: less their logistic function. A score whose exp overflows gives -1."""
+    with np.errstate(over="ignore"):
+        np.exp(scores, out=scores)
+    scores += 1
+    np.reciprocal(scores, out=scores)
+    scores -= 1
+    return scores
+
+
 class Trainer:
     """Noise-contrastive estimation with Adagrad. A batch shares its noise classes, so that their steps are matrix products; noise within
-    a group is drawn evenly from it for each token."""
+    a group is each of its words once."""
 
     def __init__(self, model: LogBilinear, seed: int) -> None:
-        self.m, self.random = model, np.random.default_rng(seed)
+        self.m, self.random, self.trained = model, np.random.default_rng(seed), 0
         self.squares = [np.full(s, 1e-2, np.float32) for s in model.shapes[:4]] + [np.ones(s, np.float32) for s in model.shapes[4:]]
         self.times = np.zeros(len(model.grouped), np.int64)
         self.log_noise = np.log(NOISE * model.shares).astype(np.float32)
@@ -228,55 +298,80 @@ class Trainer:
 
     def _move(self, i: int, rows: np.ndarray | slice, gradient: np.ndarray, rate: float = RATE) -> None:
         parameter = (self.m.context, self.m.target, self.m.bias, self.m.mix, self.m.grouped, self.m.grouped_bias)[i]
-        squares = self.squares[i]
-        squares[rows] += gradient * gradient
-        parameter[rows] += rate * gradient / np.sqrt(squares[rows])
+        squares = self.squares[i][rows] + gradient * gradient
+        self.squares[i][rows] = squares
+        parameter[rows] += rate * gradient / np.sqrt(squares)
 
     @staticmethod
     def _summed(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        return rows[first], np.add.reduceat(gradient[order], first, axis=0)
-
-    def _within(self, q: np.ndarray, grouped: np.ndarray) -> np.ndarray:
-        """A step for grouped words; the gradients of the predicted vectors are returned. Words move by each occurrence, as they are rare."""
-        m = self.m
-        first = grouped // GROUP * GROUP
-        width = np.minimum(GROUP, len(m.grouped) - first)[:, None]
-        noise = first[:, None] + (self.random.random((len(grouped), GROUP_NOISE)) * width).astype(np.int64)
-        words = np.concatenate((grouped[:, None], noise), axis=1)
-        vectors = m.grouped[words]
-        scores = np.matmul(vectors, q[:, :, None])[:, :, 0] + m.grouped_bias[words] - np.log(GROUP_NOISE / width).astype(np.float32)
-        up = -1 / (1 + np.exp(-np.clip(scores, -30, 30)))
-        up[:, 0] += 1
-        to_words = np.concatenate((up[:, :, None] * q[:, None, :], up[:, :, None]), axis=2).reshape(-1, SIZE + 1)
-        rows, both = self._summed(words.ravel(), to_words)
-        self._move(4, rows, both[:, :-1], GROUP_RATE)
-        self._move(5, rows, both[:, -1], GROUP_RATE)
+        return rows[first], np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0)
+
+    def within_groups(self, before: np.ndarray, grouped: np.ndarray) -> np.ndarray:
+        """Steps for grouped words; the gradients of the predicted vectors are returned. Words move by each occurrence, as they are rare."""
+        m, q, to_q = self.m, self.m.predicted(before), np.empty((len(grouped), SIZE), np.float32)
+        for first, rows in runs_of_groups(grouped, in_groups(grouped), GROUP_BATCH):
+            group, own = slice(first, min(first + GROUP, len(m.grouped))), np.take(q, rows, axis=0)
+            vectors = m.grouped[group]
+            up = own @ vectors.T
+            up += m.grouped_bias[group]
+            falsely(up)
+            at = np.arange(len(rows)), grouped[rows] - first
+            up[at] = 2 * up[at] + 1  # it is real once, and once noise
+            to_q[rows] = up @ vectors
+            self._move(4, group, up.T @ own, GROUP_RATE)
+            self._move(5, group, up.sum(axis=0), GROUP_RATE)
         self.times += np.bincount(grouped, minlength=len(self.times))
-        return np.matmul(up[:, None, :], vectors)[:, 0]
+        return to_q
+
+    def from_groups(self, before: np.ndarray, grouped: np.ndarray) -> np.ndarray:
+        """Steps within groups; what each token's group asks of its predicted vector."""
+        out, inside = np.zeros((len(grouped), SIZE), np.float32), np.flatnonzero(grouped >= 0)
+        if len(inside):
+            out[inside] = self.within_groups(before[inside], grouped[inside])
+            out *= PULL
+        return out
+
+    def steps(self, before: np.ndarray, word: np.ndarray, grouped: np.ndarray) -> None:
+        """Go once through tokens, in a seeded order. What groups ask is found for PASS_BATCHES batches at once, as parameters move less and less."""
+        order, at = self.random.permutation(len(word)), 0
+        before, word, grouped, told = before[order], word[order], grouped[order], 0
+        while at < len(word):
+            size = min(MOST_BATCH, max(LEAST_BATCH, self.trained // BATCH_PART))
+            if at == told:
+                told = at + PASS_BATCHES * max(size, self.trained // BATCH_PART)
+                asked, first = self.from_groups(before[at:told], grouped[at:told]), at
+            end = min(at + size if len(word) - at >= 2 * size else len(word), told)
+            self.class_step(before[at:end], word[at:end], asked[at - first : end - first])
+            self.trained += end - at
+            at = end
 
     def step(self, before: np.ndarray, word: np.ndarray, grouped: np.ndarray) -> None:
+        self.class_step(before, word, self.from_groups(before, grouped))
+
+    def class_step(self, before: np.ndarray, word: np.ndarray, asked: np.ndarray) -> None:
         m, n = self.m, len(word)
-        noise = np.minimum(np.searchsorted(self.edges, self.random.random(NOISE)), m.n - 1)
-        vectors = [m.context[before[:, i]] for i in range(CONTEXT)]
+        noise = np.minimum(np.searchsorted(self.edges, self.random.random(NOISE)), m.n - 1).astype(word.dtype)
+        vectors, own, others = [np.take(m.context, before[:, i], axis=0) for i in range(CONTEXT)], np.take(m.target, word, axis=0), m.target[noise]
         q = sum(v @ m.mix[i] for i, v in enumerate(vectors))
-        real = np.einsum("ij,ij->i", q, m.target[word]) + m.bias[word] - self.log_noise[word]
-        false = q @ m.target[noise].T + (m.bias[noise] - self.log_noise[noise])
-        up = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        to_q = up[:, None] * m.target[word] + down @ m.target[noise]
-        inside = np.flatnonzero(grouped >= 0)
-        if len(inside):
-            to_q[inside] += self._within(q[inside], grouped[inside])
-        all_words = np.concatenate((word, noise))
-        to_target = np.concatenate((up[:, None] * q, down.T @ q)) / n
-        to_bias = np.concatenate((up, down.sum(axis=0))) / n
-        rows, both = self._summed(all_words, np.concatenate((to_target, to_bias[:, None]), axis=1))
-        to_context = np.concatenate([to_q @ m.mix[i].T for i in range(CONTEXT)]) / n
-        crows, cgrad = self._summed(before.T.ravel(), to_context)
-        to_mix = np.stack([v.T @ to_q for v in vectors]) / n
+        up = 1 + falsely(np.einsum("ij,ij->i", q, own) + (m.bias - self.log_noise)[word])
+        down = q @ others.T
+        down += m.bias[noise] - self.log_noise[noise]
+        falsely(down)
+        to_q = up[:, None] * own
+        to_q += down @ others
+        to_q += asked
+        to_q /= n
+        to_target = np.empty((n + NOISE, SIZE + 1), np.float32)
+        np.multiply(q, up[:, None], out=to_target[:n, :SIZE])
+        to_target[:n, SIZE] = up
+        to_target[n:, :SIZE], to_target[n:, SIZE] = down.T @ q, down.sum(axis=0)
+        rows, both = self._summed(np.concatenate((word, noise)), to_target)
+        both /= n
+        crows, cgrad = self._summed(before.T.ravel(), np.concatenate([to_q @ m.mix[i].T for i in range(CONTEXT)]))
+        to_mix = np.stack([v.T @ to_q for v in vectors])
         self._move(1, rows, both[:, :-1])
         self._move(2, rows, both[:, -1])
         self._move(0, crows, cgrad)
@@ -319,36 +414,27 @@ def train(docs: DataFrame, known: Vocabulary, text: str = "text", seed: int = SE
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         lookup, model = Lookup((w, i) for i, w in enumerate(known.words[: known.modelled])), LogBilinear(known.shares(), known.grouped_shares(), seed)
-        trainer, seen, trained = Trainer(model, seed), 0, 0
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def steps(last: bool) -> None:
-            """Steps over what is held, in a seeded order. Less than a batch stays for later, unless this is the last."""
-            nonlocal trained
-            columns = [np.concatenate(x) for x in zip(*held)]
-            order, at = trainer.random.permutation(len(columns[0])), 0
-            while at < len(order):
-                size = min(MOST_BATCH, max(LEAST_BATCH, trained // BATCH_PART))
-                if size > len(order) - at and not last:
-                    break
-                some = order[at : at + size]
-                trainer.step(*(x[some] for x in columns))
-                at, trained = at + len(some), trained + len(some)
-            held[:] = [tuple(x[order[at:]] for x in columns)]
-
-        waiting = 0
+        trainer, (classes_by_number, grouped_by_number) = Trainer(model, seed), known.by_number()
+        texts: list[list[bytes]] = []
+        seen = waiting = 0
+        kind = np.uint16 if model.n < 1 << 16 else np.int32
+
+        def go() -> None:
+            ids = lookup.numbers(texts, waiting)
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            classes = classes_by_number[ids].astype(kind)
+            trainer.steps(contexts(classes, np.cumsum(sizes) - sizes, model.n), classes, grouped_by_number[ids])
+            texts.clear()
+
         for batch in batches:
             for x in batch.column(0):
-                some = tokens_of(x.as_py())
-                ids = np.fromiter(map(lookup.__getitem__, some), np.int64, len(some))
-                classes = known.classes_of(ids)
-                held.append((contexts(classes, np.zeros(1, np.int64), model.n), classes, known.grouped_of(ids)))
-                seen, waiting = seen + len(ids), waiting + len(ids)
+                texts.append(tokens_of(x.as_py()))
+                seen, waiting = seen + len(texts[-1]), waiting + len(texts[-1])
                 if waiting >= TOKENS_AT_ONCE:
-                    steps(False)
-                    waiting = len(held[0][1])
+                    go()
+                    waiting = 0
         if waiting:
-            steps(True)
+            go()
         yield from _weighted(model, seen, trainer.times)
 
     trained = docs.select(text_bytes(F.col(text)).alias("text")).mapInArrow(learn, f"at bigint, weight double, {', '.join(f'{v} float' for v in VALUES)}")
@@ -364,21 +450,16 @@ def train(docs: DataFrame, known: Vocabulary, text: str = "text", seed: int = SE
     return model
 
 
-#: Normalisers found so far in this Python worker, by model.
-_NORMALISERS: dict[str, np.ndarray] = {}
+#: The model in this Python worker, by name: its tables of normalisers are kept from task to task.
+_MODELS: dict[str, LogBilinear] = {}
 
 
-def _normalisers(model: LogBilinear, name: str, before: np.ndarray) -> np.ndarray:
-    """log of the sum over all classes for each row. There are few contexts, so they are kept."""
-    if name not in _NORMALISERS:
-        _NORMALISERS.clear()
-        _NORMALISERS[name] = np.full((model.n + 1) ** CONTEXT, np.nan, np.float32)
-    kept = _NORMALISERS[name]
-    at = before[:, 0] * (model.n + 1) + before[:, 1]
-    missing = np.unique(at[np.isnan(kept[at])])
-    if len(missing):
-        kept[missing] = model.log_normalisers(np.stack((missing // (model.n + 1), missing % (model.n + 1)), axis=1))
-    return kept[at]
+def _model(known: Vocabulary, flat: np.ndarray, name: str) -> LogBilinear:
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = LogBilinear(known.shares(), known.grouped_shares())
+        _MODELS[name].set(flat)
+    return _MODELS[name]
 
 
 LOCAL = T.StructType([
@@ -402,9 +483,8 @@ def score_texts(docs: DataFrame, counted: DataFrame, known: Vocabulary, model: L
         from pyspark import TaskContext
 
         known, flat, name = shared.value
-        model = LogBilinear(known.shares(), known.grouped_shares())
-        model.set(flat)
-        lookup = Lookup((w, i) for i, w in enumerate(known.words))
+        model = _model(known, flat, name)
+        lookup, (classes_by_number, grouped_by_number) = Lookup((w, i) for i, w in enumerate(known.words)), known.by_number()
         logs = np.append(np.log10(known.counts + 0.5), 0.0)  # the last is for words that only the table knows
         base_log, other_log = math.log10(known.base_denominator()), math.log10(known.other_denominator())
         row = TaskContext.get().partitionId() << 40
@@ -413,10 +493,10 @@ def score_texts(docs: DataFrame, counted: DataFrame, known: Vocabulary, model: L
             nonlocal row
             sizes = np.array([len(t) for t in texts])
             first = np.cumsum(sizes) - sizes
-            ids = np.fromiter((lookup[w] for t in texts for w in t), np.int64, int(sizes.sum()))
-            classes, grouped = known.classes_of(ids), known.grouped_of(ids)
+            ids = lookup.numbers(texts, int(sizes.sum()))
+            classes, grouped = classes_by_number[ids], grouped_by_number[ids]
             before = contexts(classes, first, model.n)
-            log_p = (model.scores(before, classes) - _normalisers(model, name, before)).astype(np.float64) / ln10
+            log_p = (model.scores(before, classes) - model.log_normalisers(before)) / ln10
             inside = np.flatnonzero(grouped >= 0)
             log_p[inside] += model.log_within(before[inside], grouped[inside]) / ln10
             other = classes == model.n - 1
@@ -424,9 +504,14 @@ def score_texts(docs: DataFrame, counted: DataFrame, known: Vocabulary, model: L
             score = np.add.reduceat(log_p + np.where(other, logs[ids] - other_log, 0.0), first)
             in_dictionary = np.add.reduceat((ids >= 0).astype(np.int64), first)
             rare_rows, rare_words, rare_times = [], [], []
-            for i in np.flatnonzero(in_dictionary < sizes).tolist():
-                where = np.flatnonzero(ids[first[i] : first[i] + sizes[i]] < 0)
-                found = Counter(texts[i][j] for j in where.tolist())
+            unknown = np.flatnonzero(ids < 0)
+            owner = np.repeat(np.arange(len(texts)), sizes)[unknown]
+            cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)] if len(owner) else [0]
+            places = (unknown - first[owner]).tolist()
+            for start, end in zip(cuts, cuts[1:]):
+                i = int(owner[start])
+                words = texts[i]
+                found = Counter([words[j] for j in places[start:end]])
                 rare_rows += [row + i] * len(found)
                 rare_words += found.keys()
                 rare_times += found.values()
