@@ -28,6 +28,8 @@ FRAMES_PER_CHUNK = 64
 KEY_EVERY = 25
 #: Boxes that hold boxes (fixed values of the format).
 PARENTS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"udta", b"mvex"}
+#: Boxes in boxes: the format itself has five levels.
+DEEPEST = 32
 MATRIX = struct.pack(">9I", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -78,18 +80,55 @@ def write_container(payload: bytes) -> bytes:
 
 @dataclass
 class Track:
+    """A track's tables as they lie in the file: chunks with their first sample, and one size for all samples or a table of sizes. Samples are numbered on demand."""
+
     kind: str = ""
     codec: str = ""
     timescale: int = 0
     duration: int = 0
-    tables: dict[bytes, bytes] = field(default_factory=dict)
-    offsets: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    sizes: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    tables: dict[bytes, memoryview] = field(default_factory=dict)
+    count: int = 0
+    fixed: int = 0
+    #: Sums of the sizes before each sample and after the last, where they differ.
+    before: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    chunks: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    #: The first sample of each chunk, and the number of samples.
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    synced: np.ndarray | None = None
+
+    def through(self, samples: np.ndarray) -> np.ndarray:
+        """Bytes of all samples before each."""
+        return samples * self.fixed if self.fixed else self.before[samples]
+
+    def ranges(self, samples: np.ndarray) -> np.ndarray:
+        """Offsets and lengths of samples, as rows."""
+        chunk = np.searchsorted(self.starts, samples, "right") - 1
+        begin = self.through(samples)
+        return np.stack((self.chunks[chunk] + begin - self.through(self.starts[chunk]), self.through(samples + 1) - begin), axis=1) if len(samples) else np.empty((0, 2), np.int64)
+
+    @property
+    def offsets(self) -> np.ndarray:
+        return self.ranges(np.arange(self.count))[:, 0]
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self.ranges(np.arange(self.count))[:, 1]
+
+    def chunk_ranges(self) -> np.ndarray:
+        """Offsets and lengths of the chunks that hold samples."""
+        through = self.through(self.starts)
+        found = np.stack((self.chunks, through[1:] - through[:-1]), axis=1)
+        return found[self.starts[1:] > self.starts[:-1]]
+
+    def key_ranges(self) -> np.ndarray:
+        """Offsets and lengths of sync samples; without a table of them every sample is one, and those of a chunk make one range."""
+        return self.chunk_ranges() if self.synced is None else self.ranges(self.synced)
+
+    def n_keyframes(self) -> int:
+        return self.count if self.synced is None else len(self.synced)
 
     def keyframes(self) -> list[tuple[int, int]]:
-        """(offset, length) of each sync sample; without a table of them, every sample is one."""
-        return list(zip(self.offsets[self.keys].tolist(), self.sizes[self.keys].tolist()))
+        return list(map(tuple, self.key_ranges().tolist()))
 
 
 def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
@@ -110,26 +149,36 @@ def boxes(data: memoryview, start: int, end: int) -> Iterator[tuple[bytes, int,
 def read_container(data: bytes) -> list[Track]:
     """The tracks of a container with their sample tables decoded; payloads aren't touched. Other bytes give an empty list.
 
-    Tables that don't agree with their own length, with each other or with the file raise ValueError; no table takes more memory than a few times its bytes.
+    Tables that don't agree with their own length, with each other or with the file raise ValueError, and so do boxes nested beyond DEEPEST and tracks
+    whose samples together take more bytes than the file. What is kept is in proportion to the tables' bytes, not to the samples that they speak of.
     """
     view, tracks = memoryview(data), []
-
-    def walk(start: int, end: int) -> None:
-        for kind, a, b in boxes(view, start, end):
-            if kind == b"trak":
-                tracks.append(Track())
-            if kind in PARENTS:
-                walk(a, b)
-            elif tracks and kind in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stco", b"co64"):
-                tracks[-1].tables[kind] = bytes(view[a:b])
-
-    walk(0, len(view))
+    walks = [boxes(view, 0, len(view))]
+    while walks:
+        found = next(walks[-1], None)
+        if found is None:
+            walks.pop()
+            continue
+        kind, a, b = found
+        if kind == b"trak":
+            tracks.append(Track())
+        if kind in PARENTS:
+            if len(walks) >= DEEPEST:
+                raise ValueError("boxes are nested too deeply")
+            walks.append(boxes(view, a, b))
+        elif tracks and kind in (b"mdhd", b"hdlr", b"stsd", b"stts", b"stss", b"stsc", b"stsz", b"stco", b"co64"):
+            tracks[-1].tables[kind] = view[a:b]
+    left = len(view)
     for t in tracks:
         _decode(t, len(view))
+        left -= int(t.through(t.starts[-1:])[0])
+        if left < 0:
+            raise ValueError("the tracks hold more than the file")
+        t.tables.clear()
     return tracks
 
 
-def _entries(table: bytes, kind: str, fields: int = 1) -> np.ndarray:
+def _entries(table: memoryview | bytes, kind: str, fields: int = 1) -> np.ndarray:
     """The entries of a table that begins with their number."""
     if len(table) < 8:
         raise ValueError("a table ends before its count")
@@ -147,8 +196,8 @@ def _decode(t: Track, length: int) -> None:
         if len(head) < (32 if wide else 20):
             raise ValueError("the media header is too short")
         t.timescale, t.duration = struct.unpack_from(">IQ", head, 20) if wide else struct.unpack_from(">II", head, 12)
-    t.kind = get(b"hdlr", bytes(12))[8:12].decode("latin-1")
-    t.codec = get(b"stsd", bytes(16))[12:16].decode("latin-1").strip()
+    t.kind = bytes(get(b"hdlr", bytes(12))[8:12]).decode("latin-1")
+    t.codec = bytes(get(b"stsd", bytes(16))[12:16]).decode("latin-1").strip()
     sizes = get(b"stsz")
     if sizes is None:
         return
@@ -166,31 +215,26 @@ def _decode(t: Track, length: int) -> None:
     keys = _entries(t.tables[b"stss"], ">u4")[:, 0] - 1 if b"stss" in t.tables else None
     if keys is not None and len(keys) and (keys.min() < 0 or keys.max() >= n):
         raise ValueError("a keyframe that is no sample")
-    t.sizes = np.full(n, fixed, np.int64) if fixed else np.frombuffer(sizes, ">u4", n, 12).astype(np.int64)
-    per_chunk = np.repeat(per_run, lasting)
-    of_chunk = np.repeat(np.arange(len(at)), per_chunk)
-    before = np.concatenate(([0], np.cumsum(t.sizes)))
-    t.offsets = at[of_chunk] + before[:n] - before[np.concatenate(([0], np.cumsum(per_chunk)))[of_chunk]]
-    t.keys = np.arange(n) if keys is None else keys
+    t.count, t.fixed, t.synced = n, fixed, keys
+    if not fixed:
+        t.before = np.concatenate(([0], np.cumsum(np.frombuffer(sizes, ">u4", n, 12), dtype=np.int64)))
+    t.chunks, t.starts = at, np.concatenate(([0], np.cumsum(np.repeat(per_run, lasting))))
 
 
 def read_samples(data: bytes, track: Track) -> bytes:
     """The bytes of all samples, found through the sample tables."""
-    if not len(track.offsets):
-        return b""
-    breaks = np.flatnonzero(track.offsets[1:] != track.offsets[:-1] + track.sizes[:-1]) + 1
-    starts, ends = np.concatenate(([0], breaks)), np.concatenate((breaks, [len(track.offsets)])) - 1
-    return b"".join(data[track.offsets[i] : track.offsets[j] + track.sizes[j]] for i, j in zip(starts, ends))
+    return b"".join(data[at : at + n] for at, n in track.chunk_ranges().tolist())
 
 
 def feature(t: Track) -> str:
     """Codec, seconds, samples, keyframes, and where the first and last keyframe lie; the CRC covers all ranges."""
-    keys = t.keyframes()
-    ranges = zlib.crc32(np.array(keys, dtype="<i8").tobytes())
-    at = "-".join(f"{o}+{n}" for o, n in (keys[:1] + keys[-1:]))
-    return f"codec={t.codec};seconds={t.duration / max(t.timescale, 1):.3f};samples={len(t.sizes)};keyframes={len(keys)};at={at};ranges={ranges:08x}"
+    keys = t.key_ranges()
+    crc = zlib.crc32(keys.astype("<i8").tobytes())
+    at = "-".join(f"{o}+{n}" for o, n in (keys[:1].tolist() + keys[-1:].tolist()))
+    return f"codec={t.codec};seconds={t.duration / max(t.timescale, 1):.3f};samples={t.count};keyframes={t.n_keyframes()};at={at};ranges={crc:08x}"
 
 
+RANGE = pa.struct([("offset", pa.int64()), ("length", pa.int64())])
 KEYFRAMES = T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]))
 #: Bytes of texts that are in work at once.
 BYTES_AT_ONCE = 4 << 20
@@ -211,13 +255,17 @@ def media_columns(df: DataFrame, content: str = "content") -> DataFrame:
             t = next(iter(read_container(data)), None) if data else None
         except ValueError as e:
             return (None, None, None, None, str(e))
-        return (None,) * 5 if t is None else (t.codec, t.kind, t.duration / max(t.timescale, 1), [{"offset": o, "length": n} for o, n in t.keyframes()], None)
+        return (None,) * 5 if t is None else (t.codec, t.kind, t.duration / max(t.timescale, 1), t.key_ranges(), None)
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = list(zip(*(describe(x.as_py()) for x in batch.column(content)))) or [()] * len(names)
-        kinds = [pa.string(), pa.string(), pa.float64(), pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64())])), pa.string()]
-        new = [pa.array(list(x), k) for x, k in zip(found, kinds)]
-        return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), *new], names=[*(f.name for f in others), *names])
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(batch.num_rows):  # a file and its ranges at a time
+            codec, kind, seconds, keys, error = describe(batch.column(content)[i].as_py())
+            if keys is None:
+                ranges = pa.nulls(1, pa.list_(RANGE))
+            else:
+                ranges = pa.ListArray.from_arrays([0, len(keys)], pa.StructArray.from_arrays([np.ascontiguousarray(keys[:, k]) for k in (0, 1)], fields=list(RANGE)))
+            new = [pa.array([codec], pa.string()), pa.array([kind], pa.string()), pa.array([seconds], pa.float64()), ranges, pa.array([error], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name)[i : i + 1] for f in others), *new], names=[*(f.name for f in others), *names])
 
     return map_batches(df.select(*(f"`{f.name}`" for f in others), content), work, schema)
 
@@ -251,7 +299,7 @@ def media_digests(df: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         for data in (x.as_py() for x in batch.column("content")):
             track = read_container(data)[0]
             payload = read_samples(data, track)
-            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), track.codec, track.duration / track.timescale, len(track.keys))
+            row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(track), track.codec, track.duration / track.timescale, track.n_keyframes())
             for column, x in zip(out, row):
                 column.append(x)
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.int64()]
