@@ -7,7 +7,7 @@ entries in one pass. Phrases that hold an entry but mark clean texts are excepti
 a power of the length goes through a logistic curve; curve and power are fitted together, with labels as frequent as they are among all usable rows.
 
 The classifier is fitted on MOST_LABELLED rows of each label at most, the ones with the smallest hashes; their texts are counted
-by Spark, and only entries that pass the thresholds (MOST_ENTRIES at most) come to the driver.
+by Spark, and only entries that pass the thresholds come to the driver; the sample's bound holds their number.
 """
 
 from __future__ import annotations
@@ -28,15 +28,12 @@ from pyspark.sql import types as T
 from .common import written
 
 MOST_LABELLED = 8000
-MOST_ENTRIES = 5000
 LEAST_TEXTS = 5
 LEAST_CLEAN = 5
 LEAST_ODDS = 20.0
-LEAST_SHARE = 0.03
+#: Entries of the first round are in this part of the toxic texts. A round that adds nothing halves it, down to LEAST_TEXTS texts.
+FIRST_SHARE = 0.03
 NEARLY_ALL = 0.95
-ROUNDS = 4
-#: The search ends when entries explain all but this share of the toxic texts.
-UNEXPLAINED = 0.01
 COUNTED_AT_ONCE = 150_000
 BEGINNINGS = (4, 5, 6, 7)
 EMPTY = 0.01
@@ -138,33 +135,47 @@ def _texts(docs: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame
 
 
 def _entry_counts(texts: DataFrame, taken: dict[str, float]) -> DataFrame:
-    """Of each entry, how many clean texts hold it, and how many toxic texts in which no taken entry is."""
+    """Of each entry, how many of the texts hold it in which no taken entry is; the empty entry counts these texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Lexicon(taken).automaton()
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
+
+        automaton, counts = Lexicon(taken).automaton(), Counter()
         for batch in batches:
-            for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for text in batch.column(0):
                 text = text.as_py()
-                if not (y and _strength(text, automaton)[0] > 0):
-                    counts[y].update(entries(set(folded(text).split())) | ({""} if y else set()))
-                if len(counts[0]) + len(counts[1]) > COUNTED_AT_ONCE:
-                    yield _two_counts(counts)
-                    counts = (Counter(), Counter())
-        yield _two_counts(counts)
+                if not _strength(text, automaton)[0] > 0:
+                    counts.update(entries(set(folded(text).split())))
+                    counts[""] += 1
+                if len(counts) > COUNTED_AT_ONCE:
+                    yield out()
+                    counts.clear()
+        yield out()
+
+    return texts.select("text").mapInArrow(count, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))
 
-    return texts.mapInArrow(count, "entry string, clean bigint, toxic bigint").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+def _begins(entry: str, among: dict | set) -> bool:
+    """True if one of ``among`` is the entry's beginning, or the entry."""
+    return any(entry[:k] in among for k in range(1, len(entry) + 1))
 
 
 def _specific(strong: list, n: dict[int, int]) -> dict[str, tuple[int, int]]:
     """Of nested entries the one with the most evidence, or the longest that still has nearly all its texts."""
     counts = {r["entry"]: (r["toxic"], r["clean"]) for r in strong}
+    longer: dict[str, list[str]] = {}
+    for x in counts:
+        for k in range(1, len(x) + 1):
+            if x[:k] in counts:
+                longer.setdefault(x[:k], []).append(x)
     out: dict[str, tuple[int, int]] = {}
+    beginnings: set[str] = set()
     for e in sorted(counts, key=lambda e: (-counts[e][0] * log_odds(*counts[e], n[1], n[0]), len(e), e)):
-        if not any(e.startswith(t) or t.startswith(e) for t in out):
-            nearly = [x for x in counts if x.startswith(e) and counts[x][0] >= NEARLY_ALL * counts[e][0]]
-            best = max(nearly, key=lambda x: (len(x), x))
+        if e not in beginnings and not _begins(e, out):
+            best = max((x for x in longer[e] if counts[x][0] >= NEARLY_ALL * counts[e][0]), key=lambda x: (len(x), x))
             out[best] = counts[best]
+            beginnings.update(best[:k] for k in range(1, len(best) + 1))
     return out
 
 
@@ -186,19 +197,23 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "
         return Lexicon()
     weights: dict[str, float] = {}
     odds = ((F.col("toxic") + 0.5) / (n[1] + 1)) / ((F.col("clean") + 0.5) / (n[0] + 1))
-    for _ in range(ROUNDS):
+    clean = written(_entry_counts(texts.where("y = 0"), {}).withColumnRenamed("n", "clean"), "clean")
+    toxic, share = texts.where("y = 1"), FIRST_SHARE
+    counted = None
+    while True:
         # Words of toxic texts that an entry explains already, such as those of their copies, are no evidence.
-        counted = _entry_counts(texts, weights).cache()
-        left = counted.where(F.col("entry") == "").agg(F.max("toxic")).first()[0] or 0
-        if left < UNEXPLAINED * n[1]:
-            counted.unpersist()
-            break
-        strong = counted.where((F.col("entry") != "") & (F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * left)) & (odds >= LEAST_ODDS)).orderBy(F.desc("toxic"), "entry").limit(MOST_ENTRIES).collect()
-        counted.unpersist()
-        new = {e: c for e, c in _specific(strong, n).items() if not any(e.startswith(t) for t in weights)}
-        if not new:
+        if counted is None:
+            counted = written(_entry_counts(toxic, weights).where(F.col("n") >= LEAST_TEXTS).withColumnRenamed("n", "toxic"), "toxic")
+            left = counted.where(F.col("entry") == "").agg(F.max("toxic")).first()[0] or 0
+        least = max(LEAST_TEXTS, share * left)
+        strong = counted.where((F.col("entry") != "") & (F.col("toxic") >= least)).join(clean, "entry", "left").fillna(0, ["clean"]).where(odds >= LEAST_ODDS).collect()
+        new = {e: c for e, c in _specific(strong, n).items() if not _begins(e, weights)}
+        if new:
+            weights |= {e: log_odds(toxic, clean, n[1], n[0]) for e, (toxic, clean) in new.items()}
+            counted = None
+        elif least <= LEAST_TEXTS:
             break
-        weights |= {e: log_odds(toxic, clean, n[1], n[0]) for e, (toxic, clean) in new.items()}
+        share /= 1 if new else 2
     found = Lexicon(weights)
     found.exceptions = _exceptions(texts, found)
     patterns = (found.weights, found.exceptions)
@@ -236,7 +251,7 @@ def _exceptions(texts: DataFrame, lexicon: Lexicon) -> dict[str, float]:
             yield _two_counts(counts)
 
     counted = texts.mapInArrow(phrases, "entry string, clean bigint, toxic bigint").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    kept = counted.where((F.col("clean") >= LEAST_CLEAN) & (F.col("clean") >= 5 * F.col("toxic"))).orderBy(F.desc("clean"), "entry").limit(MOST_ENTRIES).collect()
+    kept = counted.where((F.col("clean") >= LEAST_CLEAN) & (F.col("clean") >= 5 * F.col("toxic"))).orderBy(F.desc("clean"), "entry").collect()
     out: dict[str, float] = {}
     for r in kept:
         entry, phrase = r["entry"].split("\t")
