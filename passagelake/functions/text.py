@@ -9,6 +9,7 @@ from ..conf import SETTINGS
 
 #: White space as Python strips it: Unicode's, and four control characters beside.
 BLANK = r"[\s\x1c-\x1f]"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\u0085\u2028\u2029]"
 OPERATORS = ("or", "and", "not")
 
 
@@ -130,17 +131,17 @@ def request_id(c: Column) -> Column:
 
 def client_address(forwarded: Column, peer: Column, hops: int) -> Column:
     """The address ``hops`` from the right of a forwarding header; the peer's if there are too few."""
-    parts = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(forwarded, F.lit("")), ","), strip), lambda p: p != "")
     return F.when((F.lit(hops) > 0) & (F.size(parts) >= hops), F.try_element_at(parts, F.lit(-max(hops, 1)))).otherwise(peer)
 
 
 def parse_questions(raw: Column) -> Column:
     """Questions of a JSON array; else the lines that end in a question mark, without list marks."""
-    listed = F.from_json(raw, "array<string>")
-    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), r"\r?\n"), lambda x: F.regexp_replace(F.trim(F.regexp_replace(F.trim(x), r"^[-*0-9. ]+", "")), r'^[",]+|[",]+$', ""))
+    listed = F.from_json(strip(raw), "array<string>")
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), LINE_END), lambda x: F.regexp_replace(strip(F.regexp_replace(strip(x), r"^[-*0-9. ]+", "")), r'^[",]+|[",]+$', ""))
     kept = F.filter(lines, lambda x: x.endswith("?"))
-    clean = F.filter(F.transform(listed, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
-    return F.when(listed.isNotNull() & F.trim(raw).startswith("["), clean).otherwise(kept)
+    clean = F.filter(F.transform(listed, strip), lambda x: F.coalesce(x != "", F.lit(False)))
+    return F.when(listed.isNotNull() & strip(raw).startswith("["), clean).otherwise(kept)
 
 
 def document_hue(key: Column) -> Column:

@@ -35,9 +35,10 @@ def top_per_question(scored: DataFrame, order: list[Column], k: int, rank: str =
 
 def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.candidates) -> DataFrame:
     """question_id, chunk_id, similarity, rank: exact cosine search within the question's tenant, ties by chunk_id."""
-    q = small(questions.where(F.col("embedding").isNotNull()).select("question_id", "owner_id", F.col("embedding").alias("asked")))
-    c = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "owner_id", "embedding")
-    scored = c.join(q, "owner_id").select("question_id", "chunk_id", vec.cosine(F.col("embedding"), F.col("asked")).alias("similarity"))
+    q = small(questions.where(F.col("embedding").isNotNull()).select("question_id", "owner_id", F.col("embedding").alias("asked"), vec.norm(F.col("embedding")).alias("asked_norm")))
+    c = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "owner_id", "embedding", vec.norm(F.col("embedding")).alias("own_norm"))
+    similarity = vec.dot(F.col("embedding"), F.col("asked")) / (F.col("own_norm") * F.col("asked_norm"))
+    scored = c.join(q, "owner_id").select("question_id", "chunk_id", similarity.alias("similarity"))
     return top_per_question(scored, [F.desc("similarity"), F.col("chunk_id")], k)
 
 

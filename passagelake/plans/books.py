@@ -237,11 +237,9 @@ def _outcomes(spark: SparkSession, d: str) -> DataFrame:
     """config, question_id and the rank of the first chunk with the label of the question's own embedding."""
     q, c = t.questions(spark, d), t.chunks(spark, d)
     labels = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("question_id"), F.col("label").cast("string").alias("expected"))
-    found = [(name, f(spark, d)) for name, f in (("dense", rt.ablation_vector), ("lexical", rt.ablation_lexical), ("hybrid", rt.ablation_rrf))]
-    ranked = None
-    for name, df in found:
-        one = df.withColumn("config", F.lit(name))
-        ranked = one if ranked is None else ranked.unionByName(one)
+    # Both searches run once: their fusion holds all three ranks.
+    ranks = F.array(*(F.struct(F.lit(config).alias("config"), F.col(rank).alias("rank")) for config, rank in (("dense", "vector_rank"), ("lexical", "lexical_rank"), ("hybrid", "position"))))
+    ranked = rt._fused(spark, d).select("question_id", "chunk_id", F.inline(ranks)).where(F.col("rank") <= SETTINGS.top_k)
     joined = ranked.join(c.select("chunk_id", F.coalesce(F.col("label").cast("string"), F.lit("none")).alias("section")), "chunk_id").join(labels, "question_id")
     return ev.first_relevant_rank(joined)
 

@@ -194,34 +194,36 @@ def document_hue(spark: SparkSession, d: str) -> DataFrame:
     return t.table(spark, d, "documents").select("doc_id", tx.document_hue(F.concat_ws("-", "source", "lang", F.col("doc_id").cast("string"))).alias("hue"))
 
 
-def _literals(spark: SparkSession, rows: list[str]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(rows)), "id int, x string")
-
-
-IDS = ["edge-7f3a91", "two\nlines", "a" * 65, "a" * 64, "  ", " ok.1:2_3 ", "semi;colon", "abc\n", "abc\r\n", "\tid\n\n", "a\n;"]
-ADDRESSES = ["1.1.1.1, 2.2.2.2 ,3.3.3.3", "", " , ", "4.4.4.4", "5.5.5.5,,6.6.6.6"]
-DRAFTS = ['["One?", " Two? ", ""]', "1. First?\n- Second?\nnot one\n* \"Third?\",", "nothing", "[broken\n2. Is it?"]
-
-
 def request_id_valid(spark: SparkSession, d: str) -> DataFrame:
-    return _literals(spark, IDS).select("id", tx.valid_request_id(F.col("x")).alias("valid"))
+    """How many of each document's pieces between single spaces are well-formed ids."""
+    pieces = t.table(spark, d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("x"))
+    return pieces.groupBy("doc_id").agg(F.count_if(tx.valid_request_id(F.col("x"))).alias("valid"), F.count(F.lit(1)).alias("n"))
 
 
 def client_identifier(spark: SparkSession, d: str) -> DataFrame:
-    return _literals(spark, ADDRESSES).select("id", tx.client_address(F.col("x"), F.lit("peer"), 2).alias("client"))
+    """Texts as forwarding headers, behind two hops."""
+    docs = t.table(spark, d, "documents")
+    return docs.select("doc_id", F.md5(tx.client_address(F.col("text"), F.col("source"), 2).cast("binary")).alias("client_md5"))
 
 
 def parse_questions(spark: SparkSession, d: str) -> DataFrame:
-    return _literals(spark, DRAFTS).select("id", F.array_join(tx.parse_questions(F.col("x")), "|").alias("questions"))
+    """Turns whose lines end in question marks, as numbered lines or as a JSON array after a line break."""
+    asked = F.transform(F.split("text", "\n"), lambda x: F.concat(x, F.lit("?\t")))
+    numbered = F.array_join(F.transform(asked, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+    turns = t.table(spark, d, "conversations").withColumn("raw", F.when(F.col("turn") % 2 == 0, numbered).otherwise(F.concat(F.lit("\n"), F.to_json(asked))))
+    found = tx.parse_questions(F.col("raw"))
+    return turns.select("conv_id", "turn", F.size(found).alias("n"), F.md5(F.array_join(found, "|").cast("binary")).alias("questions_md5"))
 
 
-MARKDOWN = ["intro\n# G\na\n## S\nb\n### P\nc\n## U\nd\n", "# A\n```\n# no\n~~~\nx\n# B ##\n##### Deep\ny"]
-MARKDOWN_SECTIONS = [(0, 0, "", "intro"), (0, 1, "G", "a"), (0, 2, "G > S", "b"), (0, 3, "G > S > P", "c"), (0, 4, "G > U", "d"), (1, 0, "A", "```\n# no\n~~~\nx"), (1, 1, "B > Deep", "y")]
+def _markdown(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as Markdown: every fifth line is a heading of level 1 to 4, every seventeenth opens or closes a fence."""
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 17 == 3, F.lit("```")).when(i % 5 == 0, F.concat(F.expr("repeat('#', 1)"), F.repeat(F.lit("#"), F.floor(i / 5).cast("int") % 4), F.lit("\u00a0"), x)).otherwise(x))
+    return t.table(spark, d, "documents").select("doc_id", F.array_join(lines, "\n").alias("body"))
 
 
 def markdown_sections(spark: SparkSession, d: str) -> DataFrame:
-    found = markdown.sections(_literals(spark, MARKDOWN), "id", "x")
-    return found.select("id", "section_order", tx.encode_path(F.col("heading_path")).alias("path"), "text")
+    found = markdown.sections(_markdown(spark, d), "doc_id", "body", 64)
+    return found.select("doc_id", "section_order", F.md5(tx.encode_path(F.col("heading_path")).cast("binary")).alias("path_md5"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
@@ -278,11 +280,10 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 
-def _values(rows: list[tuple]) -> str:
-    put = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, bool)) else "'" + x.replace("'", "''") + "'"
-    return "VALUES " + ", ".join("(" + ", ".join(map(put, r)) + ")" for r in rows)
-
-
+#: White space as the operators strip it.
+_BLANKS = " || ".join(f"chr({n})" for n in (*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))
+_STRIPPED = f"trim({{0}}, {_BLANKS})"
+_HEADING = r"'^(#{1,6})[\s\x{a0}]+(.+?)\s*#*\s*$'"
 _SPLIT = r"list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1) || '|\n{{2,}}'), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda x: x <> '')"
 _WORDS = r"len(list_filter(regexp_split_to_array({0}, '\s+'), lambda w: w <> ''))"
 _ANSWERS = """answers AS (SELECT conv_id * 1000 + turn AS question_id, text || ' [' || (turn + 1) || '] [9] [9]' AS answer FROM conversations WHERE role = 'assistant'),
@@ -360,10 +361,21 @@ SELECT a.question_id, h.question_id IS NOT NULL AS grounded, md5(CASE WHEN h.que
     "section_match": "SELECT doc_id, contains(lower('top > ' || source), 'top > src1') AS matches FROM documents",
     "section_fallback": "SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN coalesce(nullif(lang, ''), source) ELSE source END AS section FROM documents",
     "document_hue": f"SELECT doc_id, CAST(floor(fmod({_HUE.format(chr(115) + 'ource || chr(45) || lang || chr(45) || doc_id')} * 137.508::DOUBLE, 360.0::DOUBLE) + 0.5) AS INT) AS hue FROM documents",
-    "request_id_valid": "SELECT id, regexp_full_match(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '[A-Za-z0-9._:-]{1,64}') AS valid FROM (" + _values(list(enumerate(IDS))) + ") AS v(id, x)",
-    "client_identifier": "SELECT id, CASE WHEN len(p) >= 2 THEN p[-2] ELSE 'peer' END AS client FROM (SELECT id, list_filter(list_transform(string_split(x, ','), lambda s: trim(s)), lambda s: s <> '') AS p FROM (" + _values(list(enumerate(ADDRESSES))) + ") AS v(id, x))",
-    "parse_questions": "SELECT * FROM (" + _values([(0, "One?|Two?"), (1, "First?|Second?|Third?"), (2, ""), (3, "Is it?")]) + ") AS v(id, questions)",
-    "markdown_sections": "SELECT * FROM (" + _values(MARKDOWN_SECTIONS) + ") AS v(id, section_order, path, text)",
+    "request_id_valid": f"SELECT doc_id, len(list_filter(p, lambda x: regexp_full_match({_STRIPPED.format('x')}, '[A-Za-z0-9._:-]{{1,64}}'))) AS valid, len(p) AS n FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents WHERE text IS NOT NULL)",
+    "client_identifier": f"""SELECT doc_id, md5(CASE WHEN len(p) >= 2 THEN p[-2] ELSE source END) AS client_md5
+FROM (SELECT doc_id, source, list_filter(list_transform(string_split(coalesce(text, ''), ','), lambda s: {_STRIPPED.format('s')}), lambda s: s <> '') AS p FROM documents)""",
+    "parse_questions": f"""WITH l AS (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations),
+q AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN list_transform(l, lambda x, i: trim({_STRIPPED.format("ltrim(" + _STRIPPED.format("i || '. ' || x || '?'") + ", '-*0123456789. ')")}, '",')) ELSE list_transform(l, lambda x: {_STRIPPED.format("x || '?'")}) END AS q FROM l)
+SELECT conv_id, turn, CAST(len(q) AS INT) AS n, md5(array_to_string(q, '|')) AS questions_md5 FROM q""",
+    "markdown_sections": f"""WITH raw AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS i FROM documents),
+lines AS (SELECT doc_id, i, CASE WHEN i % 17 = 3 THEN '```' WHEN i % 5 = 0 THEN repeat('#', CAST((i // 5) % 4 + 1 AS INT)) || chr(160) || x ELSE x END AS line FROM raw),
+fenced AS (SELECT *, CAST(regexp_matches(line, '^\\s*(```|~~~)') AS INT) AS fence FROM lines),
+inside AS (SELECT *, sum(fence) OVER w % 2 AS parity FROM fenced WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+heads AS (SELECT *, CASE WHEN fence = 0 AND parity = 0 AND regexp_matches(line, {_HEADING}) THEN {{'l': len(regexp_extract(line, {_HEADING}, 1)), 't': regexp_extract(line, {_HEADING}, 2)}} END AS h FROM inside),
+seen AS (SELECT *, count(h) OVER w AS section, [{', '.join(f"last_value(CASE WHEN h.l <= {k} THEN h END IGNORE NULLS) OVER w" for k in range(1, 7))}] AS above FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+told AS (SELECT *, list_filter(list_transform(above, lambda a, k: CASE WHEN a.l = k THEN a.t END), lambda a: a IS NOT NULL)[1:4] AS path FROM seen),
+cut AS (SELECT doc_id, section, arg_max(path, i) AS path, {_STRIPPED.format("string_agg(CASE WHEN h IS NULL THEN line END, chr(10) ORDER BY i)")} AS text FROM told GROUP BY doc_id, section)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section) - 1 AS section_order, md5(array_to_string(path, ' > ')) AS path_md5, md5(text) AS text_md5 FROM cut WHERE text <> ''""",
     "pdf_body_size": f"WITH {_LINES} SELECT doc_id, body FROM bodies",
     "pdf_heading_levels": f"WITH {_LINES} SELECT doc_id, size, level FROM levels",
     "pdf_heading_decision": f"WITH {_LINES} SELECT doc_id, line_no, level FROM decided",

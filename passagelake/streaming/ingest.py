@@ -9,14 +9,15 @@ from pyspark.sql.streaming import StreamingQuery
 from ..conf import SETTINGS, Settings
 from ..operators.chunking import chunk_sections
 from ..sources.files import write_chunks
-from ..sources.markdown import sections
+from ..sources.markdown import FILES as MARKDOWN_FILES
+from ..sources.markdown import decoded, sections
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def markdown_chunks(files: DataFrame, owner: str, conf: Settings = SETTINGS) -> DataFrame:
     """Chunks of files (path, content) with owner_id."""
-    docs = files.select("path", F.decode("content", "UTF-8").alias("body"))
+    docs = files.select("path", decoded(F.col("content")).alias("body"))
     found = sections(docs).select(F.md5("path").alias("document_id"), "section_order", "heading_path", "text", F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"))
     return chunk_sections(found, conf).withColumn("owner_id", F.lit(owner))
 
@@ -26,7 +27,7 @@ def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str
 
     A batch that is run again replaces the same partitions. Without multi-table commits, readers may see chunks of a document that isn't ready yet.
     """
-    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.{md,markdown}").load(source)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", MARKDOWN_FILES).load(source)
 
     def store(batch: DataFrame, number: int) -> None:
         chunks = markdown_chunks(batch, owner, conf).persist()
