@@ -42,6 +42,12 @@ def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.candi
     return top_per_question(scored, [F.desc("similarity"), F.col("chunk_id")], k)
 
 
+def words_of(analyzer: Callable[[Column], Column] | None = None) -> Column:
+    """The terms of a chunk, its headings first."""
+    found = tx.terms(F.concat_ws(" ", F.nullif("heading_path", F.lit("")), "text"))
+    return analyzer(found) if analyzer else found
+
+
 def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.candidates, analyzer: Callable[[Column], Column] | None = None) -> DataFrame:
     """question_id, chunk_id, score, rank: 0.1 for each position with a term of the question, over ln(1 + positions).
 
@@ -49,7 +55,7 @@ def lexical_topk(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.cand
     """
     analyse = analyzer or (lambda c: c)
     asked = small(questions.select("question_id", "owner_id", F.explode(F.array_distinct(analyse(tx.query_terms(F.col("text"))))).alias("term")))
-    words = chunks.select("chunk_id", "owner_id", analyse(tx.terms(F.concat_ws(" ", F.nullif("heading_path", F.lit("")), "text"))).alias("words"))
+    words = chunks.select("chunk_id", "owner_id", words_of(analyzer).alias("words"))
     placed = words.select("chunk_id", "owner_id", F.size("words").alias("n"), F.explode("words").alias("term"))
     matched = placed.join(asked, ["owner_id", "term"]).groupBy("question_id", "chunk_id", "n").agg(F.count(F.lit(1)).alias("m"))
     scored = matched.select("question_id", "chunk_id", (0.1 * F.col("m") / F.log(1.0 + F.col("n"))).alias("score"))
