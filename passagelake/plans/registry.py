@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import books, retrieval, texts
+from . import books, changes, retrieval, texts
 
-_PARTS = (retrieval, texts, books)
+_PARTS = (retrieval, texts, books, changes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
