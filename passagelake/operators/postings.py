@@ -20,8 +20,8 @@ from ..functions import text as tx
 from ..sources.shared import kept
 from .retrieval import small, top_per_question, words_of
 
-#: Chunks to a block, folders of terms, and the blocks of a question that are scored to find its threshold.
-BLOCK, BUCKETS, FIRST = 512, 64, 2
+#: Chunks to a block, blocks to a run, folders of terms, and the blocks of a question that are scored to find its threshold.
+BLOCK, RUN, BUCKETS, FIRST = 512, 8, 64, 2
 #: Sums of rounded bounds may fall short of the true one by less than this factor.
 SLACK = 1 + 1e-9
 LISTS = "owner_id string, term string, block long, best double, entries array<struct<chunk_id: string, document_id: string, m: long, n: long>>, segment int, bucket int"
@@ -44,26 +44,35 @@ def published(spark: SparkSession, path: str) -> list[Row]:
     return sorted((r for r in found if r["segment"] >= base), key=lambda r: r["segment"])
 
 
-def _counted(chunks: DataFrame, analyzer: Analyzer | None) -> DataFrame:
-    """owner_id, document_id, chunk_id, n (terms of the chunk), term and m (its places)."""
+def _placed(chunks: DataFrame, analyzer: Analyzer | None) -> tuple[DataFrame, DataFrame]:
+    """owner_id, document_id, chunk_id, size (a class of lengths), n (terms of the chunk), term and m for each place of a term; and owner_id and size of all chunks."""
     known = chunks.where(F.col("owner_id").isNotNull() & F.assert_true(F.col("chunk_id").isNotNull(), F.lit("a chunk without id")).isNull())
-    words = known.select("owner_id", F.col("document_id").cast("string").alias("document_id"), F.col("chunk_id").cast("string").alias("chunk_id"), words_of(analyzer).alias("words"))
-    each = words.select("owner_id", "document_id", "chunk_id", F.size("words").cast("long").alias("n"), F.explode("words").alias("term"))
-    return each.groupBy("owner_id", "document_id", "chunk_id", "n", "term").agg(F.count(F.lit(1)).alias("m"))
+    size = _length_class(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")
+    words = known.select("owner_id", F.col("document_id").cast("string").alias("document_id"), F.col("chunk_id").cast("string").alias("chunk_id"), size, words_of(analyzer).alias("words"))
+    each = words.select("owner_id", "document_id", "chunk_id", "size", F.size("words").cast("long").alias("n"), F.explode("words").alias("term"))
+    return each.withColumn("m", F.lit(1).cast("long")), known.select("owner_id", size)
 
 
-def _store(counted: DataFrame, path: str, segment: int, base: int, buckets: int, block: int) -> None:
-    """Write and publish a segment. A chunk's place among those of its length is by hash, so no task sorts a tenant's chunks and blocks are of about one size."""
-    spark, counted = counted.sparkSession, kept(counted, "postings")
-    lengths = counted.select("owner_id", "chunk_id", "n").distinct().groupBy("owner_id", "n").agg(F.count(F.lit(1)).alias("alike"))
-    before = F.expr("sum(alike) over (partition by owner_id order by n rows between unbounded preceding and 1 preceding)")  # a row a length
-    starts = small(lengths.select("owner_id", "n", "alike", F.coalesce(before, F.lit(0)).alias("start")))
+def _length_class(length: Column) -> Column:
+    """Classes a sixteenth of a logarithm wide, of which there are some hundreds at most."""
+    return F.floor(F.log(1.0 + length) * 16).cast("int")
+
+
+def _store(placed: DataFrame, sizes: DataFrame, path: str, segment: int, base: int, buckets: int, block: int) -> None:
+    """Write and publish a segment. A chunk's place among those of its length is by hash, so no task sorts a tenant's chunks and blocks are of about one size.
+
+    Rows are dealt once, by bucket and run of blocks, which a frequent term spreads over; both sums follow within their tasks.
+    """
+    spark, keys = placed.sparkSession, ["bucket", "run", "owner_id", "term", "block"]
+    before = F.expr("sum(alike) over (partition by owner_id order by size rows between unbounded preceding and 1 preceding)")  # a row a class
+    lengths = sizes.groupBy("owner_id", "size").agg(F.count(F.lit(1)).alias("alike"))
+    starts = small(kept(lengths.select("owner_id", "size", "alike", F.coalesce(before, F.lit(0)).alias("start")), "lengths"))
     place = F.col("start") + F.pmod(F.xxhash64("chunk_id"), F.col("alike"))
-    dealt = counted.join(starts, ["owner_id", "n"]).withColumn("block", F.floor(place / block))
+    dealt = placed.join(starts, ["owner_id", "size"]).withColumns({"bucket": _bucket(buckets), "block": F.floor(place / block)}).withColumn("run", F.floor(F.col("block") / RUN))
+    counted = dealt.select(*keys, "chunk_id", "document_id", "n", "m").repartition("bucket", "run").groupBy(*keys, "chunk_id", "document_id", "n").agg(F.sum("m").alias("m"))
     entry = F.struct("chunk_id", "document_id", "m", "n")
-    lists = dealt.groupBy("owner_id", "term", "block").agg(F.max(score_of(F.col("m"), F.col("n"))).alias("best"), F.collect_list(entry).alias("entries")).withColumn("bucket", _bucket(buckets))
-    keys = ["bucket", "owner_id", "term", "block"]  # a range, so that a frequent term's blocks fall into several files
-    lists.repartitionByRange(*keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists/segment={segment}")
+    lists = counted.groupBy(*keys).agg(F.max(score_of(F.col("m"), F.col("n"))).alias("best"), F.collect_list(entry).alias("entries")).drop("run")
+    lists.sortWithinPartitions("bucket", "owner_id", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists/segment={segment}")
     spark.createDataFrame([(base, buckets)], "base int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/published/segment={segment}")
 
 
@@ -72,7 +81,7 @@ def build_postings(chunks: DataFrame, path: str, analyzer: Analyzer | None = Non
 
     A chunk_id stands for one row of its tenant. Rows without tenant, which no question finds, and those without terms leave nothing; a null chunk_id is an error. No rows give an empty index.
     """
-    _store(_counted(chunks, analyzer), path, 0, 0, buckets, block)
+    _store(*_placed(chunks, analyzer), path, 0, 0, buckets, block)
 
 
 def update_documents(chunks: DataFrame, documents: DataFrame, path: str, analyzer: Analyzer | None = None, block: int = BLOCK) -> None:
@@ -81,7 +90,7 @@ def update_documents(chunks: DataFrame, documents: DataFrame, path: str, analyze
     segment = last["segment"] + 1
     named = documents.select("owner_id", F.col("document_id").cast("string").alias("document_id")).distinct()
     named.write.mode("overwrite").parquet(f"{path}/dropped/segment={segment}")
-    _store(_counted(chunks, analyzer), path, segment, last["base"], last["buckets"], block)
+    _store(*_placed(chunks, analyzer), path, segment, last["base"], last["buckets"], block)
 
 
 def merge_segments(spark: SparkSession, path: str, block: int = BLOCK) -> None:
@@ -89,7 +98,8 @@ def merge_segments(spark: SparkSession, path: str, block: int = BLOCK) -> None:
     segments = published(spark, path)
     live = _live(_lists(spark, path, segments).select("owner_id", "segment", "term", F.inline("entries")), path, segments)
     segment = segments[-1]["segment"] + 1
-    _store(live.select("owner_id", "document_id", "chunk_id", "n", "term", "m"), path, segment, segment, segments[-1]["buckets"], block)
+    sized = live.select("owner_id", "document_id", "chunk_id", "n", "term", "m", _length_class(F.col("n")).alias("size"))
+    _store(sized, sized.select("owner_id", "chunk_id", "size").distinct(), path, segment, segment, segments[-1]["buckets"], block)
 
 
 def _lists(spark: SparkSession, path: str, segments: list[Row]) -> DataFrame:
