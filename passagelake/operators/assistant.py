@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..conf import SETTINGS, Settings
 from ..functions import text as tx
+from ..sources.shared import kept
 from . import answers, models
 from . import retrieval as r
 
@@ -22,10 +23,13 @@ class Models:
 
 
 def context_of(questions: DataFrame, chunks: DataFrame, used: Models, conf: Settings = SETTINGS) -> DataFrame:
-    """The context of each question: question_id, marker and the chunk's columns. questions: question_id, owner_id, text; chunks have an embedding."""
-    asked = questions.withColumn("embedding", models.embed(F.col("text"), used.embedder, query=True))
+    """The context of each question: question_id, marker and the chunk's columns. questions: question_id, owner_id, text; chunks have an embedding.
+
+    The questions' vectors and the shortlist are written, so that models and searches run once and texts are joined to a table of known size.
+    """
+    asked = kept(questions.withColumn("embedding", models.embed(F.col("text"), used.embedder, query=True)), "asked")
     fused = r.rrf_fusion(r.vector_topk(asked, chunks, conf.candidates), r.lexical_topk(asked, chunks, conf.candidates), conf)
-    found = r.hydrate(fused.where(F.col("position") <= conf.shortlist), asked, chunks)
+    found = r.hydrate(r.small(kept(fused.where(F.col("position") <= conf.shortlist), "shortlist")), asked, chunks)
     if used.scorer:
         words = questions.select("question_id", F.col("text").alias("question"))
         scored = found.join(words, "question_id").withColumn("rerank_score", models.score_pairs(F.col("question"), F.col("text"), used.scorer)).drop("question")

@@ -59,11 +59,11 @@ class OverlapScorer:
 
 
 class ExtractiveGenerator:
-    """A stand-in: the first sentence of the first source, cited."""
+    """A stand-in: the first sentence of the first source, cited; where no sentence ends, that source's text."""
 
     def complete(self, prompt: str) -> str:
-        found = re.search(r"\[1\] [^\n]*\n(.*?[.!?])(?:\s|$)", prompt, re.S)
-        return f"{found[1].strip()} [1]" if found else ""
+        found = re.search(r"\[1\] [^\n]*\n(.*?[.!?])(?:\s|$)", prompt, re.S) or re.search(r"\[1\] [^\n]*\n(.*?)(?:\n\n|$)", prompt, re.S)
+        return f"{found[1].strip()} [1]".strip() if found else ""
 
 
 def embed(text: Column, make: Callable[[], Embedder], query: bool = False) -> Column:

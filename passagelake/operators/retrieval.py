@@ -72,9 +72,9 @@ def rrf_fusion(dense: DataFrame, lexical: DataFrame, conf: Settings = SETTINGS)
 
 
 def hydrate(shortlist: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Join texts to the shortlist, checking the tenant once more. Ids that aren't there are dropped."""
-    owned = shortlist.join(questions.select("question_id", "owner_id"), "question_id")
-    return owned.join(chunks.select("chunk_id", "owner_id", "document_id", "chunk_index", "title", "heading_path", "text"), ["chunk_id", "owner_id"])
+    """Join texts to the shortlist, checking the tenant once more. Ids that aren't there are dropped. A shortlist marked for broadcast leaves texts where they are."""
+    texts = chunks.select("chunk_id", "owner_id", "document_id", "chunk_index", "title", "heading_path", "text").join(shortlist, "chunk_id")
+    return texts.join(questions.select("question_id", "owner_id"), ["question_id", "owner_id"])
 
 
 def overlap_score(question: Column, passage: Column) -> Column:

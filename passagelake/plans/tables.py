@@ -12,14 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks: language is the tenant, source the document; the embedding is null where there is none."""
-    d = table(spark, sf_dir, "documents").select(
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks without embeddings: language is the tenant, source the document."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("owner_id"), F.col("source").alias("document_id"),
-        F.col("doc_id").alias("chunk_index"), F.col("source").alias("title"), F.lit("").alias("heading_path"), "text", "doc_id",
+        F.col("doc_id").alias("chunk_index"), F.col("source").alias("title"), F.lit("").alias("heading_path"), "text",
     )
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return d.join(e, "doc_id", "left").drop("doc_id")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as chunks; the embedding is null where there is none."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_index"), "embedding", "label")
+    return texts(spark, sf_dir).join(e, "chunk_index", "left")
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:

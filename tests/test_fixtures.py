@@ -279,3 +279,19 @@ def test_lengths_of_inputs_and_reference_answers(spark):
     answers = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", ""), ("c", None)], "k string, r string")
     assert {r["k"]: r["referenced"] for r in ev.all_referenced(answers, "r", "k").collect()} == {"a": True, "b": False, "c": False}
     assert ev.all_referenced(answers.where("false"), "r").collect()[0]["referenced"] is True
+
+
+def test_answers_of_texts_without_sentences(spark):
+    from passagelake.operators import models
+
+    write = models.ExtractiveGenerator().complete
+    assert write("CONTEXT:\n[1] t\nOne. Two.\n\n[2] u\nx") == "One. [1]"
+    assert write("CONTEXT:\n[1] t\nno end here\n\n[2] u\nnor here\n\nQUESTION:\nwhat") == "no end here [1]"
+    assert write("CONTEXT:\n[1] t\n   \n\nQUESTION:\nwhat") == "[1]"
+
+
+def test_records_run_models_and_searches_once(spark, sf):
+    from passagelake.plans import texts
+
+    plan = texts.answer_records(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Generate" not in plan and "documents.parquet" not in plan
