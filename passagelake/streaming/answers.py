@@ -7,13 +7,13 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 
 SHOWN = "stream_id string, seq bigint, kind string, text string, grounded boolean, citations string"
 STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -36,92 +36,79 @@ def cited(text: str, sources: list) -> list:
     return [at[m] for m in markers if m in at]
 
 
-class Assembly(StatefulProcessor):
-    """State of a stream: the next seq, the frames that came before their turn, and the pieces so far, which are read once, at the end."""
+SHOWN_COLUMNS = ["stream_id", "seq", "kind", "text", "grounded", "citations"]
+#: The next seq, the frames that came before their turn (a JSON object by seq) and the least of their numbers, the text so far, and what meta and the end told.
+STATE = "next long, early string, least long, said string, ended boolean, grounded boolean, sources string, due long"
 
-    def __init__(self, patience: int) -> None:
-        self.patience = patience * 1000
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.head = handle.getValueState("head", "next long, early long, ended boolean, grounded boolean, sources string, timer long")
-        self.early = handle.getMapState("early", "seq long", "event string, data string")
-        self.said = handle.getListState("said", "text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, early, ended, grounded, sources, timer = self.head.get() if self.head.exists() else (0, 0, False, False, None, 0)
+def _assembly(patience: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, held, least, said, ended, grounded, sources, due = state.get if state.exists else (0, None, None, "", False, False, None, 0)
+        if state.hasTimedOut:
+            state.remove()
+            if not ended:
+                yield pd.DataFrame([(key[0], at, "cut off", None, None, None)], columns=SHOWN_COLUMNS, dtype=object)
+            return
+        new: dict[int, tuple[str | None, str | None]] = {}
         last = 0
         for frames in rows:
             last = max(last, int(frames["at"].max().timestamp() * 1000))
-            if ended:
-                continue
-            new: dict[int, tuple[str, str]] = {}
-            for seq, event, data in zip(frames["seq"].tolist(), frames["event"].tolist(), frames["data"].tolist()):
-                if seq >= at:
-                    new.setdefault(seq, (event, data))
-            shown, pieces = [], []
-            while not ended:
-                kept = self.early.getValue((at,)) if early and self.early.containsKey((at,)) else None
-                if kept is not None:
-                    self.early.removeKey((at,))
-                    early -= 1
-                found = kept or new.get(at)
-                new.pop(at, None)
-                if found is None:
-                    break
-                event, body = found[0], _object(found[1])
-                if event == "meta":
-                    grounded, sources = bool(body.get("grounded")), json.dumps(body.get("sources") or [])
-                elif event == "token" and isinstance(body.get("text"), str):
-                    pieces.append((body["text"],))
-                    shown.append((key[0], at, "token", body["text"], None, None))
-                elif event == "error":
-                    ended = True
-                    shown.append((key[0], at, "error", body.get("detail") and str(body["detail"]), None, None))
-                elif event == "done":
-                    ended = True
-                    text = "".join(t for (t,) in [*self.said.get(), *pieces]).strip()
-                    shown.append((key[0], at, "answer", text, grounded, json.dumps(cited(text, json.loads(sources or "[]")) if grounded else [])))
-                at += 1
-            if ended:
-                self.early.clear()
-                self.said.clear()
-                early, sources = 0, None
-            else:
-                if pieces:
-                    self.said.appendList(pieces)
-                for seq, frame in new.items():
-                    if not (early and self.early.containsKey((seq,))):
-                        self.early.updateValue((seq,), frame)
-                        early += 1
-            if shown:
-                yield pd.DataFrame(shown, columns=["stream_id", "seq", "kind", "text", "grounded", "citations"], dtype=object)
-        due = max(last + self.patience, timerValues.getCurrentWatermarkInMs() + 1)
-        if due > timer:
-            if timer:
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(due)
-        self.head.update((at, early, ended, grounded, sources, max(due, timer)))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at, _, ended, *_ = self.head.get()
-        for state in (self.head, self.early, self.said):
-            state.clear()
-        yield pd.DataFrame([] if ended else [(key[0], at, "cut off", None, None, None)], columns=["stream_id", "seq", "kind", "text", "grounded", "citations"], dtype=object)
-
-    def close(self) -> None:
-        pass
+            if not ended:
+                for seq, event, data in zip(frames["seq"].tolist(), frames["event"].tolist(), frames["data"].tolist()):
+                    if seq >= at:
+                        new.setdefault(seq, (event, data))
+        early = {}
+        if not ended and held is not None and (least == at or at in new):  # else nothing can be shown, or what was held stays as it is
+            early = {int(seq): tuple(frame) for seq, frame in json.loads(held).items()}
+            held = None
+        waiting = new | early  # of frames with one seq the first stays
+        shown, pieces = [], [said]
+        while not ended and at in waiting:
+            event, data = waiting.pop(at)
+            body = _object(data)
+            if event == "meta":
+                grounded, sources = bool(body.get("grounded")), json.dumps(body.get("sources") or [])
+            elif event == "token" and isinstance(body.get("text"), str):
+                pieces.append(body["text"])
+                shown.append((key[0], at, "token", body["text"], None, None))
+            elif event == "error":
+                ended = True
+                shown.append((key[0], at, "error", body.get("detail") and str(body["detail"]), None, None))
+            elif event == "done":
+                ended = True
+                text = "".join(pieces).strip()
+                shown.append((key[0], at, "answer", text, grounded, json.dumps(cited(text, json.loads(sources or "[]")) if grounded else [])))
+            at += 1
+        if ended:
+            held, least, said, sources = None, None, "", None
+        else:
+            said = "".join(pieces)
+            if waiting:
+                if held is not None:
+                    waiting |= {int(seq): tuple(frame) for seq, frame in json.loads(held).items()}
+                held, least = json.dumps(waiting), min(waiting)
+            elif held is None:
+                least = None
+        due = max(due, last + patience * 1000, state.getCurrentWatermarkMs() + 1)
+        state.update((at, held, least, said, ended, grounded, sources, due))
+        state.setTimeoutTimestamp(due)
+        if shown:
+            yield pd.DataFrame(shown, columns=SHOWN_COLUMNS, dtype=object)
+
+    return run
 
 
 def assembled(frames: DataFrame, patience: int = PATIENCE) -> DataFrame:
     """stream_id, seq, kind, text, grounded and citations, as frames come: tokens in order, each once, then answer, error, or cut off.
 
     Of frames with one seq the first stays; those after the end, and rows without stream_id, seq or time, count for nothing. Data that isn't a JSON object has no text and no sources. Frames
-    that are ``patience`` seconds of event time late are dropped, and a stream without frames for so long is given up; its answer is never given in part. Start it with the RocksDB state store.
+    that are ``patience`` seconds of event time late are dropped, and a stream without frames for so long is given up; its answer is never given in part.
+
+    The state of a stream is handed over with its frames and written back whole: no call a frame, and work by the size of an answer for each batch that has frames of it.
     """
     known = frames.where("stream_id is not null and seq >= 0 and at is not null").select("stream_id", F.col("seq").cast("long").alias("seq"), "event", "data", "at")
     timed = known.withWatermark("at", f"{patience} seconds").groupBy("stream_id")
-    return timed.transformWithStateInPandas(Assembly(patience), SHOWN, "append", "eventTime")
+    return timed.applyInPandasWithState(_assembly(patience), SHOWN, STATE, "append", "EventTimeTimeout")
 
 
 def store_answers(frames: DataFrame, target: str, checkpoint: str, patience: int = PATIENCE) -> StreamingQuery:

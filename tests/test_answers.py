@@ -61,3 +61,12 @@ def test_only_whole_answers_are_stored(spark, tmp_path):
     for r in shown:
         kinds.setdefault(r["stream_id"], []).append(r["kind"])
     assert kinds["failed"] == ["token", "error"] and kinds["lost"] == ["token", "cut off"] and kinds["open"] == ["token", "cut off"]
+
+
+def test_state_comes_with_the_frames_and_the_first_frame_stays(spark, tmp_path):
+    frames = frames_of("s", ["a", "b", "c"])
+    again = [(n, i, e, d.replace("b", "x").replace("c", "y"), at) for n, i, e, d, at in frames if e == "token"]
+    messages, shown = run(spark, tmp_path, [frames[3:4], frames[4:], again[2:], frames[2:3], again[1:2], frames[:1], frames[1:2]])
+    assert messages["s"]["content"] == "abc" and [r["text"] for r in shown] == ["a", "b", "c", "abc"]
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in" / "*"))
+    assert "FlatMapGroupsInPandasWithState" in answers.assembled(stream)._jdf.queryExecution().analyzed().toString()  # no call of the state store for each frame
