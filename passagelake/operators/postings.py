@@ -20,8 +20,10 @@ from ..functions import text as tx
 from ..sources.shared import kept
 from .retrieval import small, top_per_question, words_of
 
-#: Chunks to a block, blocks to a run, folders of terms, and the blocks of a question that are scored to find its threshold.
-BLOCK, RUN, BUCKETS, FIRST = 512, 8, 64, 2
+#: Chunks to a block, blocks to a run of files and to a task that counts terms, folders of terms, and the blocks of a question that are scored to find its threshold.
+BLOCK, RUN, PACK, BUCKETS, FIRST = 512, 8, 4, 64, 2
+#: Names of blocks (three numbers) up to this number are broadcast.
+BLOCK_ROWS = 1_000_000
 #: Sums of rounded bounds may fall short of the true one by less than this factor.
 SLACK = 1 + 1e-9
 LISTS = "owner_id string, term string, block long, best double, entries array<struct<chunk_id: string, document_id: string, m: long, n: long>>, segment int, bucket int"
@@ -44,13 +46,22 @@ def published(spark: SparkSession, path: str) -> list[Row]:
     return sorted((r for r in found if r["segment"] >= base), key=lambda r: r["segment"])
 
 
-def _placed(chunks: DataFrame, analyzer: Analyzer | None) -> tuple[DataFrame, DataFrame]:
-    """owner_id, document_id, chunk_id, size (a class of lengths), n (terms of the chunk), term and m for each place of a term; and owner_id and size of all chunks."""
+def _placed(chunks: DataFrame) -> DataFrame:
+    """owner_id, document_id, chunk_id, size (a class of lengths), heading_path and text of all chunks."""
     known = chunks.where(F.col("owner_id").isNotNull() & F.assert_true(F.col("chunk_id").isNotNull(), F.lit("a chunk without id")).isNull())
     size = _length_class(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size")
-    words = known.select("owner_id", F.col("document_id").cast("string").alias("document_id"), F.col("chunk_id").cast("string").alias("chunk_id"), size, words_of(analyzer).alias("words"))
-    each = words.select("owner_id", "document_id", "chunk_id", "size", F.size("words").cast("long").alias("n"), F.explode("words").alias("term"))
-    return each.withColumn("m", F.lit(1).cast("long")), known.select("owner_id", size)
+    return known.select("owner_id", F.col("document_id").cast("string").alias("document_id"), F.col("chunk_id").cast("string").alias("chunk_id"), size, "heading_path", "text")
+
+
+def _counted(analyzer: Analyzer | None) -> Callable[[DataFrame], DataFrame]:
+    """n (terms of the chunk), term and m (its places) of chunks, each of which is in one task with its block."""
+
+    def run(dealt: DataFrame) -> DataFrame:
+        words = dealt.select("owner_id", "block", "chunk_id", "document_id", words_of(analyzer).alias("words"))
+        each = words.select("owner_id", "block", "chunk_id", "document_id", F.size("words").cast("long").alias("n"), F.explode("words").alias("term"))
+        return each.groupBy(*each.columns).agg(F.count(F.lit(1)).alias("m"))
+
+    return run
 
 
 def _length_class(length: Column) -> Column:
@@ -58,30 +69,37 @@ def _length_class(length: Column) -> Column:
     return F.floor(F.log(1.0 + length) * 16).cast("int")
 
 
-def _store(placed: DataFrame, sizes: DataFrame, path: str, segment: int, base: int, buckets: int, block: int) -> None:
+def _store(placed: DataFrame, sizes: DataFrame, unfold: Callable[[DataFrame], DataFrame], path: str, segment: int, base: int, buckets: int, block: int) -> None:
     """Write and publish a segment. A chunk's place among those of its length is by hash, so no task sorts a tenant's chunks and blocks are of about one size.
 
-    Rows are dealt once, by bucket and run of blocks, which a frequent term spreads over; both sums follow within their tasks.
+    Rows are dealt by block, in tasks of some ``PACK`` blocks, and unfolded to terms only there; what is dealt once more, by bucket and run of blocks for the files, are the finished lists.
     """
-    spark, keys = placed.sparkSession, ["bucket", "run", "owner_id", "term", "block"]
+    spark, keys = placed.sparkSession, ["bucket", "owner_id", "term", "block"]
     before = F.expr("sum(alike) over (partition by owner_id order by size rows between unbounded preceding and 1 preceding)")  # a row a class
     lengths = sizes.groupBy("owner_id", "size").agg(F.count(F.lit(1)).alias("alike"))
-    starts = small(kept(lengths.select("owner_id", "size", "alike", F.coalesce(before, F.lit(0)).alias("start")), "lengths"))
+    starts = kept(lengths.select("owner_id", "size", "alike", F.coalesce(before, F.lit(0)).alias("start")), "lengths")
+    tasks = -(-(starts.agg(F.sum("alike")).first()[0] or 1) // (block * PACK))
     place = F.col("start") + F.pmod(F.xxhash64("chunk_id"), F.col("alike"))
-    dealt = placed.join(starts, ["owner_id", "size"]).withColumns({"bucket": _bucket(buckets), "block": F.floor(place / block)}).withColumn("run", F.floor(F.col("block") / RUN))
-    counted = dealt.select(*keys, "chunk_id", "document_id", "n", "m").repartition("bucket", "run").groupBy(*keys, "chunk_id", "document_id", "n").agg(F.sum("m").alias("m"))
+    dealt = placed.join(small(starts), ["owner_id", "size"]).withColumn("block", F.floor(place / block)).drop("size", "start", "alike").repartition(tasks, "owner_id", "block")
+    counted = unfold(dealt).withColumn("bucket", _bucket(buckets))
     entry = F.struct("chunk_id", "document_id", "m", "n")
-    lists = counted.groupBy(*keys).agg(F.max(score_of(F.col("m"), F.col("n"))).alias("best"), F.collect_list(entry).alias("entries")).drop("run")
-    lists.sortWithinPartitions("bucket", "owner_id", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists/segment={segment}")
+    lists = counted.groupBy(*keys).agg(F.max(score_of(F.col("m"), F.col("n"))).alias("best"), F.collect_list(entry).alias("entries"))
+    filed = lists.repartition("bucket", F.floor(F.col("block") / RUN))
+    filed.sortWithinPartitions("bucket", "owner_id", "term", "block").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/lists/segment={segment}")
     spark.createDataFrame([(base, buckets)], "base int, buckets int").coalesce(1).write.mode("overwrite").parquet(f"{path}/published/segment={segment}")
 
 
+def _store_chunks(chunks: DataFrame, analyzer: Analyzer | None, path: str, segment: int, base: int, buckets: int, block: int) -> None:
+    placed = _placed(chunks)
+    _store(placed, placed, _counted(analyzer), path, segment, base, buckets, block)
+
+
 def build_postings(chunks: DataFrame, path: str, analyzer: Analyzer | None = None, buckets: int = BUCKETS, block: int = BLOCK) -> None:
     """Index chunks (chunk_id, owner_id, document_id, heading_path, text) into a new folder.
 
     A chunk_id stands for one row of its tenant. Rows without tenant, which no question finds, and those without terms leave nothing; a null chunk_id is an error. No rows give an empty index.
     """
-    _store(*_placed(chunks, analyzer), path, 0, 0, buckets, block)
+    _store_chunks(chunks, analyzer, path, 0, 0, buckets, block)
 
 
 def update_documents(chunks: DataFrame, documents: DataFrame, path: str, analyzer: Analyzer | None = None, block: int = BLOCK) -> None:
@@ -90,7 +108,7 @@ def update_documents(chunks: DataFrame, documents: DataFrame, path: str, analyze
     segment = last["segment"] + 1
     named = documents.select("owner_id", F.col("document_id").cast("string").alias("document_id")).distinct()
     named.write.mode("overwrite").parquet(f"{path}/dropped/segment={segment}")
-    _store(*_placed(chunks, analyzer), path, segment, last["base"], last["buckets"], block)
+    _store_chunks(chunks, analyzer, path, segment, last["base"], last["buckets"], block)
 
 
 def merge_segments(spark: SparkSession, path: str, block: int = BLOCK) -> None:
@@ -99,7 +117,7 @@ def merge_segments(spark: SparkSession, path: str, block: int = BLOCK) -> None:
     live = _live(_lists(spark, path, segments).select("owner_id", "segment", "term", F.inline("entries")), path, segments)
     segment = segments[-1]["segment"] + 1
     sized = live.select("owner_id", "document_id", "chunk_id", "n", "term", "m", _length_class(F.col("n")).alias("size"))
-    _store(sized, sized.select("owner_id", "chunk_id", "size").distinct(), path, segment, segment, segments[-1]["buckets"], block)
+    _store(sized, sized.select("owner_id", "chunk_id", "size").distinct(), lambda dealt: dealt, path, segment, segment, segments[-1]["buckets"], block)
 
 
 def _lists(spark: SparkSession, path: str, segments: list[Row]) -> DataFrame:
@@ -134,8 +152,11 @@ class Search:
 
     def scores(self, blocks: DataFrame) -> DataFrame:
         """question_id, chunk_id and score of all chunks of these blocks (question_id, segment, block) with a term of the question."""
-        wanted = small(self.asked.join(blocks.select("question_id", "segment", "block"), "question_id"))
-        met = self.lists.drop("best").join(wanted, ["owner_id", "bucket", "term", "segment", "block"]).select("question_id", "owner_id", "segment", F.inline("entries"))
+        named, terms, at = blocks.select("question_id", "segment", "block"), ["owner_id", "bucket", "term"], ["segment", "block"]
+        told, lists = small(named, BLOCK_ROWS), self.lists.drop("best")
+        # Lists stay where they are while the names of the blocks can be sent to them, which have no terms and so are far fewer than the rows wanted.
+        found = lists.join(small(self.asked.join(named, "question_id")), [*terms, *at]) if told is named else lists.join(self.asked, terms).join(told, ["question_id", *at])
+        met = found.select("question_id", "owner_id", "segment", F.inline("entries"))
         total = _live(met, self.path, self.segments).groupBy("question_id", "chunk_id", "n").agg(F.sum("m").alias("m"))
         return total.select("question_id", "chunk_id", score_of(F.col("m"), F.col("n")).alias("score"))
 

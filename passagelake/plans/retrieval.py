@@ -45,7 +45,7 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_topk_index(spark: SparkSession, d: str) -> DataFrame:
     """Lexical search by an index: built while the texts of half the sources are still their titles, updated by those documents, and searched."""
-    q, c = _both(spark, d)
+    q, c = t.questions(spark, d), t.texts(spark, d)
     path, late = shared_path(spark, "postings"), F.pmod(F.xxhash64("document_id"), F.lit(2)) == 0
     postings.build_postings(c.withColumn("text", F.when(late, F.col("title")).otherwise(F.col("text"))), path)
     changed = c.where(late)

@@ -84,3 +84,16 @@ def test_odd_tables(spark, tmp_path):
     assert rows(postings.lexical_topk_index(ask, str(tmp_path / "few"))) == rows(retrieval.lexical_topk(ask, few))
     with pytest.raises(Exception, match="without id"):
         postings.build_postings(spark.createDataFrame([(None, "a", "d", "", "x")], CHUNKS), str(tmp_path / "bad"))
+
+
+def test_chunks_are_dealt_whole_and_lists_once_more(spark, tmp_path, monkeypatch):
+    """What is shuffled to build is texts and finished lists: no row for a place or a term of a chunk goes through a shuffle."""
+    dealt = []
+    monkeypatch.setattr(postings, "_counted", lambda analyzer, real=postings._counted: lambda rows: dealt.append(rows) or real(analyzer)(rows))
+    chunks = spark.createDataFrame([(f"c{i}", "a", "d", "", "x y x z " * 50) for i in range(300)], CHUNKS)
+    postings.build_postings(chunks, str(tmp_path / "index"), buckets=2, block=16)
+    assert dealt[0].count() == 300 and "text" in dealt[0].columns and dealt[0].rdd.getNumPartitions() == 5
+    plan = postings._counted(None)(dealt[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # unfolded above the only exchange
+    lists = spark.read.parquet(str(tmp_path / "index/lists"))
+    assert lists.selectExpr("inline(entries)").agg(F.sum("m")).first()[0] == 300 * 200
