@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from ..conf import SETTINGS, Settings
 from ..functions.text import chunk_id, encode_path, sentence_units, word_count
 
 Counter = Callable[[str], int]
+#: Bytes of units that are packed at once.
+PART_BYTES = 2 << 20
 
 
 def words(text: str) -> int:
@@ -62,13 +66,24 @@ def pack(units: list[str], target: int, overlap: int, least: int, count: Counter
     return out
 
 
+def parts_of(batch: pa.RecordBatch, units: str, most: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows whose units have ``most`` bytes at most, or of one row, so that few rows are Python objects at once."""
+    column = batch.column(units)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column.values), 0).to_numpy(zero_copy_only=False))])[column.offsets.to_numpy()]
+    start = 0
+    while start < len(column):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def pack_units(rows: DataFrame, units: str = "units", conf: Settings = SETTINGS, count: Counter = words) -> DataFrame:
     """Replace the array of units by the array windows. Other columns pass through; a null or empty array gives none."""
     target, overlap, least = conf.chunk_target, conf.chunk_overlap, conf.chunk_min
     others = [f for f in rows.schema.fields if f.name != units]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole, units)):
             made = [pack(u or [], target, overlap, least, count) for u in batch.column(units).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in others), pa.array(made, pa.list_(pa.string()))], names=[*(f.name for f in others), "windows"])
 

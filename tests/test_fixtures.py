@@ -295,3 +295,14 @@ def test_records_run_models_and_searches_once(spark, sf):
 
     plan = texts.answer_records(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" not in plan and "Generate" not in plan and "documents.parquet" not in plan
+
+
+def test_units_are_packed_in_small_parts():
+    import pyarrow as pa
+
+    rows = [["ab"] * 3, None, [], ["abcdefgh" * 4], [None, "x"], *([["abcd"]] * 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows, pa.list_(pa.string()))], names=["i", "units"])
+    parts = list(ch.parts_of(batch, "units", 10))
+    assert [r for p in parts for r in p.column("units").to_pylist()] == rows and [i for p in parts for i in p.column("i").to_pylist()] == list(range(len(rows)))
+    assert all(p.num_rows == 1 or sum(len(u or "") for r in p.column("units").to_pylist() for u in r or []) <= 10 for p in parts)
+    assert len(parts) > 5 and list(ch.parts_of(batch.slice(0, 0), "units")) == []
