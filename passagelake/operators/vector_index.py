@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..conf import SETTINGS
 from ..functions import vectors as vec
+from ..sources.shared import kept
 from .retrieval import small, top_per_question
 
 ROUNDS = 6
@@ -73,7 +74,7 @@ def fit_centroids(units: DataFrame, size: int, rounds: int = ROUNDS) -> Centroid
     wanted = {o: max(1, int(w * scale)) for o, w in wanted.items()}
     told = units.sparkSession.createDataFrame([(o, n, wanted[o]) for o, n in owners.items()], "owner_id string, n long, lists int")
     drawn = units.join(told, "owner_id").withColumn("draw", F.pmod(F.xxhash64("chunk_id"), F.col("n")))
-    sample = drawn.where(F.col("draw") < SAMPLE_PER_LIST * F.col("lists")).select("owner_id", "unit")
+    sample = kept(drawn.where(F.col("draw") < SAMPLE_PER_LIST * F.col("lists")).select("owner_id", "unit"), "sample")
     starts: dict[str, list] = {}
     for r in drawn.where(F.col("draw") < 2 * F.col("lists") + 8).select("owner_id", "chunk_id", "unit").orderBy("owner_id", F.xxhash64("chunk_id", F.lit(1)), "chunk_id").collect():
         starts.setdefault(r["owner_id"], []).append(r["unit"])
@@ -88,7 +89,7 @@ def build_index(chunks: DataFrame, path: str, rounds: int = ROUNDS) -> None:
 
     Vectors have one length; those of another, and rows without id or tenant, are refused by an error when lists are written. No rows give an empty index.
     """
-    units = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "owner_id", vec.l2_normalised(F.col("embedding")).alias("unit"))
+    units = kept(chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "owner_id", vec.l2_normalised(F.col("embedding")).alias("unit")), "units")  # read by each of the passes below
     size = units.select(F.size("unit").alias("n")).agg(F.max("n")).first()[0] or 1
     fits = (F.size("unit") == size) & F.col("chunk_id").isNotNull() & F.col("owner_id").isNotNull()
     units = units.where(F.assert_true(fits, F.lit("a vector of another size, or a row without id or tenant")).isNull())

@@ -133,3 +133,11 @@ def test_questions_ids_and_addresses_with_odd_blanks(spark):
     assert one(tx.client_address(F.col("x"), F.lit("peer"), 2), *headers) == ["2.2.2.2", "2.2.2.2", "peer", "peer", "peer", "5.5.5.5"]
     ids = ("edge-7f3a91", "two\nlines", "a" * 65, "a" * 64, "  ", " ok.1:2_3 ", "semi;colon", "abc\n", "abc\r\n", "\tid\n\n", "a\n;")
     assert one(tx.valid_request_id(F.col("x")), *ids) == [True, False, False, True, False, True, False, True, True, True, False]
+
+
+def test_rounds_read_a_kept_sample(spark, tmp_path, monkeypatch):
+    plans, real = [], vector_index._round
+    monkeypatch.setattr(vector_index, "_round", lambda rows, *rest: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or real(rows, *rest))
+    chunks = spark.createDataFrame([(f"c{i}", "a", [float(i % 7 + 1), float(i % 5)]) for i in range(200)], "chunk_id string, owner_id string, embedding array<float>")
+    vector_index.build_index(chunks, str(tmp_path / "kept"))
+    assert len(plans) == vector_index.ROUNDS and all("Join" not in p and "transform" not in p and "sample-" in p for p in plans)
