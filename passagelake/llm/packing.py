@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -240,11 +241,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, text: str = "text", key: str
 
         for batch in batches:
             kinds = batch.schema.field(0).type
-            for doc, words in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = words.as_py() or ""
-                ids = np.append(bpe.encode(words), np.uint32(0)).astype("<u4")
-                prompt, line_end, _ = words.partition("\n")
-                lead = bpe.within(ids[:-1], len(prompt.encode("utf-8", "surrogatepass"))) if line_end else 0
+            line_ends = pc.find_substring(batch.column(1), "\n")  # in bytes
+            for doc, line_end, ids in zip(batch.column(0).to_pylist(), line_ends.to_pylist(), bpe.encode_all(batch.column(1))):
+                lead = bpe.within(ids, line_end) if line_end and line_end > 0 else 0
+                ids = np.append(ids, np.uint32(0)).astype("<u4")
                 bins.add(Piece(doc, 0, ids, len(ids), 1, lead, len(ids) - 1 - lead, len(ids)))
                 if len(bins.done) >= 4096:
                     yield rows()
@@ -300,9 +300,9 @@ def conversation_vectors(turns: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(tokenizer).encode
+        bpe = byte_bpe(tokenizer)
         for batch in batches:
-            n = [len(encode(x or "")) + 1 for x in batch.column(2).to_pylist()]
+            n = [len(ids) + 1 for ids in bpe.encode_all(batch.column(2))]
             loss = [k if r == "assistant" else 0 for k, r in zip(n, batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], names=["key", "tokens", "loss"])
 

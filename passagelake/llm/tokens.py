@@ -7,14 +7,25 @@ import json
 import os
 import re
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import slices
 
 #: How this kind of tokenizer cuts a text before merging (fixed value of the format).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MOST_CACHED = 400_000
 #: A space between white space, where runs of it would be cut.
 AWKWARD = re.compile(r"\s (?:\s|\Z)|  ").search
+#: UTF-8 of texts that are encoded at once, unless one text is longer.
+BYTES_AT_ONCE = 8 << 20
+#: Bytes that letters' tables of all versions agree on: printed ASCII, the line end, and letters and signs up to U+027F but for U+0080 to U+00BF.
+SETTLED = np.isin(np.arange(256), [10, *range(33, 127), *range(0x80, 0xC0), *range(0xC3, 0xCA)])
+#: Chunks beyond this many bytes are cut by themselves.
+LONG_CHUNK = 256
 
 
 def byte_letters() -> dict[str, int]:
@@ -24,6 +35,10 @@ def byte_letters() -> dict[str, int]:
     return {chr(b if b in shown else next(hidden)): b for b in range(256)}
 
 
+def _end_to_end(texts: pa.Array, between: str) -> pa.Scalar:
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts), pa.scalar(between, texts.type))[0]
+
+
 class ByteBpe:
     """encode(text) gives the ids that the tokenizer gives with add_special_tokens=False.
 
@@ -54,7 +69,8 @@ class ByteBpe:
         self.chunks: dict[str, bytes] = {}
         if plain:
             ranks = {bytes(letters[c] for c in word): i for word, i in vocabulary.items() if word not in self.special}
-            self.merge = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+            self.encoding = tiktoken.Encoding("file", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+            self.merge = self.encoding._encode_single_piece
 
     @functools.cached_property
     def tokenizer(self):
@@ -75,9 +91,68 @@ class ByteBpe:
         first, *rest = text.split(" ")
         return np.frombuffer(self._joined(self.pieces(first)) + self._spaced(rest), dtype="<u4")
 
+    def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text; a null one has none. BYTES_AT_ONCE are held at once, or the longest text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        for start, end in slices(pc.binary_length(texts).to_pylist(), BYTES_AT_ONCE):
+            yield from self._encode_some(texts.slice(start, end - start))
+
+    def _encode_some(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Each distinct chunk between spaces is encoded once; a text's ids are then taken by the numbers of its chunks."""
+        if self.pieces is None:
+            yield from map(self.encode, texts.to_pylist())
+            return
+        split = pc.split_pattern(texts, " ")
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()
+        found = split.flatten().dictionary_encode()
+        numbers = found.indices.to_numpy().astype(np.int64)
+        ids, starts, sizes, spaced = self._chunk_ids(found.dictionary)
+        firsts = found.dictionary.take(pa.array(numbers[edges[:-1]])).to_pylist()
+        alone = [self._joined(self.pieces(x)) for x in firsts]  # what no space stands before
+        of_alone = np.fromiter(map(len, alone), np.int64, len(alone)) // 4
+        starts = np.concatenate((starts, len(ids) + np.cumsum(of_alone) - of_alone))
+        ids, sizes = np.concatenate((ids, np.frombuffer(b"".join(alone), dtype="<u4"))), np.concatenate((sizes, of_alone))
+        apart = spaced[numbers]
+        numbers[edges[:-1]], apart[edges[:-1]] = len(spaced) + np.arange(len(alone)), False
+        apart = np.logical_or.reduceat(apart, edges[:-1])
+        for special in self.special:
+            apart |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
+        sizes = sizes[numbers]
+        ends = np.cumsum(sizes)
+        all_ids = ids[np.repeat(starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        begin = 0
+        for i, end in enumerate(ends[edges[1:] - 1].tolist()):
+            yield self.encode(texts[i].as_py()) if apart[i] else all_ids[begin:end]
+            begin = end
+
+    def _chunk_ids(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, where those of each chunk after a space begin among them, how many it has, and which chunks are empty or begin with white space: texts where such a one follows a space may be awkward."""
+        lengths = pc.binary_length(chunks).to_numpy()
+        data = np.frombuffer(_end_to_end(chunks, "").as_buffer(), np.uint8)
+        begins, held = np.cumsum(lengths) - lengths, np.flatnonzero(lengths)
+        settled, first = np.zeros(len(lengths), bool), np.zeros(len(lengths), np.uint8)
+        if len(held):
+            settled[held] = np.logical_and.reduceat(SETTLED[data], begins[held])
+            first[held] = data[begins[held]]
+            settled[held] &= (first[held] != 10) & (data[begins[held] + lengths[held] - 1] != 10) & (lengths[held] <= LONG_CHUNK)
+        odd = np.flatnonzero(~settled)
+        texts, spaced = chunks.take(pa.array(odd)).to_pylist(), np.zeros(len(lengths), bool)
+        spaced[odd] = [not x or x[0].isspace() for x in texts]
+        own = [self._spaced([x]) for x in texts]
+        # the others don't begin or end with white space, so that one text of them all is cut between them
+        plain = np.flatnonzero(settled)
+        together = _end_to_end(chunks.take(pa.array(plain)), " ").as_py()
+        ids = self.encoding.encode_to_numpy(f" {together}" if together else "", disallowed_special=()).astype("<u4")
+        cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(lengths[plain] + 1), side="right")
+        sizes, starts = np.empty_like(lengths), np.empty_like(lengths)
+        sizes[plain], sizes[odd] = np.diff(cuts, prepend=0), np.fromiter(map(len, own), np.int64, len(own)) // 4
+        order = np.concatenate((plain, odd))
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return np.concatenate((ids, np.frombuffer(b"".join(own), dtype="<u4"))), starts, sizes, spaced
+
     def within(self, ids: np.ndarray, size: int) -> int:
         """How many of the first ids lie in the first so many bytes of their text."""
-        return int(np.searchsorted(np.cumsum(self.lengths[ids]), size, side="right"))
+        return int(np.searchsorted(np.cumsum(self.lengths[ids[:size]]), size, side="right"))  # each has a byte at least
 
     def _joined(self, pieces: list[str]) -> bytes:
         known = self.cache
