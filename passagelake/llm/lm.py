@@ -15,18 +15,17 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes, written
+from .common import slices, text_bytes, written
 
 #: One more than the words that are classes of their own.
 CLASSES = 1024
@@ -48,49 +47,40 @@ RATE = 0.3
 GROUP_RATE = 0.3
 SEED = 42
 DICTIONARY = 200_000
-COUNTED_AT_ONCE = 400_000
+#: Bytes of texts that are cut into words at once, unless one text is longer.
+BYTES_AT_ONCE = 16 << 20
 TOKENS_AT_ONCE = 200_000
 ROWS_AT_ONCE = 20_000
 #: Contexts whose scores of all classes are held at once: few, so that these stay in a core's cache.
 CONTEXTS_AT_ONCE = 512
 #: Pairs of contexts whose normalisers are kept as a table.
 MOST_PAIRS = 9_000_000
-#: The closing token; no word is empty.
-END = b""
 #: Counts are put in steps of this many to a doubling to find where the dictionary ends.
 STEPS = 8
 
 
-def tokens_of(data: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z lower-cased, then the closing token."""
-    words = data.lower().split()
-    words.append(END)
-    return words
+def tokens_of(texts: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Words between ASCII white space, A-Z lower-cased, then the closing token, which is empty as no word is: those of some texts, and how many each text has."""
+    for start, end in slices(pc.binary_length(texts).to_pylist(), BYTES_AT_ONCE):
+        words = pc.ascii_trim_whitespace(pc.ascii_lower(texts.slice(start, end - start).view(pa.string())))
+        words = pc.if_else(pc.equal(pc.binary_length(words), 0), words, pc.binary_join_element_wise(words, "", " "))
+        words = pc.ascii_split_whitespace(words)  # a space at the end leaves an empty word
+        yield words.flatten(), pc.list_value_length(words).to_numpy().astype(np.int64)
 
 
-class Lookup(dict):
-    """Numbers of words; -1 for any other."""
-
-    def numbers(self, texts: Iterable[list[bytes]], n: int) -> np.ndarray:
-        """Of the n words of all texts."""
-        return np.fromiter(map(self.get, chain.from_iterable(texts), repeat(-1)), np.int32, n)
+def numbers_of(tokens: pa.Array, words: pa.Array) -> np.ndarray:
+    """Places of tokens among words; -1 for any other."""
+    return pc.fill_null(pc.index_in(tokens, value_set=words), -1).to_numpy()
 
 
 def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
     """token (binary) and c of all texts, as a table in the shared folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["token", "c"])
-
-        counts: Counter = Counter()
         for batch in batches:
-            for x in batch.column(0):
-                counts.update(tokens_of(x.as_py()))
-                if len(counts) > COUNTED_AT_ONCE:
-                    yield out()
-                    counts.clear()
-        yield out()
+            for tokens, _ in tokens_of(batch.column(0)):
+                counts = tokens.value_counts()
+                yield pa.RecordBatch.from_arrays([counts.field("values").view(pa.binary()), counts.field("counts")], names=["token", "c"])
 
     found = docs.select(text_bytes(F.col(text)).alias("text")).mapInArrow(count, "token binary, c bigint")
     return written(found.groupBy("token").agg(F.sum("c").alias("c")), "words")
@@ -120,6 +110,10 @@ class Vocabulary:
         """The class of all other words."""
         return self.classes - (self.classes - self.modelled) // GROUP
 
+    def numbered(self, most: int | None = None) -> pa.Array:
+        """The first words, in order, to look numbers up in."""
+        return pa.array(self.words[:most], pa.binary()).view(pa.string())
+
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         out = np.where(ids < self.classes, ids, self.classes + (ids - self.classes) // GROUP)
         out[(ids < 0) | (ids >= self.modelled)] = self.last
@@ -174,17 +168,17 @@ def vocabulary(counted: DataFrame, most: int = DICTIONARY) -> Vocabulary:
 
 
 class LogBilinear:
-    """Parameters as one vector: the classes' vectors as context and as target, their biases, a matrix for each place of the context, and the
-    vectors and biases of grouped words, which start at their shares."""
+    """Parameters as one vector: the classes' vectors as context, as target with their biases, a matrix for each place of the context, and the
+    vectors and biases of grouped words, which start at their shares. A bias is its row's last value, so that it takes part in products with rows that end in 1."""
 
     def __init__(self, shares: np.ndarray, grouped_shares: np.ndarray, seed: int = SEED) -> None:
         self.n = len(shares)  # classes; class n - 1 is all other words, context n stands before a text
         self.shares = shares
         words = len(grouped_shares)
-        self.shapes = [(self.n + 1, SIZE), (self.n, SIZE), (self.n,), (CONTEXT, SIZE, SIZE), (words, SIZE), (words,)]
+        self.shapes = [(self.n + 1, SIZE), (self.n, SIZE + 1), (CONTEXT, SIZE, SIZE), (words, SIZE + 1)]
         random = np.random.default_rng(seed)
-        start = [random.normal(0, 0.1, s) for s in self.shapes[:2]]
-        start += [np.log(shares), np.stack([np.eye(SIZE) / CONTEXT] * CONTEXT), np.zeros((words, SIZE)), np.log(grouped_shares)]
+        start = [random.normal(0, 0.1, (self.n + 1, SIZE)), np.column_stack((random.normal(0, 0.1, (self.n, SIZE)), np.log(shares)))]
+        start += [np.stack([np.eye(SIZE) / CONTEXT] * CONTEXT), np.column_stack((np.zeros((words, SIZE)), np.log(grouped_shares)))]
         self.set(np.concatenate([x.ravel() for x in start]))
 
     def set(self, flat: np.ndarray) -> None:
@@ -192,7 +186,9 @@ class LogBilinear:
         self._terms: list[np.ndarray] | None = None
         ends = np.cumsum([math.prod(s) for s in self.shapes])
         parts = [x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), self.shapes)]
-        self.context, self.target, self.bias, self.mix, self.grouped, self.grouped_bias = parts
+        self.context, self.target_rows, self.mix, self.grouped_rows = parts
+        self.target, self.bias = self.target_rows[:, :SIZE], self.target_rows[:, SIZE]
+        self.grouped, self.grouped_bias = self.grouped_rows[:, :SIZE], self.grouped_rows[:, SIZE]
 
     def tables(self) -> list[tuple[np.ndarray, np.ndarray | None]]:
         """Views of the parameters as tables of rows with SIZE values, and a bias where they have one."""
@@ -200,7 +196,7 @@ class LogBilinear:
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         """The predicted vectors for rows of classes before a word, the nearest first."""
-        return sum(np.take(self.context, before[:, i], axis=0) @ self.mix[i] for i in range(CONTEXT))
+        return sum(np.take(self.context @ self.mix[i], before[:, i], axis=0) for i in range(CONTEXT))
 
     def log_normalisers(self, before: np.ndarray) -> np.ndarray:
         """log of the sum of exp(score) over all classes for each row of before.
@@ -218,7 +214,7 @@ class LogBilinear:
                 with np.errstate(divide="ignore"):
                     self._pairs = (np.log(self._terms[0] @ self._terms[1].T) + self._tops[0][:, None] + self._tops[1]).astype(np.float32)
         if self._pairs is not None:
-            return self._checked(before, self._pairs[before[:, 0], before[:, 1]])
+            return self._checked(before, np.take(self._pairs, before[:, 0].astype(np.int64) * (self.n + 1) + before[:, 1]))
         before, inverse = np.unique(before, axis=0, return_inverse=True)
         out = np.empty(len(before))
         for at in range(0, len(before), CONTEXTS_AT_ONCE):
@@ -239,25 +235,34 @@ class LogBilinear:
         out = np.empty(len(before), np.float32)
         for at in range(0, len(before), ROWS_AT_ONCE):
             some = slice(at, at + ROWS_AT_ONCE)
-            out[some] = np.einsum("ij,ij->i", self.predicted(before[some]), np.take(self.target, word[some], axis=0)) + self.bias[word[some]]
+            out[some] = np.einsum("ij,ij->i", ending_in_one(self.predicted(before[some])), np.take(self.target_rows, word[some], axis=0))
         return out
 
     def log_within(self, before: np.ndarray, grouped: np.ndarray) -> np.ndarray:
         """Log-probabilities of grouped words, given their groups: one matrix product for the tokens of each group."""
-        order, q, out = in_groups(grouped), self.predicted(before), np.empty(len(grouped), np.float32)
-        for first, rows in runs_of_groups(grouped, order, CONTEXTS_AT_ONCE):
-            scores = np.take(q, rows, axis=0) @ self.grouped[first : first + GROUP].T
-            scores += self.grouped_bias[first : first + GROUP]
-            own = scores[np.arange(len(rows)), grouped[rows] - first]
+        order, out = in_groups(grouped), np.empty(len(grouped), np.float32)
+        grouped, q, total = grouped[order], ending_in_one(self.predicted(before[order])), np.empty(len(grouped), np.float32)
+        for first, start, end in runs_of_groups(grouped, CONTEXTS_AT_ONCE):
+            rows, vectors = slice(start, end), self.grouped_rows[first : first + GROUP]
+            scores = q[rows] @ vectors.T
+            own = scores[np.arange(end - start), grouped[rows] - first]
             top = scores.max()
             scores -= top
-            total = np.exp(scores, out=scores).sum(axis=1)
-            if not total.all():  # scores of one row are far below another's
-                scores = q[rows] @ self.grouped[first : first + GROUP].T + self.grouped_bias[first : first + GROUP]
+            sums = np.exp(scores, out=scores).sum(axis=1)
+            if not sums.all():  # scores of one row are far below another's
+                scores = q[rows] @ vectors.T
                 top = scores.max(axis=1)
-                total = np.exp(scores - top[:, None]).sum(axis=1)
-            out[rows] = own - top - np.log(total)
-        return out
+                sums = np.exp(scores - top[:, None]).sum(axis=1)
+            out[order[rows]] = own - top
+            total[order[rows]] = sums
+        return out - np.log(total)
+
+
+def ending_in_one(vectors: np.ndarray) -> np.ndarray:
+    """Each vector with a 1 behind, for the bias."""
+    out = np.empty((len(vectors), vectors.shape[1] + 1), vectors.dtype)
+    out[:, :-1], out[:, -1] = vectors, 1
+    return out
 
 
 def in_groups(grouped: np.ndarray) -> np.ndarray:
@@ -266,19 +271,18 @@ def in_groups(grouped: np.ndarray) -> np.ndarray:
     return np.argsort(group.astype(np.uint16) if len(group) and group.max() < 1 << 16 else group, kind="stable")
 
 
-def runs_of_groups(grouped: np.ndarray, order: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The first word of each group that occurs, and its rows, ``most`` at a time."""
-    group = (grouped // GROUP)[order]
-    edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-    for start, end in zip(edges[:-1], edges[1:]):
+def runs_of_groups(grouped: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+    """The first word of each group that occurs, and from where to where it does in the order of groups, ``most`` at a time."""
+    group = grouped // GROUP
+    edges = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)] if len(group) else []
+    for start, end in zip(edges, edges[1:]):
         for at in range(start, end, most):
-            yield int(group[start]) * GROUP, order[at : min(at + most, end)]
+            yield int(group[start]) * GROUP, at, min(at + most, end)
 
 
 def falsely(scores: np.ndarray) -> np.ndarray:
-    """What noise of such scores asks of them, in place: less their logistic function. A score whose exp overflows gives -1."""
-    with np.errstate(over="ignore"):
-        np.exp(scores, out=scores)
+    """What noise of such scores asks of them, in place: less their logistic function. A score whose exp overflows gives -1; the caller has numpy ignore that."""
+    np.exp(scores, out=scores)
     scores += 1
     np.reciprocal(scores, out=scores)
     scores -= 1
@@ -291,39 +295,42 @@ class Trainer:
 
     def __init__(self, model: LogBilinear, seed: int) -> None:
         self.m, self.random, self.trained = model, np.random.default_rng(seed), 0
-        self.squares = [np.full(s, 1e-2, np.float32) for s in model.shapes[:4]] + [np.ones(s, np.float32) for s in model.shapes[4:]]
+        self.squares = [np.full(s, 1e-2, np.float32) for s in model.shapes[:3]] + [np.ones(model.shapes[3], np.float32)]
         self.times = np.zeros(len(model.grouped), np.int64)
         self.log_noise = np.log(NOISE * model.shares).astype(np.float32)
         self.edges = np.cumsum(model.shares)
-
-    def _move(self, i: int, rows: np.ndarray | slice, gradient: np.ndarray, rate: float = RATE) -> None:
-        parameter = (self.m.context, self.m.target, self.m.bias, self.m.mix, self.m.grouped, self.m.grouped_bias)[i]
-        squares = self.squares[i][rows] + gradient * gradient
-        self.squares[i][rows] = squares
-        parameter[rows] += rate * gradient / np.sqrt(squares)
+        self.cells = [np.arange(math.prod(s)).reshape(s) for s in model.shapes[:2]]
 
     @staticmethod
-    def _summed(rows: np.ndarray, gradient: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        return rows[first], np.add.reduceat(np.take(gradient, order, axis=0), first, axis=0)
+    def _move(parameter: np.ndarray, squares: np.ndarray, gradient: np.ndarray, rate: float = RATE) -> None:
+        """In place. What has no gradient stays."""
+        squares += gradient * gradient
+        gradient /= np.sqrt(squares)
+        gradient *= rate
+        parameter += gradient
+
+    def _summed(self, i: int, rows: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+        """Gradients summed by row of a table of parameters."""
+        cells = self.cells[i]
+        sums = np.bincount(np.take(cells, rows, axis=0).ravel(), gradient.ravel(), cells.size)
+        return sums.astype(np.float32).reshape(cells.shape)
 
     def within_groups(self, before: np.ndarray, grouped: np.ndarray) -> np.ndarray:
         """Steps for grouped words; the gradients of the predicted vectors are returned. Words move by each occurrence, as they are rare."""
-        m, q, to_q = self.m, self.m.predicted(before), np.empty((len(grouped), SIZE), np.float32)
-        for first, rows in runs_of_groups(grouped, in_groups(grouped), GROUP_BATCH):
-            group, own = slice(first, min(first + GROUP, len(m.grouped))), np.take(q, rows, axis=0)
-            vectors = m.grouped[group]
-            up = own @ vectors.T
-            up += m.grouped_bias[group]
-            falsely(up)
-            at = np.arange(len(rows)), grouped[rows] - first
-            up[at] = 2 * up[at] + 1  # it is real once, and once noise
-            to_q[rows] = up @ vectors
-            self._move(4, group, up.T @ own, GROUP_RATE)
-            self._move(5, group, up.sum(axis=0), GROUP_RATE)
+        m, order = self.m, in_groups(grouped)
+        q, sorted_, asked = ending_in_one(m.predicted(before[order])), grouped[order], np.empty((len(grouped), SIZE), np.float32)
+        with np.errstate(over="ignore"):
+            for first, start, end in runs_of_groups(sorted_, GROUP_BATCH):
+                vectors, own = m.grouped_rows[first : first + GROUP], q[start:end]
+                up = own @ vectors.T
+                falsely(up)
+                at = np.arange(end - start), sorted_[start:end] - first
+                up[at] = 2 * up[at] + 1  # it is real once, and once noise
+                np.matmul(up, vectors[:, :SIZE], out=asked[start:end])
+                self._move(vectors, self.squares[3][first : first + GROUP], up.T @ own, GROUP_RATE)
         self.times += np.bincount(grouped, minlength=len(self.times))
+        to_q = np.empty_like(asked)
+        to_q[order] = asked
         return to_q
 
     def from_groups(self, before: np.ndarray, grouped: np.ndarray) -> np.ndarray:
@@ -354,28 +361,28 @@ class Trainer:
     def class_step(self, before: np.ndarray, word: np.ndarray, asked: np.ndarray) -> None:
         m, n = self.m, len(word)
         noise = np.minimum(np.searchsorted(self.edges, self.random.random(NOISE)), m.n - 1).astype(word.dtype)
-        vectors, own, others = [np.take(m.context, before[:, i], axis=0) for i in range(CONTEXT)], np.take(m.target, word, axis=0), m.target[noise]
-        q = sum(v @ m.mix[i] for i, v in enumerate(vectors))
-        up = 1 + falsely(np.einsum("ij,ij->i", q, own) + (m.bias - self.log_noise)[word])
-        down = q @ others.T
-        down += m.bias[noise] - self.log_noise[noise]
-        falsely(down)
-        to_q = up[:, None] * own
-        to_q += down @ others
+        own, others = np.take(m.target_rows, word, axis=0), m.target_rows[noise]
+        others[:, SIZE] -= self.log_noise[noise]
+        q = ending_in_one(m.predicted(before))
+        with np.errstate(over="ignore"):
+            up = 1 + falsely(np.einsum("ij,ij->i", q, own) - self.log_noise[word])
+            down = falsely(q @ others.T)
+        to_q = up[:, None] * own[:, :SIZE]
+        to_q += down @ others[:, :SIZE]
         to_q += asked
         to_q /= n
         to_target = np.empty((n + NOISE, SIZE + 1), np.float32)
-        np.multiply(q, up[:, None], out=to_target[:n, :SIZE])
-        to_target[:n, SIZE] = up
-        to_target[n:, :SIZE], to_target[n:, SIZE] = down.T @ q, down.sum(axis=0)
-        rows, both = self._summed(np.concatenate((word, noise)), to_target)
-        both /= n
-        crows, cgrad = self._summed(before.T.ravel(), np.concatenate([to_q @ m.mix[i].T for i in range(CONTEXT)]))
-        to_mix = np.stack([v.T @ to_q for v in vectors])
-        self._move(1, rows, both[:, :-1])
-        self._move(2, rows, both[:, -1])
-        self._move(0, crows, cgrad)
-        self._move(3, slice(None), to_mix)
+        np.multiply(q, up[:, None], out=to_target[:n])
+        np.matmul(down.T, q, out=to_target[n:])
+        to_target = self._summed(1, np.concatenate((word, noise)), to_target)
+        to_target /= n
+        # products of sums by class are sums of products, and classes are fewer than tokens
+        by_class = [self._summed(0, before[:, i], to_q) for i in range(CONTEXT)]
+        to_context = sum(x @ m.mix[i].T for i, x in enumerate(by_class))
+        to_mix = np.stack([m.context.T @ x for x in by_class])
+        self._move(m.target_rows, self.squares[1], to_target)
+        self._move(m.context, self.squares[0], to_context)
+        self._move(m.mix, self.squares[2], to_mix)
 
 
 def contexts(classes: np.ndarray, first: np.ndarray, outside: int) -> np.ndarray:
@@ -413,26 +420,27 @@ def train(docs: DataFrame, known: Vocabulary, text: str = "text", seed: int = SE
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        lookup, model = Lookup((w, i) for i, w in enumerate(known.words[: known.modelled])), LogBilinear(known.shares(), known.grouped_shares(), seed)
+        words, model = known.numbered(known.modelled), LogBilinear(known.shares(), known.grouped_shares(), seed)
         trainer, (classes_by_number, grouped_by_number) = Trainer(model, seed), known.by_number()
-        texts: list[list[bytes]] = []
+        texts: list[np.ndarray] = []
         seen = waiting = 0
         kind = np.uint16 if model.n < 1 << 16 else np.int32
 
         def go() -> None:
-            ids = lookup.numbers(texts, waiting)
+            ids = np.concatenate(texts)
             sizes = np.fromiter(map(len, texts), np.int64, len(texts))
             classes = classes_by_number[ids].astype(kind)
             trainer.steps(contexts(classes, np.cumsum(sizes) - sizes, model.n), classes, grouped_by_number[ids])
             texts.clear()
 
         for batch in batches:
-            for x in batch.column(0):
-                texts.append(tokens_of(x.as_py()))
-                seen, waiting = seen + len(texts[-1]), waiting + len(texts[-1])
-                if waiting >= TOKENS_AT_ONCE:
-                    go()
-                    waiting = 0
+            for tokens, sizes in tokens_of(batch.column(0)):
+                for ids in np.split(numbers_of(tokens, words), np.cumsum(sizes)[:-1]):
+                    texts.append(ids)
+                    seen, waiting = seen + len(ids), waiting + len(ids)
+                    if waiting >= TOKENS_AT_ONCE:
+                        go()
+                        waiting = 0
         if waiting:
             go()
         yield from _weighted(model, seen, trainer.times)
@@ -484,16 +492,14 @@ def score_texts(docs: DataFrame, counted: DataFrame, known: Vocabulary, model: L
 
         known, flat, name = shared.value
         model = _model(known, flat, name)
-        lookup, (classes_by_number, grouped_by_number) = Lookup((w, i) for i, w in enumerate(known.words)), known.by_number()
+        words, (classes_by_number, grouped_by_number) = known.numbered(), known.by_number()
         logs = np.append(np.log10(known.counts + 0.5), 0.0)  # the last is for words that only the table knows
         base_log, other_log = math.log10(known.base_denominator()), math.log10(known.other_denominator())
         row = TaskContext.get().partitionId() << 40
 
-        def measure(keys: list, texts: list[list[bytes]]) -> pa.RecordBatch:
+        def measure(keys: pa.Array, tokens: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
             nonlocal row
-            sizes = np.array([len(t) for t in texts])
             first = np.cumsum(sizes) - sizes
-            ids = lookup.numbers(texts, int(sizes.sum()))
             classes, grouped = classes_by_number[ids], grouped_by_number[ids]
             before = contexts(classes, first, model.n)
             log_p = (model.scores(before, classes) - model.log_normalisers(before)) / ln10
@@ -503,45 +509,36 @@ def score_texts(docs: DataFrame, counted: DataFrame, known: Vocabulary, model: L
             base = np.add.reduceat(logs[ids] - base_log, first)
             score = np.add.reduceat(log_p + np.where(other, logs[ids] - other_log, 0.0), first)
             in_dictionary = np.add.reduceat((ids >= 0).astype(np.int64), first)
-            rare_rows, rare_words, rare_times = [], [], []
             unknown = np.flatnonzero(ids < 0)
-            owner = np.repeat(np.arange(len(texts)), sizes)[unknown]
-            cuts = [0, *(np.flatnonzero(owner[1:] != owner[:-1]) + 1).tolist(), len(owner)] if len(owner) else [0]
-            places = (unknown - first[owner]).tolist()
-            for start, end in zip(cuts, cuts[1:]):
-                i = int(owner[start])
-                words = texts[i]
-                found = Counter([words[j] for j in places[start:end]])
-                rare_rows += [row + i] * len(found)
-                rare_words += found.keys()
-                rare_times += found.values()
-            n, m = len(texts), len(rare_rows)
+            found = tokens.take(pa.array(unknown)).dictionary_encode()
+            distinct = max(1, len(found.dictionary))
+            rare, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[unknown] * distinct + found.indices.to_numpy(), return_counts=True)
+            n, m = len(sizes), len(rare)
+
+            def with_rare(own: pa.Array, of_rare: pa.Array | None = None) -> pa.Array:
+                return pa.concat_arrays([own, pa.nulls(m, own.type) if of_rare is None else of_rare])
+
             columns = [
-                pa.array(keys + [None] * m, kind),
-                pa.array(np.concatenate((row + np.arange(n), np.array(rare_rows, np.int64)))),
-                pa.array(sizes.tolist() + [None] * m, pa.int64()),
-                pa.array(in_dictionary.tolist() + [None] * m, pa.int64()),
-                pa.array(base.tolist() + [None] * m, pa.float64()),
-                pa.array(score.tolist() + [None] * m, pa.float64()),
-                pa.array([None] * n + rare_words, pa.binary()),
-                pa.array([None] * n + rare_times, pa.int64()),
+                with_rare(keys),
+                pa.array(row + np.concatenate((np.arange(n), rare // distinct))),
+                with_rare(pa.array(sizes)),
+                with_rare(pa.array(in_dictionary)),
+                with_rare(pa.array(base)),
+                with_rare(pa.array(score.astype(np.float64))),
+                with_rare(pa.nulls(n, pa.binary()), found.dictionary.take(pa.array(rare % distinct)).view(pa.binary())),
+                with_rare(pa.nulls(n, pa.int64()), pa.array(times.astype(np.int64))),
             ]
             row += n
             return pa.RecordBatch.from_arrays(columns, names=["key", *LOCAL.names])
 
         for batch in batches:
-            kind = batch.schema.field(0).type
-            keys, texts, held = [], [], 0
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                some = tokens_of(x.as_py())
-                keys.append(k)
-                texts.append(some)
-                held += len(some)
-                if held >= TOKENS_AT_ONCE:
-                    yield measure(keys, texts)
-                    keys, texts, held = [], [], 0
-            if keys:
-                yield measure(keys, texts)
+            keys = batch.column(0)
+            for tokens, sizes in tokens_of(batch.column(1)):
+                ids, edges = numbers_of(tokens, words), np.append(0, np.cumsum(sizes))
+                for start, end in slices(sizes.tolist(), TOKENS_AT_ONCE):
+                    at, size = int(edges[start]), int(edges[end] - edges[start])
+                    yield measure(keys.slice(start, end - start), tokens.slice(at, size), ids[at : at + size], sizes[start:end])
+                keys = keys.slice(len(sizes))
 
     schema = T.StructType([T.StructField("key", docs.schema[key].dataType), *LOCAL.fields])
     local = written(docs.select(F.col(key), text_bytes(F.col(text)).alias("text")).mapInArrow(run, schema), "lm")
