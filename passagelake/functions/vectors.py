@@ -15,8 +15,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def over_norms(product: Column, norms: Column) -> Column:
+    """A dot product over both norms; NaN, as in SQL, where a vector has length zero and so no direction."""
+    return F.when(norms == 0, F.lit(float("nan"))).otherwise(product / norms)
+
+
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return over_norms(dot(a, b), norm(a) * norm(b))
 
 
 def l2_normalised(a: Column) -> Column:

@@ -26,9 +26,10 @@ def context_of(questions: DataFrame, chunks: DataFrame, used: Models, conf: Sett
     """The context of each question: question_id, marker and the chunk's columns. questions: question_id, owner_id, text; chunks have an embedding.
 
     The questions' vectors and the shortlist are written, so that models and searches run once and texts are joined to a table of known size.
+    Texts to which the model gives a vector of length zero are found by their terms only.
     """
     asked = kept(questions.withColumn("embedding", models.embed(F.col("text"), used.embedder, query=True)), "asked")
-    fused = r.rrf_fusion(r.vector_topk(asked, chunks, conf.candidates), r.lexical_topk(asked, chunks, conf.candidates), conf)
+    fused = r.rrf_fusion(r.vector_topk(r.directed(asked), r.directed(chunks), conf.candidates), r.lexical_topk(asked, chunks, conf.candidates), conf)
     found = r.hydrate(r.small(kept(fused.where(F.col("position") <= conf.shortlist), "shortlist")), asked, chunks)
     if used.scorer:
         words = questions.select("question_id", F.col("text").alias("question"))

@@ -33,11 +33,19 @@ def top_per_question(scored: DataFrame, order: list[Column], k: int, rank: str =
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).where(F.col(rank) <= k)
 
 
+def directed(df: DataFrame) -> DataFrame:
+    """Rows that dense search can find: those whose embedding isn't of length zero."""
+    return df.where(vec.norm(F.col("embedding")) > 0)
+
+
 def vector_topk(questions: DataFrame, chunks: DataFrame, k: int = SETTINGS.candidates) -> DataFrame:
-    """question_id, chunk_id, similarity, rank: exact cosine search within the question's tenant, ties by chunk_id."""
+    """question_id, chunk_id, similarity, rank: exact cosine search within the question's tenant, ties by chunk_id.
+
+    A vector of length zero has similarity NaN, which comes first as in SQL; ``directed`` leaves such rows out.
+    """
     q = small(questions.where(F.col("embedding").isNotNull()).select("question_id", "owner_id", F.col("embedding").alias("asked"), vec.norm(F.col("embedding")).alias("asked_norm")))
     c = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "owner_id", "embedding", vec.norm(F.col("embedding")).alias("own_norm"))
-    similarity = vec.dot(F.col("embedding"), F.col("asked")) / (F.col("own_norm") * F.col("asked_norm"))
+    similarity = vec.over_norms(vec.dot(F.col("embedding"), F.col("asked")), F.col("own_norm") * F.col("asked_norm"))
     scored = c.join(q, "owner_id").select("question_id", "chunk_id", similarity.alias("similarity"))
     return top_per_question(scored, [F.desc("similarity"), F.col("chunk_id")], k)
 
