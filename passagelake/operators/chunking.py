@@ -40,12 +40,12 @@ def cut_long(unit: str, target: int, count: Counter) -> list[str]:
     return [" ".join(r) for r in runs if r]
 
 
-def pack(units: list[str], target: int, overlap: int, least: int, count: Counter = words) -> list[str]:
+def pack(units: list[str | None], target: int, overlap: int, least: int, count: Counter = words) -> list[str]:
     """Windows of units. A window closes before the unit that would overflow it; the next one begins with the units at its end that fit the overlap.
 
-    A last window below ``least`` joins the one before.
+    A last window below ``least`` joins the one before. Null and blank units are left out.
     """
-    pieces = [(p, count(p)) for u in units for p in ([u] if count(u) <= target else cut_long(u, target, count))]
+    pieces = [(p, count(p)) for u in units if u and u.strip() for p in ([u] if count(u) <= target else cut_long(u, target, count))]
     bounds: list[tuple[int, int]] = []
     start = held = 0
     for i, (_, cost) in enumerate(pieces):

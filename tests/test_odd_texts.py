@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from passagelake.operators import assistant, models
+from passagelake.operators import chunking as ch
 from passagelake.operators import retrieval as r
 from passagelake.plans import registry
 
@@ -64,3 +65,18 @@ def test_texts_without_vectors_are_found_by_their_terms(spark):
     questions = spark.createDataFrame([(1, 1, "x", "pears?"), (2, 2, "x", "nothing at all")], "question_id int, session_id int, owner_id string, text string")
     found = {(x["question_id"], x["chunk_id"]): x["vector_rank"] for x in assistant.context_of(questions, chunks, assistant.Models(embedder=Few)).collect()}
     assert found[1, "1"] is None and {k for k in found if k[0] == 1} == {(1, "0"), (1, "1"), (1, "2")} and set(found) - {(1, "0"), (1, "1"), (1, "2")} == {(2, "1")}
+
+
+def test_blank_units_make_no_window():
+    assert ch.pack(["", None, " \n", "\u00a0"], 10, 3, 2) == []
+    assert ch.pack(["", "a b", None, "c", "  "], 10, 3, 0) == ["a b c"]
+
+
+def test_hard_split_of_odd_texts_as_in_sql(spark, sf, tmp_path):
+    blanks = [f"a{chr(c)}b {chr(c)} c" for c in (*range(14), *range(28, 33), 133, 160, 5760, *range(8192, 8204), 8232, 8233, 8239, 8287, 12288)]
+    at = tables_with(sf, tmp_path / "odd", [None, "", " ", "\n\n", "\u00a0", "\x0b", "w " * 64, "w " * 65, " " + "w\n" * 128, "w" * 5000, *blanks])
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{at}/documents.parquet'")
+    got = registry.QUERIES["hard_split"](spark, at)
+    want = con.sql(f"select {', '.join(got.columns)} from ({registry.ORACLES['hard_split']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
